@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import chat, url_filter
+from braggflow.llm import bpe, chat, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -28,6 +29,30 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), where, pattern), where, pattern)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    counts = token_counts.count(table(spark, sf_dir, "documents"), where, pattern)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out_dir = token_io.scratch_dir(docs)
+    manifest = token_io.write(docs, public_tokenizers.path("word_bpe_49k.json"), out_dir)
+    return token_io.read(manifest, out_dir).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 #: The rules that the url contract names (host, path, verdict).
 URL_RULES = [
     ("org", "/", "allow"),
@@ -71,6 +96,9 @@ FROM split LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)"""
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_counts": op3_token_counts,
+    "op6_token_binary": op6_token_binary,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES = {
