@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import bpe, chat, token_counts, token_io, url_filter
+from braggflow.llm import bpe, chat, decontam, quality, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -46,6 +46,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated(found).alias("contaminated"),
+    )
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out_dir = token_io.scratch_dir(docs)
@@ -53,6 +65,10 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.read(manifest, out_dir).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("removed")
+
+
 #: The rules that the url contract names (host, path, verdict).
 URL_RULES = [
     ("org", "/", "allow"),
@@ -98,7 +114,9 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op5_decontamination": op5_decontamination,
     "op6_token_binary": op6_token_binary,
+    "op7_quality_rules": op7_quality_rules,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES = {
