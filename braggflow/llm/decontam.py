@@ -26,53 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braggflow.llm.bpe import in_slices
+from braggflow.llm.words import ALNUM, LOWER, window_hashes, words_of
 
 WINDOW = 13
-#: Benchmark words in one broadcast block; bytes hashed at a time.
-BLOCK_WORDS, STRETCH = 2_000_000, 1 << 19
+#: Benchmark words in one broadcast block.
+BLOCK_WORDS = 2_000_000
 _FILTER_BITS = 22
-_codes = np.arange(256)
-_WORD = ((_codes >= 0x30) & (_codes <= 0x39)) | ((_codes >= 0x61) & (_codes <= 0x7A)) | (_codes >= 0x80) | ((_codes >= 0x41) & (_codes <= 0x5A))
-_LOWER = np.where((_codes >= 0x41) & (_codes <= 0x5A), _codes + 32, _codes).astype("u1")
-_BASE = 0x9E3779B97F4A7C15
-_VALUE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype="u8")[_LOWER]
-_STEP = np.random.default_rng(17).integers(1, 1 << 63, WINDOW, dtype="u8") | np.uint64(1)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, n at least."""
-    size = max(STRETCH * 2, 1 << (n - 1).bit_length()) if n else STRETCH * 2
-    if size not in _tables:
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _tables.clear()
-            _tables[size] = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, "u8")])) for b in (_BASE, inverse))
-    return _tables[size]
-
-
-def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each word of a text given as bytes."""
-    is_word = _WORD[text]
-    edges = np.diff(is_word.view("i1"), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    hashes = np.empty(len(starts), "u8")
-    first = 0
-    while first < len(starts):  # a stretch of whole words
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, "right")))
-        a, b = int(starts[first]), int(ends[last - 1])
-        power, inverse = _powers(b - a + 1)
-        total = np.zeros(b - a + 1, "u8")
-        np.cumsum(_VALUE[text[a:b]] * power[: b - a], out=total[1:])
-        s, e = starts[first:last] - a, ends[first:last] - a
-        h = (total[e] - total[s]) * inverse[s]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        hashes[first:last] = h ^ (h >> np.uint64(29))
-        first = last
-    return starts, ends, hashes
-
-
 class Windows:
     """The windows of a block of benchmark items, ready for lookup."""
 
@@ -81,8 +40,8 @@ class Windows:
         by_length: dict[int, dict[int, None]] = defaultdict(dict)
         for item, text in items:
             raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "u1")
-            starts, ends, hashes = words_of(raw)
-            low, n = _LOWER[raw].tobytes(), min(WINDOW, len(starts))
+            starts, ends, hashes = words_of(raw, ALNUM)
+            low, n = LOWER[raw].tobytes(), min(WINDOW, len(starts))
             if n == 0:
                 continue
             for i, h in enumerate(window_hashes(hashes, [n])[n].tolist()):
@@ -112,24 +71,11 @@ def _gram(low: bytes, starts: np.ndarray, ends: np.ndarray, i: int, n: int) -> b
     return b" ".join([low[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist(), strict=True)])
 
 
-def window_hashes(words: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
-    """For each window length, the hash of the window that starts at each word."""
-    out, total = {}, np.zeros(len(words), "u8")
-    for n in range(1, max(lengths, default=0) + 1):
-        if len(words) < n:
-            break
-        total = total[: len(words) - n + 1] + words[n - 1 :] * _STEP[n - 1]
-        if n in lengths:
-            mixed = total ^ (total >> np.uint64(32))
-            out[n] = mixed * np.uint64(_BASE)
-    return out
-
-
 def scan_texts(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int, int]], list[str], list[tuple[int, int]]]]:
     """For each text: number of words, hit spans in words [start, end), item ids, hit spans in bytes."""
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined, "u1")
-    starts, ends, hashes = words_of(raw)
+    starts, ends, hashes = words_of(raw, ALNUM)
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
     first = np.searchsorted(starts, offsets)  # a text's first word
     occur: list[tuple[int, int, bytes]] = []
@@ -139,7 +85,7 @@ def scan_texts(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tup
         at = np.flatnonzero(windows.filters[n][found >> np.uint64(64 - _FILTER_BITS)])
         at = at[table[np.minimum(np.searchsorted(table, found[at]), len(table) - 1)] == found[at]]
         if len(at):
-            low = _LOWER[raw].tobytes() if low is None else low
+            low = LOWER[raw].tobytes() if low is None else low
             same_text = np.searchsorted(first, at, "right") == np.searchsorted(first, at + n - 1, "right")
             occur += [(i, n, gram) for i in at[same_text].tolist() if (gram := _gram(low, starts, ends, i, n)) in windows.grams]
     spans: list[list] = [[] for _ in texts]

@@ -67,7 +67,8 @@ FAMILIES: dict[str, tuple[str, list[str], list[str]]] = {
     "psf#": ("psf", [f"psf {_LICENSE}"], ["2"]),
     "ofl": ("font", [f"sil? open font {_LICENSE}"], ["1.0", "1.1"]),
     "odbl": ("odbl", ["odbl", "odc odbl"], ["1.0"]),
-    "cc0": ("cc0", ["cc0", "creative commons zero"], ["1.0"]),
+    "cc0": ("cc0", ["cc0"], ["1.0"]),
+    "cc0#": ("zero", ["creative commons zero"], ["1.0"]),
     "public-domain": ("domain", ["public domain", "dedicated to the public domain"], []),
     "all-rights-reserved": ("reserved", ["all rights reserved"], []),
     "proprietary": ("proprietary", [f"proprietary {_LICENSE}", "proprietary and confidential"], []),

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import bpe, chat, decontam, licenses, quality, token_counts, token_io, url_filter
+from braggflow.llm import bpe, chat, decontam, licenses, near_dedup, quality, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -114,6 +114,10 @@ hits AS (SELECT n, r_host || r_path AS rule, r_verdict,
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
 FROM split LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (n)"""
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_byte_bpe": op2_byte_bpe,
@@ -123,6 +127,7 @@ QUERIES = {
     "op6_token_binary": op6_token_binary,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {
     "op1_chat_format": _OP1_SQL,
