@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import bpe, chat, decontam, licenses, near_dedup, quality, token_counts, token_io, url_filter
+from braggflow.llm import bpe, chat, decontam, licenses, line_dedup, near_dedup, quality, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -73,6 +73,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", "text")
+
+
 #: The rules that the url contract names (host, path, verdict).
 URL_RULES = [
     ("org", "/", "allow"),
@@ -126,6 +131,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_token_binary": op6_token_binary,
     "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
 }
