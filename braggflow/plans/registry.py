@@ -1,4 +1,531 @@
-"""The queries of the diffraction operators, by name."""
+"""The queries of the diffraction operators, by name, and the SQL that each is held against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braggflow.functions import geometry as G
+from braggflow.functions.crystal import HC_KEV_NM, NICKEL, symmetry_quaternions
+from braggflow.operators import claims, forward, imaging, match, merge, reflections, relations
+from braggflow.plans import derive as D
+
+N_PIXELS = D.SIZE * D.SIZE
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under its name, with its SQL where it has one."""
+
+    def add(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return add
+
+
+def _d(x: float) -> str:
+    """A double literal in any SQL."""
+    text = repr(float(x))
+    return text if "e" in text else text + "e0"
+
+
+# SQL of the derived tables
+
+_Q = ["a", "b", "c", "d"]
+_ORIENT = (
+    "orient AS (SELECT row_nr, " + ", ".join(f"{e} AS m{i}" for i, e in enumerate(D._matrix(*_Q)))
+    + " FROM (SELECT o_orderkey AS row_nr, 1 + o_orderkey % 7 AS a, o_custkey % 11 AS b, (o_orderkey // 7) % 13 AS c, (o_custkey * 3 + o_orderkey) % 5 AS d FROM orders))"
+)
+
+
+def _hkl_sql(h_max: int, rule: str = "true") -> str:
+    v = f"SELECT CAST(v AS INTEGER) AS v FROM range({-h_max}, {h_max + 1}) t(v)"
+    return (
+        "SELECT CAST(row_number() OVER (ORDER BY n2, h, k, l) - 1 AS INTEGER) AS hkl_id, h, k, l, n2 FROM "
+        f"(SELECT x.v AS h, y.v AS k, z.v AS l, x.v * x.v + y.v * y.v + z.v * z.v AS n2 FROM ({v}) x, ({v}) y, ({v}) z) WHERE n2 > 0 AND ({rule})"
+    )
+
+
+_MOD = lambda e, n: f"((({e}) % {n}) + {n}) % {n} = 0"
+_RULES = {
+    "f": ("F", {}, f"{_MOD('h + k', 2)} AND {_MOD('k + l', 2)}"),
+    "i": ("I", {}, _MOD("h + k + l", 2)),
+    "c": ("C", {}, _MOD("h + k", 2)),
+    "a": ("A", {}, _MOD("k + l", 2)),
+    "rhex": ("R", {"space_group": 166, "hexagonal_axes": True}, f"{_MOD('-h + k + l', 3)} OR {_MOD('h - k + l', 3)}"),
+    "hex": ("P", {"space_group": 194, "hexagonal_axes": True}, f"NOT ({_MOD('h + 2 * k', 3)}) OR {_MOD('l', 2)}"),
+}
+for _name, (_centring, _options, _rule) in _RULES.items():
+    query(f"hkl_generate_{_name}", _hkl_sql(6, _rule))(
+        lambda spark, sf_dir, centring=_centring, options=_options: reflections.generate(spark, 6, centring, **options)
+    )
+
+_PIXELS = (
+    f"pixels AS (SELECT l_suppkey % {D.FRAMES} AS image_nr, (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % {N_PIXELS} AS pix, max(l_extendedprice) AS v "
+    "FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"
+)
+_SOLUTIONS = f"solutions AS (SELECT o_orderkey % {D.FRAMES} AS image_nr, o_orderkey AS grain_nr, o_totalprice AS quality, o_orderkey AS source_row, o_custkey % 20 AS n_matches FROM orders)"
+_SPOTS = (
+    f"spots AS (SELECT l_orderkey % {D.FRAMES} AS image_nr, l_orderkey AS grain_nr, l_orderkey * 8 + l_linenumber AS spot_row, "
+    f"(l_partkey * 7 + l_linenumber) % {D.SIZE} AS x, (l_suppkey * 13 + l_partkey) % {D.SIZE} AS y FROM lineitem)"
+)
+_LABELS = (
+    "seg AS (SELECT image_nr, x, y, CASE WHEN (x * 3 + y * 5) % 7 < 3 THEN 1 + (x // 8) * 8 + y // 8 ELSE 0 END AS label FROM "
+    f"(SELECT id // {N_PIXELS} AS image_nr, id % {D.SIZE} AS x, (id % {N_PIXELS}) // {D.SIZE} AS y FROM range({D.FRAMES * N_PIXELS}) t(id)))"
+)
+_CLAIMS = """claims AS (
+  WITH placed AS (SELECT s.image_nr, s.grain_nr, o.quality, o.source_row, s.spot_row, s.x, s.y, CASE WHEN g.label > 0 THEN g.label ELSE 0 END AS region
+      FROM spots s JOIN solutions o USING (image_nr, grain_nr) LEFT JOIN seg g USING (image_nr, x, y)),
+  firsts AS (SELECT image_nr, grain_nr, region, row_number() OVER (PARTITION BY image_nr, region, CASE WHEN region = 0 THEN x END, CASE WHEN region = 0 THEN y END
+      ORDER BY quality DESC, source_row DESC, spot_row) AS n FROM placed),
+  counted AS (SELECT image_nr, grain_nr, count(*) AS n_unique, count(*) FILTER (region > 0) AS n_unique_labels FROM firsts WHERE n = 1 GROUP BY 1, 2)
+  SELECT image_nr, grain_nr, coalesce(n_unique, 0) AS n_unique, coalesce(n_unique_labels, 0) AS n_unique_labels
+  FROM solutions LEFT JOIN counted USING (image_nr, grain_nr))"""
+
+_R = [_d(x) for x in D.DETECTOR.rotation().T.reshape(-1)]
+_RECIP = _d(NICKEL.reciprocal()[0][0])
+_P = [_d(x) for x in D.DETECTOR.p_array]
+_HALF = _d(0.5 * (D.SIZE - 1))
+_PROJECT = f"""
+m AS (SELECT row_nr, {", ".join(f"m{i} * {_RECIP} AS r{i}" for i in range(9))} FROM orient),
+q AS (SELECT row_nr, hkl_id, {", ".join(f"h * r{3 * i} + k * r{3 * i + 1} + l * r{3 * i + 2} AS q{i}" for i in range(3))} FROM m, hkls),
+u AS (SELECT *, sqrt(q0 * q0 + q1 * q1 + q2 * q2) AS qlen FROM q WHERE q2 < 0),
+v AS (SELECT row_nr, hkl_id, qlen, q0 / qlen AS qx, q1 / qlen AS qy, q2 / qlen AS qz FROM u),
+e AS (SELECT *, {_d(HC_KEV_NM)} * qlen / ({_d(4 * math.pi)} * -qz) AS energy FROM v),
+k AS (SELECT row_nr, hkl_id, energy, -2e0 * qz * qx AS k0, -2e0 * qz * qy AS k1, 1e0 - 2e0 * qz * qz AS k2 FROM e WHERE energy BETWEEN {_d(D.DETECTOR.e_lo)} AND {_d(D.DETECTOR.e_hi)}),
+x AS (SELECT row_nr, hkl_id, energy, {", ".join(f"k0 * {_R[3 * i]} + k1 * {_R[3 * i + 1]} + k2 * {_R[3 * i + 2]} AS {n}" for i, n in enumerate("xyz"))} FROM k),
+p AS (SELECT row_nr, hkl_id, energy, (x * {_P[2]} / z - {_P[0]}) / {_d(D.DETECTOR.px_x)} + {_HALF} AS px, (y * {_P[2]} / z - {_P[1]}) / {_d(D.DETECTOR.px_y)} + {_HALF} AS py FROM x WHERE z > 0),
+lit AS (SELECT row_nr, hkl_id, energy, CAST(trunc(py) AS BIGINT) * {D.SIZE} + CAST(trunc(px) AS BIGINT) AS pix FROM p WHERE px > -1 AND px < {D.SIZE} AND py > -1 AND py < {D.SIZE}),
+firsts AS (SELECT row_nr, pix, min(hkl_id) AS hkl_id FROM lit GROUP BY 1, 2),
+fwd AS (SELECT * FROM (SELECT row_nr, row_number() OVER (PARTITION BY row_nr ORDER BY hkl_id) - 1 AS spot_nr, hkl_id, pix FROM firsts) WHERE spot_nr < 30)"""
+_FORWARD = f"WITH hkls AS ({_hkl_sql(D.H_MAX, _RULES['f'][2])}), {_ORIENT}, {_PROJECT}"
+_COARSE = f"""{_FORWARD}, {_PIXELS},
+coarse AS (SELECT *, total * sqrt(CAST(n_spots AS DOUBLE)) AS score FROM (SELECT image_nr, row_nr, count(*) AS n_spots, CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS total
+  FROM fwd JOIN pixels USING (pix) GROUP BY 1, 2) WHERE n_spots >= 3)"""
+
+
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward.spots(D.orientations(spark, sf_dir), D.hkls(spark), NICKEL, D.DETECTOR)
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.coarse(_forward(spark, sf_dir), D.pixels(spark, sf_dir), min_spots=3)
+
+
+@query("forward_spots", f"{_FORWARD} SELECT row_nr, spot_nr, hkl_id, pix FROM fwd")
+def forward_spots(spark, sf_dir):
+    return _forward(spark, sf_dir)
+
+
+@query("forward_packed", f"{_FORWARD} SELECT row_nr, count(*) AS n_pixels, sum(pix * (spot_nr + 1)) AS checksum FROM fwd GROUP BY 1")
+def forward_packed(spark, sf_dir):
+    stored = forward.packed(_forward(spark, sf_dir))
+    back = forward.unpacked(stored)
+    return back.groupBy("row_nr").agg(F.count("*").alias("n_pixels"), F.sum(F.col("pix") * (F.col("spot_nr") + 1)).alias("checksum"))
+
+
+@query("energy", f"{_FORWARD} SELECT row_nr, hkl_id, round(energy, 6) AS energy FROM lit")
+def energy(spark, sf_dir):
+    rows = forward.project(D.orientations(spark, sf_dir), D.hkls(spark).select("hkl_id", "h", "k", "l"), NICKEL, D.DETECTOR)
+    return rows.select("row_nr", "hkl_id", F.round("energy", 6).alias("energy"))
+
+
+@query("coarse_match", f"{_COARSE} SELECT image_nr, row_nr, n_spots, round(total, 4) AS total, round(score, 4) AS score FROM coarse")
+def coarse_match(spark, sf_dir):
+    return _coarse(spark, sf_dir).select("image_nr", "row_nr", "n_spots", F.round("total", 4).alias("total"), F.round("score", 4).alias("score"))
+
+
+@query("score_rank_topk", f"{_COARSE} SELECT * FROM (SELECT image_nr, row_nr, n_spots, round(score, 4) AS score, row_number() OVER (PARTITION BY image_nr ORDER BY score DESC, row_nr) AS rank FROM coarse) WHERE rank <= 10")
+def score_rank_topk(spark, sf_dir):
+    return match.top(_coarse(spark, sf_dir), 10).select("image_nr", "row_nr", "n_spots", F.round("score", 4).alias("score"), "rank")
+
+
+@query("orientation_lookup", f"{_COARSE} SELECT image_nr, row_nr, {', '.join(f'm{i}' for i in range(9))} FROM coarse JOIN orient USING (row_nr)")
+def orientation_lookup(spark, sf_dir):
+    from braggflow.operators import orientations
+
+    found = orientations.lookup(_coarse(spark, sf_dir), D.orientations(spark, sf_dir))
+    return found.select("image_nr", "row_nr", *[F.col("om")[i].alias(f"m{i}") for i in range(9)])
+
+
+@query("merge_leaders")
+def merge_leaders(spark, sf_dir):
+    return merge.merge(_coarse(spark, sf_dir), D.orientations(spark, sf_dir), max_angle_deg=5.0)
+
+
+@query("frame_pixel_stats", f"WITH {_PIXELS} SELECT image_nr, count(*) FILTER (v > 0) AS n_lit, max(v) AS brightest FROM pixels GROUP BY 1")
+def frame_pixel_stats(spark, sf_dir):
+    return match.pixel_stats(D.pixels(spark, sf_dir))
+
+
+# Geometry
+
+_QUAT = (
+    "quat AS (SELECT vec_id, image_nr, " + ", ".join(f"e{i} / sqrt(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3) AS q{i}" for i in range(4))
+    + " FROM (SELECT vec_id, vec_id % 25 AS image_nr, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4)) + " FROM embeddings))"
+)
+_PROD = lambda p, q: [
+    f"({p[0]}) * ({q[0]}) - ({p[1]}) * ({q[1]}) - ({p[2]}) * ({q[2]}) - ({p[3]}) * ({q[3]})", f"({p[0]}) * ({q[1]}) + ({p[1]}) * ({q[0]}) + ({p[2]}) * ({q[3]}) - ({p[3]}) * ({q[2]})",
+    f"({p[0]}) * ({q[2]}) - ({p[1]}) * ({q[3]}) + ({p[2]}) * ({q[0]}) + ({p[3]}) * ({q[1]})", f"({p[0]}) * ({q[3]}) + ({p[1]}) * ({q[2]}) - ({p[2]}) * ({q[1]}) + ({p[3]}) * ({q[0]})",
+]
+_BETWEEN = _PROD(["p.q0", "-p.q1", "-p.q2", "-p.q3"], [f"q.q{i}" for i in range(4)])
+_PAIRS = f"WITH {_QUAT}, pairs AS (SELECT p.image_nr, p.vec_id AS a, q.vec_id AS b, {', '.join(f'{e} AS d{i}' for i, e in enumerate(_BETWEEN))} FROM quat p JOIN quat q ON p.image_nr = q.image_nr AND p.vec_id < q.vec_id)"
+_SYM = symmetry_quaternions(225)
+_DOTS = ", ".join("abs(" + " + ".join(f"d{i} * {_d(s[i] if i == 0 else -s[i])}" for i in range(4)) + ")" for s in _SYM)
+_ANGLE = f"degrees(2e0 * acos(least(1e0, greatest({_DOTS}))))"
+
+
+def _pairs(spark, sf_dir):
+    q = D.quaternions(spark, sf_dir)
+    left = q.select("image_nr", F.col("vec_id").alias("a"), F.col("q").alias("p"))
+    right = q.select("image_nr", F.col("vec_id").alias("b"), "q")
+    return left.join(right, "image_nr").where("a < b")
+
+
+@query("misorientation_pairs", f"{_PAIRS} SELECT image_nr, a, b, round({_ANGLE}, 6) AS angle_deg FROM pairs")
+def misorientation_pairs(spark, sf_dir):
+    angle = G.misorientation_deg(G.elements("p", 4), G.elements("q", 4), 225)
+    return _pairs(spark, sf_dir).select("image_nr", "a", "b", F.round(angle, 6).alias("angle_deg"))
+
+
+_ROOT = _d(1 / math.sqrt(2))
+_AXIS = f"""{_PAIRS},
+s AS (SELECT *, list_sort([abs(d0), abs(d1), abs(d2), abs(d3)]) AS z, {_ANGLE} AS angle FROM pairs),
+w AS (SELECT *, z[4] AS k1, (z[4] + z[3]) * {_ROOT} AS k2, (z[4] + z[3] + z[2] + z[1]) / 2e0 AS k3 FROM s),
+x AS (SELECT *, list_sort(CASE WHEN k1 >= k2 AND k1 >= k3 THEN [z[3], z[2], z[1]]
+   WHEN k2 >= k3 THEN [abs(z[4] - z[3]) * {_ROOT}, abs(z[2] + z[1]) * {_ROOT}, abs(z[2] - z[1]) * {_ROOT}]
+   ELSE [abs(z[4] - z[3] + z[2] - z[1]) / 2e0, abs(z[4] + z[3] - z[2] - z[1]) / 2e0, abs(z[4] - z[3] - z[2] + z[1]) / 2e0] END) AS v FROM w),
+y AS (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS n FROM x)"""
+
+
+@query("disorientation_axes", f"{_AXIS} SELECT image_nr, a, b, round(v[1] / n, 4) AS x0, round(v[2] / n, 4) AS x1, round(v[3] / n, 4) AS x2 FROM y")
+def disorientation_axes(spark, sf_dir):
+    rows = _pairs(spark, sf_dir).withColumn("axis", G.disorientation_axis(G.elements("p", 4), G.elements("q", 4)))
+    return rows.select("image_nr", "a", "b", *[F.round(F.col("axis")[i], 4).alias(f"x{i}") for i in range(3)])
+
+
+_CSL_SQL = " OR ".join(
+    f"(abs(angle - {_d(at)}) < 1e1 AND sqrt({' + '.join(f'(v[{i + 1}] / n - {_d(ref[i])}) * (v[{i + 1}] / n - {_d(ref[i])})' for i in range(3))}) < 8e-2)"
+    for at, ref in ((60.0, (0.57735,) * 3), (38.94, (0.0, 0.70711, 0.70711)), (50.48, (0.0, 0.70711, 0.70711)))
+)
+
+
+@query("csl_pairs", f"{_AXIS} SELECT image_nr, a, b, {_CSL_SQL} AS related FROM y")
+def csl_pairs(spark, sf_dir):
+    p, q = G.elements("p", 4), G.elements("q", 4)
+    rows = _pairs(spark, sf_dir).withColumn("angle", G.misorientation_deg(p, q, 225)).withColumn("axis", G.disorientation_axis(p, q))
+    return rows.select("image_nr", "a", "b", G.csl_related(F.col("angle"), F.col("axis"), (3, 9, 11), 10.0).alias("related"))
+
+
+_IMAGES = [_PROD([f"q{i}" for i in range(4)], [_d(x) for x in s]) for s in _SYM]
+
+
+@query("fundamental_region", f"WITH {_QUAT} SELECT vec_id, round(greatest({', '.join(f'abs({p[0]})' for p in _IMAGES)}), 6) AS w FROM quat")
+def fundamental_region(spark, sf_dir):
+    return D.quaternions(spark, sf_dir).select("vec_id", F.round(G.fundamental(G.elements("q", 4), 225)[0], 6).alias("w"))
+
+
+_ANG = lambda s, c: f"CASE WHEN {s} >= 0 THEN acos(greatest(-1e0, least(1e0, {c}))) ELSE {_d(2 * math.pi)} - acos(greatest(-1e0, least(1e0, {c}))) END"
+
+
+@query(
+    "euler_from_matrix",
+    f"""WITH {_ORIENT}, f AS (SELECT *, abs(m8 - 1e0) < 1e-12 AS flat, CASE WHEN abs(m8 - 1e0) < 1e-12 THEN 0e0 ELSE acos(greatest(-1e0, least(1e0, m8))) END AS phi FROM orient),
+    g AS (SELECT *, abs(sin(phi)) < 1e-12 AS deg, CASE WHEN abs(sin(phi)) < 1e-12 THEN 1e0 ELSE sin(phi) END AS s FROM f)
+    SELECT row_nr, round(CASE WHEN deg THEN 0e0 ELSE {_ANG("m2 / s", "-m5 / s")} END, 6) AS psi, round(phi, 6) AS phi,
+      round(CASE WHEN deg THEN {_ANG("(CASE WHEN flat THEN m3 ELSE -m3 END)", "m0")} ELSE {_ANG("m6 / s", "m7 / s")} END, 6) AS theta FROM g""",
+)
+def euler_from_matrix(spark, sf_dir):
+    angles = G.matrix_to_euler(G.elements("om", 9))
+    return D.orientations(spark, sf_dir).select("row_nr", *[F.round(a, 6).alias(n) for a, n in zip(angles, ("psi", "phi", "theta"), strict=True)])
+
+
+@query("euler_to_matrix", f"WITH {_ORIENT} SELECT row_nr, {', '.join(f'round(m{i}, 4) + 0e0 AS m{i}' for i in range(9))} FROM orient")
+def euler_to_matrix(spark, sf_dir):
+    angles = D.orientations(spark, sf_dir).select("row_nr", F.array(*G.matrix_to_euler(G.elements("om", 9))).alias("e"))
+    back = angles.select("row_nr", F.array(*G.euler_to_matrix(*G.elements("e", 3))).alias("om"))
+    return back.select("row_nr", *[(F.round(F.col("om")[i], 4) + 0.0).alias(f"m{i}") for i in range(9)])
+
+
+_RT = [_d(x) for x in D.DETECTOR.rotation().reshape(-1)]
+_INVERSE = f"""WITH t AS (SELECT o_orderkey AS spot_row, (o_orderkey * 53 % 640) / 10e0 AS px, (o_custkey * 71 % 640) / 10e0 AS py FROM orders),
+x AS (SELECT *, (px - {_HALF}) * {_d(D.DETECTOR.px_x)} + {_P[0]} AS x, (py - {_HALF}) * {_d(D.DETECTOR.px_y)} + {_P[1]} AS y, {_P[2]} AS z FROM t),
+k AS (SELECT *, {", ".join(f"x * {_RT[3 * i]} + y * {_RT[3 * i + 1]} + z * {_RT[3 * i + 2]} AS k{i}" for i in range(3))} FROM x),
+n AS (SELECT *, sqrt(k0 * k0 + k1 * k1 + k2 * k2) AS len FROM k),
+q AS (SELECT *, k0 / len AS a0, k1 / len AS a1, k2 / len - 1e0 AS a2 FROM n),
+u AS (SELECT spot_row, a0 / sqrt(a0 * a0 + a1 * a1 + a2 * a2) AS g0, a1 / sqrt(a0 * a0 + a1 * a1 + a2 * a2) AS g1, a2 / sqrt(a0 * a0 + a1 * a1 + a2 * a2) AS g2 FROM q)"""
+
+
+@query("pixel_inverse", f"{_INVERSE} SELECT spot_row, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2 FROM u")
+def pixel_inverse(spark, sf_dir):
+    g = G.pixel_to_qhat(F.col("px"), F.col("py"), D.DETECTOR)
+    return D.peak_spots(spark, sf_dir).select("spot_row", *[F.round(x, 6).alias(f"g{i}") for i, x in enumerate(g)])
+
+
+@query("angular_error", f"{_INVERSE} SELECT spot_row, round(degrees(acos(greatest(-1e0, least(1e0, (g0 * 6e-1 + g1 * 0e0 + g2 * -8e-1) / (sqrt(g0 * g0 + g1 * g1 + g2 * g2) * 1e0))))), 6) AS err_deg FROM u")
+def angular_error(spark, sf_dir):
+    g = D.peak_spots(spark, sf_dir).select("spot_row", F.array(*G.pixel_to_qhat(F.col("px"), F.col("py"), D.DETECTOR)).alias("g"))
+    err = G.angle_deg(G.elements("g", 3), [F.lit(0.6), F.lit(0.0), F.lit(-0.8)])
+    return g.select("spot_row", F.round(err, 6).alias("err_deg"))
+
+
+# Evidence
+
+_EVIDENCE = f"WITH {_SOLUTIONS}, {_SPOTS}, {_LABELS}, {_CLAIMS}"
+
+
+def _claims(spark, sf_dir):
+    return claims.unique_claims(D.solutions(spark, sf_dir), D.spots(spark, sf_dir), D.labels(spark))
+
+
+@query("unique_claims", f"{_EVIDENCE} SELECT * FROM claims")
+def unique_claims(spark, sf_dir):
+    return _claims(spark, sf_dir)
+
+
+@query("filter_legacy", f"{_EVIDENCE} SELECT s.* FROM solutions s JOIN claims USING (image_nr, grain_nr) WHERE n_unique_labels >= 1")
+def filter_legacy(spark, sf_dir):
+    return claims.keep_by_labels(D.solutions(spark, sf_dir), _claims(spark, sf_dir), 1).drop("om")
+
+
+@query("kept_spots", f"{_EVIDENCE} SELECT s.* FROM spots s WHERE grain_nr IN (SELECT grain_nr FROM claims WHERE n_unique_labels >= 1)")
+def kept_spots(spark, sf_dir):
+    return claims.kept_spots(D.spots(spark, sf_dir), claims.keep_by_labels(D.solutions(spark, sf_dir), _claims(spark, sf_dir), 1))
+
+
+@query("filter_robust")
+def filter_robust(spark, sf_dir):
+    framed = lambda df: df.withColumn("image_nr", F.expr("grain_nr div 200"))  # noqa: E731  frames of a few hundred solutions
+    solutions, spots = framed(D.solutions(spark, sf_dir)), framed(D.spots(spark, sf_dir))
+    labels = spots.select("image_nr", "x", "y").distinct().withColumn("label", F.expr("case when (x * 3 + y * 5) % 7 < 3 then 1 + (x div 8) * 8 + y div 8 else 0 end"))
+    return claims.keep_robust(solutions, claims.unique_claims(solutions, spots, labels), min_unique=1, min_total=2).drop("om")
+
+
+@query("top_by_quality", f"WITH {_SOLUTIONS} SELECT * FROM (SELECT image_nr, grain_nr, quality, row_number() OVER (PARTITION BY image_nr ORDER BY quality DESC, source_row DESC) AS rank FROM solutions) WHERE rank <= 5")
+def top_by_quality(spark, sf_dir):
+    return claims.by_quality(D.solutions(spark, sf_dir), 5).select("image_nr", "grain_nr", "quality", "rank")
+
+
+@query("fallback_labels", f"WITH {_SPOTS} SELECT image_nr, x, y, row_number() OVER (PARTITION BY image_nr ORDER BY first_row, x, y) AS label FROM (SELECT image_nr, x, y, min(spot_row) AS first_row FROM spots GROUP BY 1, 2, 3)")
+def fallback_labels(spark, sf_dir):
+    return relations.fallback_labels(D.spots(spark, sf_dir))
+
+
+# Joins and summaries
+
+
+@query("split_by_image", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT s.grain_nr, s.quality, p.image_nr FROM solutions s JOIN (SELECT DISTINCT image_nr, grain_nr FROM spots) p USING (grain_nr)")
+def split_by_image(spark, sf_dir):
+    return relations.split_by_image(D.solutions(spark, sf_dir).select("grain_nr", "quality"), D.spots(spark, sf_dir))
+
+
+@query("image_ids", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT image_nr FROM spots UNION SELECT image_nr FROM solutions")
+def image_ids(spark, sf_dir):
+    return relations.image_ids(D.spots(spark, sf_dir), D.solutions(spark, sf_dir))
+
+
+@query("frame_cogroup", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT image_nr, coalesce(a, 0) AS n_solutions, coalesce(b, 0) AS n_spots FROM (SELECT image_nr, count(*) AS a FROM solutions WHERE image_nr < 3 GROUP BY 1) FULL JOIN (SELECT image_nr, count(*) AS b FROM spots WHERE image_nr > 0 GROUP BY 1) USING (image_nr)")
+def frame_cogroup(spark, sf_dir):
+    return relations.per_frame(D.solutions(spark, sf_dir).where("image_nr < 3"), D.spots(spark, sf_dir).where("image_nr > 0"))
+
+
+@query("spots_of_grains", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT s.image_nr, s.grain_nr, s.spot_row, s.x, s.y, o.quality FROM spots s JOIN solutions o USING (image_nr, grain_nr)")
+def spots_of_grains(spark, sf_dir):
+    return relations.spots_of_grains(D.solutions(spark, sf_dir), D.spots(spark, sf_dir))
+
+
+@query("label_spots", f"WITH {_SPOTS}, {_LABELS} SELECT s.image_nr, s.grain_nr, s.spot_row, s.x, s.y, g.label FROM spots s LEFT JOIN (SELECT * FROM seg WHERE x < 50) g USING (image_nr, x, y)")
+def label_spots(spark, sf_dir):
+    return relations.label_spots(D.spots(spark, sf_dir), D.labels(spark).where("x < 50"))
+
+
+_PEAKS = f"peaks AS (SELECT p_partkey % {D.FRAMES} AS image_nr, p_partkey AS label, (p_partkey * 37 % 640) / 10e0 AS cx, (p_partkey * 91 % 640) / 10e0 AS cy FROM part)"
+_ASKED = f"asked AS (SELECT o_orderkey % {D.FRAMES} AS image_nr, o_orderkey AS spot_row, (o_orderkey * 53 % 640) / 10e0 AS px, (o_custkey * 71 % 640) / 10e0 AS py FROM orders)"
+
+
+@query("nearest_peak", f"""WITH {_PEAKS}, {_ASKED}, d AS (SELECT image_nr, spot_row, label, (px - cx) * (px - cx) + (py - cy) * (py - cy) AS d2 FROM asked JOIN peaks USING (image_nr)),
+  b AS (SELECT image_nr, spot_row, label, row_number() OVER (PARTITION BY image_nr, spot_row ORDER BY d2, label) AS n FROM d WHERE d2 <= 25)
+  SELECT image_nr, spot_row, coalesce(label - 1, -1) AS peak_index FROM asked LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (image_nr, spot_row)""")
+def nearest_peak(spark, sf_dir):
+    return relations.nearest_peak(D.peak_spots(spark, sf_dir), D.peaks(spark, sf_dir))
+
+
+@query("gaussian_sigma", f"""WITH {_PEAKS}, p AS (SELECT * FROM peaks WHERE label % 5 = 0), s AS (SELECT a.image_nr, sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS spacing FROM p a JOIN p b ON a.image_nr = b.image_nr AND a.label <> b.label GROUP BY 1)
+  SELECT image_nr, round(CASE WHEN spacing IS NULL THEN 3e0 ELSE greatest(1e0, 25e-2 * least(spacing, {_d(2500 * math.tan(math.radians(0.4)))})) END, 6) AS sigma FROM (SELECT DISTINCT image_nr FROM p) LEFT JOIN s USING (image_nr)""")
+def gaussian_sigma(spark, sf_dir):
+    spacing = relations.nearest_spacing(D.peaks(spark, sf_dir).where("label % 5 = 0"), 128.0)
+    return imaging.smoothing_width(spacing, 2500.0, 0.4).select("image_nr", F.round("sigma", 6).alias("sigma"))
+
+
+_SIM = "sim AS (SELECT c_custkey % 50 AS grain_nr, c_custkey AS sim_row, (c_custkey * 17 % 128) / 2e0 AS x, (c_custkey * 29 % 128) / 2e0 AS y FROM customer), one AS (SELECT * FROM (SELECT *, CAST(round_even(x, 0) AS INTEGER) AS rx, CAST(round_even(y, 0) AS INTEGER) AS ry, row_number() OVER (PARTITION BY grain_nr, round_even(x, 0), round_even(y, 0) ORDER BY sim_row) AS n FROM sim) WHERE n = 1)"
+
+
+@query("distinct_simulated", f"WITH {_SIM} SELECT grain_nr, sim_row, x, y, rx, ry FROM one")
+def distinct_simulated(spark, sf_dir):
+    return relations.distinct_simulated(D.simulated(spark, sf_dir))
+
+
+@query("missing_sim_spots", f"WITH {_SIM}, {_SPOTS} SELECT grain_nr, sim_row, x, y, rx, ry FROM one WHERE NOT EXISTS (SELECT 1 FROM spots s WHERE s.grain_nr = one.grain_nr AND (rx - s.x) * (rx - s.x) + (ry - s.y) * (ry - s.y) < 4)")
+def missing_sim_spots(spark, sf_dir):
+    return relations.missing_simulated(D.simulated(spark, sf_dir), D.spots(spark, sf_dir))
+
+
+@query("quality_map", f"{_EVIDENCE} SELECT image_nr, x, y, max(quality * (1 + 1e-1 * n_unique_labels)) AS best FROM spots JOIN solutions USING (image_nr, grain_nr) JOIN claims USING (image_nr, grain_nr) GROUP BY 1, 2, 3")
+def quality_map(spark, sf_dir):
+    return relations.quality_map(D.solutions(spark, sf_dir), D.spots(spark, sf_dir), _claims(spark, sf_dir))
+
+
+@query("report_counts", f"WITH {_SPOTS}, g AS (SELECT count(*) AS n FROM spots GROUP BY image_nr, grain_nr) SELECT count(*) AS n_grains, CAST(sum(n) AS BIGINT) AS n_spots, round(sum(n) / count(*), 6) AS mean_spots FROM g")
+def report_counts(spark, sf_dir):
+    return relations.report(D.spots(spark, sf_dir)).withColumn("mean_spots", F.round("mean_spots", 6))
+
+
+@query("unique_spot_counts", f"WITH {_SPOTS} SELECT image_nr, grain_nr, count(DISTINCT (x, y)) AS n_places FROM spots GROUP BY 1, 2")
+def unique_spot_counts(spark, sf_dir):
+    return relations.distinct_places(D.spots(spark, sf_dir))
+
+
+@query("image_summary", f"{_EVIDENCE}, f AS (SELECT image_nr, count(*) AS n_filtered FROM claims WHERE n_unique_labels >= 1 GROUP BY 1) SELECT image_nr, coalesce(n_orient, 0) AS n_orient, coalesce(n_filtered, 0) AS n_filtered, coalesce(n_spots, 0) AS n_spots FROM (SELECT image_nr, count(*) AS n_orient FROM solutions GROUP BY 1) FULL JOIN f USING (image_nr) FULL JOIN (SELECT image_nr, count(*) AS n_spots FROM spots GROUP BY 1) USING (image_nr)")
+def image_summary(spark, sf_dir):
+    kept = claims.keep_by_labels(D.solutions(spark, sf_dir), _claims(spark, sf_dir), 1)
+    return relations.image_summary(D.solutions(spark, sf_dir), kept, D.spots(spark, sf_dir))
+
+
+@query("batch_summary", "SELECT count(*) FILTER (value >= 20) AS n_ok, count(*) FILTER (NOT value >= 20) AS n_failed, round(avg(CASE WHEN value >= 20 THEN value END), 4) AS mean_seconds FROM events")
+def batch_summary(spark, sf_dir):
+    results = D.table(spark, sf_dir, "events").selectExpr("value >= 20 as ok", "value as seconds")
+    return relations.batch_summary(results).withColumn("mean_seconds", F.round("mean_seconds", 4))
+
+
+@query("progress", "SELECT count(*) AS n_done, count(*) FILTER (value < 20) AS n_skipped, round(count(*) / 5e1, 6) AS per_second, round((1e6 - count(*)) / (count(*) / 5e1), 4) AS seconds_left FROM events")
+def progress(spark, sf_dir):
+    done = relations.progress(D.mapping(spark, sf_dir), 1_000_000, 50.0)
+    return done.select("n_done", "n_skipped", F.round("per_second", 6).alias("per_second"), F.round("seconds_left", 4).alias("seconds_left"))
+
+
+@query("rms_error", f"WITH {_SPOTS}, {_SOLUTIONS}, e AS (SELECT image_nr, grain_nr, sqrt(avg(((x + y) / 1e2) * ((x + y) / 1e2))) AS rms FROM spots WHERE x < 32 GROUP BY 1, 2) SELECT image_nr, grain_nr, round(coalesce(rms, quality / 1e5), 6) AS rms FROM solutions LEFT JOIN e USING (image_nr, grain_nr)")
+def rms_error(spark, sf_dir):
+    spots = D.spots(spark, sf_dir).where("x < 32").withColumn("err_deg", (F.col("x") + F.col("y")) / 100.0)
+    solutions = D.solutions(spark, sf_dir).withColumn("misorientation_deg", F.col("quality") / 1e5)
+    return relations.rms_error(spots, solutions).withColumn("rms", F.round("rms", 6))
+
+
+_BITS = ["corner & 1", "(corner >> 1) & 1", "(corner >> 2) & 1"]
+
+
+@query("cell_corners", f"WITH {_ORIENT} SELECT row_nr % {D.FRAMES} AS image_nr, row_nr AS grain_nr, corner, " + ", ".join(f"round({' + '.join(f'({_BITS[b]}) * 2e-1 * m{3 * b + i}' for b in range(3))}, 6) + 0e0 AS {n}" for i, n in enumerate("xyz")) + " FROM orient, (SELECT CAST(c AS INTEGER) AS corner FROM range(8) t(c))")
+def cell_corners(spark, sf_dir):
+    corners = relations.cell_corners(D.solutions(spark, sf_dir))
+    return corners.select("image_nr", "grain_nr", "corner", *[(F.round(n, 6) + 0.0).alias(n) for n in "xyz"])
+
+
+# Images
+
+
+def _threshold(name: str, sql: str, build) -> None:
+    query(f"threshold_{name}", sql)(lambda spark, sf_dir: build(D.pixels(spark, sf_dir)).select("image_nr", F.round("threshold", 6).alias("threshold")))
+
+
+_threshold("mad", f"WITH {_PIXELS}, m AS (SELECT image_nr, median(v) AS med FROM pixels WHERE v > 0 GROUP BY 1) SELECT image_nr, round(greatest(max(med) + 4e0 * 1.4826e0 * median(abs(v - med)), 1e0), 6) AS threshold FROM pixels JOIN m USING (image_nr) WHERE v > 0 GROUP BY 1", imaging.noise_floor)
+_threshold("fixed", f"WITH {_PIXELS} SELECT DISTINCT image_nr, 24e1 AS threshold FROM pixels", lambda p: imaging.fixed(p, 240))
+_threshold("std", f"WITH {_PIXELS}, s AS (SELECT image_nr, sum(v) AS s, sum(v * v) AS s2 FROM pixels GROUP BY 1) SELECT image_nr, 6e1 * (1 + floor(sqrt(greatest(s2 / {N_PIXELS} - (s / {N_PIXELS}) * (s / {N_PIXELS}), 0e0)) / 60)) AS threshold FROM s", lambda p: imaging.deviation(p, N_PIXELS))
+_DENSE = f"{_PIXELS}, dense AS (SELECT f.image_nr, t.pix, coalesce(p.v, 0e0) AS v FROM (SELECT DISTINCT image_nr FROM pixels) f CROSS JOIN range({N_PIXELS}) t(pix) LEFT JOIN pixels p ON p.image_nr = f.image_nr AND p.pix = t.pix)"
+_threshold("percentile", f"WITH {_DENSE} SELECT image_nr, round(quantile_cont(v, 0.95), 6) AS threshold FROM dense GROUP BY 1", lambda p: imaging.percentile(p, 95.0, N_PIXELS))
+_threshold(
+    "otsu",
+    f"""WITH {_DENSE}, t AS (SELECT image_nr, max(v) AS top FROM dense GROUP BY 1),
+    h AS (SELECT image_nr, top, CAST(least(floor(v / top * 256), 255) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS c FROM dense JOIN t USING (image_nr) GROUP BY 1, 2, 3),
+    g AS (SELECT image_nr, bin, c, (bin + 5e-1) * top / 256 AS mid FROM h),
+    w AS (SELECT image_nr, bin, mid, sum(c) OVER u AS w1, sum(c * mid) OVER u AS m1, sum(c) OVER a AS w, sum(c * mid) OVER a AS m FROM g
+      WINDOW u AS (PARTITION BY image_nr ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY image_nr)),
+    b AS (SELECT image_nr, bin, mid, CASE WHEN w > w1 THEN w1 * (w - w1) * pow(m1 / w1 - (m - m1) / (w - w1), 2) ELSE -1 END AS between_ FROM w)
+    SELECT image_nr, round(mid, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_nr ORDER BY between_ DESC, bin) AS n FROM b) WHERE n = 1""",
+    lambda p: imaging.otsu(p, N_PIXELS),
+)
+
+
+@query("above_threshold", f"WITH {_PIXELS} SELECT image_nr, pix, floor(v) % 65536e0 AS v FROM pixels WHERE v > 30000.5 AND floor(v) % 65536e0 > 0")
+def above_threshold(spark, sf_dir):
+    return imaging.above(D.pixels(spark, sf_dir), imaging.fixed(D.pixels(spark, sf_dir), 30000.5))
+
+
+@query("quantised_pixels", f"WITH {_PIXELS}, t AS (SELECT image_nr, max(v) AS top FROM pixels GROUP BY 1) SELECT image_nr, pix, CAST(greatest(floor(v * 255 / top), 1) AS INTEGER) AS level FROM pixels JOIN t USING (image_nr) WHERE v > 0")
+def quantised_pixels(spark, sf_dir):
+    return imaging.quantised(D.pixels(spark, sf_dir))
+
+
+@query("log_pixels", f"WITH {_PIXELS} SELECT image_nr, pix, round(ln(CASE WHEN v <= 3e4 THEN 1e0 ELSE v - 3e4 END), 6) AS v FROM pixels")
+def log_pixels(spark, sf_dir):
+    return imaging.log_image(D.pixels(spark, sf_dir).withColumn("v", F.col("v") - 30000.0)).withColumn("v", F.round("v", 6))
+
+
+_SEG_PIX = f"{_LABELS}, lab AS (SELECT image_nr, y * {D.SIZE} + x AS pix, label FROM seg WHERE label > 0)"
+
+
+def _labelled(spark):
+    return D.labels(spark).where("label > 0").selectExpr("image_nr", f"y * {D.SIZE} + x as pix", "label")
+
+
+@query("component_stats", f"WITH {_SEG_PIX} SELECT image_nr, label, count(*) AS area, min(pix % {D.SIZE}) AS x, min(pix // {D.SIZE}) AS y, max(pix % {D.SIZE}) - min(pix % {D.SIZE}) + 1 AS w, max(pix // {D.SIZE}) - min(pix // {D.SIZE}) + 1 AS h FROM lab GROUP BY 1, 2")
+def component_stats(spark, sf_dir):
+    return imaging.region_stats(_labelled(spark), D.SIZE)
+
+
+_CENTRES = f"cen AS (SELECT image_nr, label, CAST(sum((pix % {D.SIZE}) * CAST(v AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS cx, CAST(sum((pix // {D.SIZE}) * CAST(v AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS cy, count(*) AS area FROM lab JOIN pixels USING (image_nr, pix) GROUP BY 1, 2 HAVING count(*) >= 4)"
+
+
+@query("centre_of_mass", f"WITH {_SEG_PIX}, {_PIXELS}, {_CENTRES} SELECT image_nr, label, round(cx, 6) AS cx, round(cy, 6) AS cy, area FROM cen")
+def centre_of_mass(spark, sf_dir):
+    found = imaging.centres(_labelled(spark), D.pixels(spark, sf_dir), D.SIZE, min_area=4)
+    return found.select("image_nr", "label", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
+
+
+@query("small_components_removed", f"WITH {_SEG_PIX}, {_PIXELS}, {_CENTRES} SELECT l.* FROM lab l SEMI JOIN cen USING (image_nr, label)")
+def small_components_removed(spark, sf_dir):
+    labels = _labelled(spark)
+    return imaging.keep_regions(labels, imaging.centres(labels, D.pixels(spark, sf_dir), D.SIZE, min_area=4))
+
+
+@query(
+    "connected_components",
+    f"""WITH RECURSIVE {_PIXELS}, lit AS (SELECT image_nr, pix FROM pixels WHERE v > 6e4 AND pix % 3 <> 1),
+    near AS (SELECT a.image_nr, a.pix, b.pix AS other FROM lit a JOIN lit b ON a.image_nr = b.image_nr AND abs(a.pix % {D.SIZE} - b.pix % {D.SIZE}) <= 1 AND abs(a.pix // {D.SIZE} - b.pix // {D.SIZE}) <= 1),
+    reach AS (SELECT image_nr, pix, pix AS root FROM lit UNION SELECT n.image_nr, n.other, r.root FROM reach r JOIN near n ON n.image_nr = r.image_nr AND n.pix = r.pix)
+    SELECT image_nr, pix, CAST(dense_rank() OVER (PARTITION BY image_nr ORDER BY root) AS INTEGER) AS label FROM (SELECT image_nr, pix, min(root) AS root FROM reach GROUP BY 1, 2)""",
+)
+def connected_components(spark, sf_dir):
+    return imaging.components(D.pixels(spark, sf_dir).where("v > 60000 and pix % 3 <> 1"), D.SIZE)
+
+
+@query("preprocess_frames")
+def preprocess_frames(spark, sf_dir):
+    return imaging.preprocess(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, thresholds=imaging.fixed(D.pixels(spark, sf_dir), 20000.0), min_area=2)["centres"]
+
+
+@query("background_median")
+def background_median(spark, sf_dir):
+    return imaging.background_median(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, size=5)
+
+
+@query("gaussian_blur")
+def gaussian_blur(spark, sf_dir):
+    return imaging.blur(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, 1.5)
+
+
+@query("watershed_labels")
+def watershed_labels(spark, sf_dir):
+    pixels = D.pixels(spark, sf_dir)
+    seeds = imaging.components(pixels.where("v > 60000"), D.SIZE)
+    return imaging.split_touching(pixels, seeds, D.SIZE, D.SIZE)
+
+
+@query("image_cleanup")
+def image_cleanup(spark, sf_dir):
+    pixels = D.pixels(spark, sf_dir)
+    return imaging.cleanup(pixels, pixels.withColumn("v", F.lit(1000.0)), D.SIZE, N_PIXELS, min_area=2, max_area=50)
