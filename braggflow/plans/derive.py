@@ -10,7 +10,7 @@ from braggflow.operators import reflections
 
 SIZE, FRAMES = 64, 4
 DETECTOR = Detector(NICKEL_DETECTOR.p_array, NICKEL_DETECTOR.r_array, 0.0064, 0.0064, SIZE, SIZE)
-H_MAX = 3
+H_MAX = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -107,7 +107,7 @@ fwd AS (SELECT * FROM (SELECT row_nr, row_number() OVER (PARTITION BY row_nr ORD
 _FORWARD = f"WITH hkls AS ({_hkl_sql(D.H_MAX, _RULES['f'][2])}), {_ORIENT}, {_PROJECT}"
 _COARSE = f"""{_FORWARD}, {_PIXELS},
 coarse AS (SELECT *, total * sqrt(CAST(n_spots AS DOUBLE)) AS score FROM (SELECT image_nr, row_nr, count(*) AS n_spots, CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS total
-  FROM fwd JOIN pixels USING (pix) GROUP BY 1, 2) WHERE n_spots >= 3)"""
+  FROM fwd JOIN pixels USING (pix) GROUP BY 1, 2) WHERE n_spots >= 2)"""
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.coarse(_forward(spark, sf_dir), D.pixels(spark, sf_dir), min_spots=3)
+    return match.coarse(_forward(spark, sf_dir), D.pixels(spark, sf_dir), min_spots=2)
 
 
 @query("forward_spots", f"{_FORWARD} SELECT row_nr, spot_nr, hkl_id, pix FROM fwd")
@@ -529,3 +529,83 @@ def watershed_labels(spark, sf_dir):
 def image_cleanup(spark, sf_dir):
     pixels = D.pixels(spark, sf_dir)
     return imaging.cleanup(pixels, pixels.withColumn("v", F.lit(1000.0)), D.SIZE, N_PIXELS, min_area=2, max_area=50)
+
+
+# Simulation, refinement, text and streams
+
+
+@query("simulate_spots")
+def simulate_spots(spark, sf_dir):
+    from braggflow.operators import simulate
+
+    return simulate.simulate(D.orientations(spark, sf_dir), D.hkls(spark), NICKEL, D.DETECTOR, skip_percent=20)
+
+
+@query("refine_candidates")
+def refine_candidates(spark, sf_dir):
+    from braggflow.operators.refine import refine
+
+    orientations, pixels = D.orientations(spark, sf_dir), D.pixels(spark, sf_dir)
+    merged = merge.merge(match.top(_coarse(spark, sf_dir), 20).drop("rank"), orientations)
+    found, _ = refine(merged.join(orientations, "row_nr"), pixels, reflections.primitive(D.hkls(spark)), NICKEL, D.DETECTOR, min_spots=1)
+    return found.select("image_nr", "grain_nr", "row_nr", "n_matches", "n_spots_calc", F.round("quality", 4).alias("quality"))
+
+
+@query("hkl_primitive", f"SELECT hkl_id, h, k, l, n2, CAST(h / g AS INTEGER) AS ph, CAST(k / g AS INTEGER) AS pk, CAST(l / g AS INTEGER) AS pl FROM (SELECT *, gcd(gcd(abs(h), abs(k)), abs(l)) AS g FROM ({_hkl_sql(D.H_MAX, _RULES['f'][2])}))")
+def hkl_primitive(spark, sf_dir):
+    return reflections.primitive(D.hkls(spark))
+
+
+@query("orientation_grid")
+def orientation_grid(spark, sf_dir):
+    from braggflow.operators import orientations
+
+    return orientations.uniform(spark, 5000)
+
+
+@query("frame_mapping_json", "SELECT event_id AS image_nr, concat('frame_', event_type, '.h5') AS file, CAST(user_id % 10 AS INTEGER) AS frame, value < 20 AS skipped, CAST(trunc(value) AS INTEGER) AS n_spots FROM events")
+def frame_mapping_json(spark, sf_dir):
+    from braggflow.sources import readers, writers
+
+    lines = writers.mapping_json(D.mapping(spark, sf_dir))
+    keyed = lines.select(F.concat(F.lit('{"'), "image_nr", F.lit('": '), "value", F.lit("}")).alias("value"))
+    return readers.frame_mapping(keyed).drop("reason")
+
+
+@query("spot_lines", f"WITH {_SPOTS} SELECT image_nr, grain_nr, spot_row, concat_ws(chr(9), CAST(grain_nr AS VARCHAR), CAST(spot_row AS VARCHAR), CAST(x AS VARCHAR), CAST(y AS VARCHAR)) AS value FROM spots")
+def spot_lines(spark, sf_dir):
+    columns = [F.col(c).cast("string") for c in ("grain_nr", "spot_row", "x", "y")]
+    return D.spots(spark, sf_dir).select("image_nr", "grain_nr", "spot_row", F.concat_ws("\t", *columns).alias("value"))
+
+
+@query("index_pattern_lines")
+def index_pattern_lines(spark, sf_dir):
+    from braggflow.sources import writers
+
+    solutions = D.solutions(spark, sf_dir).withColumn("recip", F.transform("om", lambda v: v * NICKEL.reciprocal()[0][0])).withColumn("rms", F.lit(0.0))
+    solutions = solutions.withColumn("euler", F.array(*G.euler_degrees(G.elements("om", 9))))
+    spots = D.spots(spark, sf_dir).withColumn("spot_nr", F.col("spot_row"))
+    spots = spots.withColumns({c: F.lit(0.0) for c in ("qx", "qy", "qz", "energy", "err_deg")} | {c: F.lit(1) for c in "hkl"} | {"intensity": F.col("x") * 1.0, "peak_index": F.lit(-1)})
+    return writers.index_patterns(solutions, spots)
+
+
+@query("legacy_names", "SELECT i + 1 AS image_nr, 'scan_' || lpad(CAST(7 + i AS VARCHAR), 3, '0') || '.h5' AS file FROM range(120) t(i)")
+def legacy_names(spark, sf_dir):
+    from braggflow.sources import readers
+
+    return readers.legacy_names(spark, "scan_007.h5", 120)
+
+
+@query("stream_frames", f"{_COARSE} SELECT image_nr, row_nr, n_spots, round(total, 4) AS total, round(score, 4) AS score FROM coarse")
+def stream_frames(spark, sf_dir):
+    """The coarse matches of a drained stream of landed frames; the same rows as the batch."""
+    import uuid
+
+    from braggflow.streaming import frames
+
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/braggflow-stream/{uuid.uuid4().hex}"
+    D.pixels(spark, sf_dir).repartition(D.FRAMES, "image_nr").sortWithinPartitions("image_nr").write.parquet(f"{shared}/landing")
+    stream = frames.match_stream(frames.landing(spark, f"{shared}/landing"), _forward(spark, sf_dir), f"{shared}/out", f"{shared}/state", min_spots=2, available_now=True)
+    stream.awaitTermination()
+    found = spark.read.parquet(f"{shared}/out").drop("batch")
+    return found.select("image_nr", "row_nr", "n_spots", F.round("total", 4).alias("total"), F.round("score", 4).alias("score"))
