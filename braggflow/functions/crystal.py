@@ -97,15 +97,20 @@ def quaternion_product(p, q) -> tuple[float, ...]:
 def _generate(generators: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
     """The rotation group that the generators span, as quaternions with a non-negative first part."""
 
-    def canon(q):
-        q = tuple(round(x, 12) + 0.0 for x in q)
-        return tuple(-x + 0.0 for x in q) if next((x for x in q if x), 0) < 0 else q
+    def key(q):
+        q = tuple(round(x, 6) + 0.0 for x in q)
+        return tuple(-x + 0.0 for x in q) if next(x for x in q if x) < 0 else q
 
-    group = {canon((1.0, 0.0, 0.0, 0.0))}
+    def settled(q):
+        sign = -1.0 if next(x for x in q if abs(x) > 1e-6) < 0 else 1.0
+        size = math.sqrt(sum(x * x for x in q))
+        return tuple(sign * x / size if abs(x) > 1e-12 else 0.0 for x in q)
+
+    group = {key((1.0, 0.0, 0.0, 0.0)): (1.0, 0.0, 0.0, 0.0)}
     while True:
-        more = {canon(quaternion_product(p, g)) for p in group for g in generators} - group
+        more = {key(q): settled(q) for q in (quaternion_product(p, g) for p in group.values() for g in generators) if key(q) not in group}
         if not more:
-            return sorted(group, reverse=True)
+            return [group[k] for k in sorted(group, reverse=True)]
         group |= more
 
 

@@ -59,8 +59,8 @@ def test_mapping_and_index_file(spark, tmp_path):
     lines = spark.createDataFrame([(json.dumps({"3": {"file": "a.h5", "frame": 1, "skipped": True, "reason": "no_spots"}}),)], "value string")
     got = readers.frame_mapping(lines).first()
     assert (got.image_nr, got.file, got.skipped, got.n_spots, got.reason) == (3, "a.h5", True, None, "no_spots")
-    eye = [1.0, 0, 0, 0, 1, 0, 0, 0, 1]
-    solutions = spark.createDataFrame([(0, 1, 9.0, 0.1, eye, eye, [1.0, 2, 3])], "image_nr int, grain_nr int, quality double, rms double, om array<double>, recip array<double>, euler array<double>")
+    eye = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    solutions = spark.createDataFrame([(0, 1, 9.0, 0.1, eye, eye, [1.0, 2.0, 3.0])], "image_nr int, grain_nr int, quality double, rms double, om array<double>, recip array<double>, euler array<double>")
     spot = spark.createDataFrame([(0, 1, 4, 0.1, 0.2, -0.9, 1, -1, 2, 12.5, 9.0, 0.01, 3)], "image_nr int, grain_nr int, spot_nr int, qx double, qy double, qz double, h int, k int, l int, intensity double, energy double, err_deg double, peak_index int")
     header = spark.createDataFrame([(0, 1, "SpaceGroup", "225")], "image_nr int, position int, keyword string, value string")
     text = writers.index_files(writers.index_patterns(solutions, spot), header).first().value
