@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces kept in one generation of a worker's cache, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 250_000, 200
+CACHE_PIECES, CACHE_CHARS = 150_000, 200
 #: Texts with more characters than this are matched step by step, this many pieces at a time.
 LONG_CHARS, RUN = 1 << 20, 1 << 16
 _NONE = 1 << 62
@@ -50,12 +50,15 @@ class PieceCache(dict):
         if value is None:
             value = self.make(piece)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
+            self.keep(piece, value)
         return value
 
+    def keep(self, piece, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
@@ -156,19 +159,26 @@ def in_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterat
         yield batch.slice(a, b - a)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ids of each whole text, a binary of little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids): ids of each whole text, a binary of little-endian unsigned 32-bit integers.
+
+    With `decoded`, also the bytes that the ids decode to, by the same worker; decode() gives the same from stored ids.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            for part in in_slices(batch, "text"):
+            for part in in_slices(batch, "text", 4 << 20):
                 ids = [enc.encode(text) if text else b"" for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
+                arrays = [part.column("id"), pa.array(ids, pa.binary())]
+                if decoded:
+                    arrays.append(pa.array(map(enc.decode, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "ids", "decoded"][: len(arrays)])
 
     id_type = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(work, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+    out = source.mapInArrow(work, f"id {id_type}, ids binary" + ", decoded binary" * decoded)
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:

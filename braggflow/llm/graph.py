@@ -9,7 +9,8 @@ In each round every bucket has one centre, which is tested against the bucket's
 grow in proportion to the postings. The centre then leaves, and a bucket is done when all that is left
 of it lies in one connected group, since further links could not change any group. Buckets of copies
 or near copies end so after a round or two. What is still open after `rounds` rounds, where members of
-different groups share a bucket but are no links, is tested pair by pair, across groups only.
+different groups share a bucket but are no links, goes to `finish` if the caller has a sharper filter for it, and
+is tested pair by pair, across groups only, otherwise.
 """
 
 from __future__ import annotations
@@ -55,23 +56,38 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 4) -> DataFrame:
-    """Components (node, component) of the links among ids that share a bucket; nodes without a link are left out.
+def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 4, refine: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b) among ids that share a bucket, enough to connect all that test() accepts.
 
-    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links.
+    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. refine: from the postings of
+    buckets with two members or more, postings that part them further but no two that may be linked. finish: from distinct
+    (centre, id), where id is in an open bucket whose first centre it was tested against, enough links to connect all
+    links among ids of equal centres.
     """
     sizes = postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = stored(postings.join(sizes, "bucket"), "postings")
+    if refine is not None:
+        finer = stored(refine(live.select("bucket", "id")), "postings")
+        discard(live)
+        live = stored(finer.join(finer.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "postings")
+        discard(finer)
     popular = live.groupBy("id").agg(F.sum("n").alias("score"))  # who shares most buckets with most others comes first
     live_scored = stored(live.join(popular, "id").select("bucket", "id", F.col("id").alias("group"), F.col("score").cast("long").alias("score")), "postings")
     discard(live)
     live = live_scored
-    tried = edges = labels = None
+    tried = labels = None
+    edges = postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     for r in range(rounds + 1):
         if _is_empty(live):
             break
+        if r == rounds and finish is not None:
+            framed = live.select("bucket", "id").join(first_centres, "bucket").where("id <> centre").select("centre", "id").distinct()
+            return edges.union(finish(stored(framed, "open")).select("a", "b"))
         if r < rounds:
             centres = live.groupBy("bucket").agg(F.max_by(F.struct("id", "group"), F.struct("score", "id")).alias("c"))
+            if r == 0 and finish is not None:
+                first_centres = centres = stored(centres, "centres")
+                first_centres = first_centres.select("bucket", F.col("c.id").alias("centre"))
             pairs = live.join(centres, "bucket").where("group <> c.group").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
         else:
             centres = None
@@ -83,12 +99,13 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
         pairs = stored(pairs, "pairs")
         good = stored(test(pairs).select("a", "b"), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        edges = good if edges is None else edges.union(good)
+        edges = edges.union(good)
         if not _is_empty(good):
             discard(*([labels] if labels is not None else []))
             labels = components(edges)
         if centres is None:
             break
+        # who has asked everybody leaves; buckets that are one group by now are done
         rest = live.join(centres.select("bucket", F.col("c.id").alias("centre")), "bucket").where("id <> centre").select("bucket", "id", "group", "score")
         if labels is not None:
             rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "group"))
@@ -99,7 +116,4 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
         after = stored(rest.join(in_group, ["bucket", "group"]).select("bucket", "id", "group", (-F.col("n")).alias("score")), "postings")
         discard(live)
         live = after
-    discard(live)
-    if labels is None:
-        labels = stored(postings.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0), "labels")
-    return labels
+    return edges

@@ -12,7 +12,14 @@ words: the whole sequence as one). Documents with at least 85 % of their union i
 3. Each posting list is merged by its centre instead of pair by pair (see graph.link); a pair's
    collisions over all coordinates are counted, and pairs above the match threshold are confirmed on
    the full shingle sets of both texts.
-4. Connected groups of confirmed links get the smallest document id.
+4. Posting lists that stay open hold documents that are alike but below the threshold. They are joined
+   again by what tells them apart: each set's difference D from the list's first centre. Sets of sizes
+   n and m above the threshold differ in at most 15 / 185 * (n + m) shingles, so their differences
+   share at least t = (|D| + |D'| - that) / 2 and meet in the rarest |D| - t + 1 of one and the rarest
+   |D'| - t + 1 of the other (or both are so small that t is 0, which is a list of its own).
+   Differences are posted for each pair of size classes, but for shingles that no other document has;
+   lists that lack one of the two classes go. This filter is exact.
+5. Connected groups of confirmed links get the smallest document id.
 
 The order is kept for at most ``HOT_VALUES`` frequent values; any order is right, so the bound is on
 speed only. Signatures, sets and links stay in tables; the driver sees counts and the bounded order.
@@ -25,7 +32,9 @@ texts are hashed in stretches; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +44,7 @@ from pyspark.sql import functions as F
 
 from braggflow.llm.bpe import in_slices
 from braggflow.llm.common import discard, small_side, stored
-from braggflow.llm.graph import link
+from braggflow.llm.graph import components, link
 from braggflow.llm.words import VISIBLE, window_hashes, words_of
 
 SHINGLE, PERCENT = 5, 85
@@ -43,6 +52,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: A value more frequent than this goes into the order of frequent values; at most so many go in.
 HOT_COUNT, HOT_VALUES = 16, 400_000
+#: Centre rounds over signature postings, and the ratio of neighbouring size classes of differences.
+ROUNDS, SIZE_RATIO = 2, 1.2
 _A = np.random.default_rng(101).integers(1, 1 << 63, COORDINATES, dtype="u8") | np.uint64(1)
 _B = np.random.default_rng(103).integers(1, 1 << 63, COORDINATES, dtype="u8")
 
@@ -99,59 +110,155 @@ def _values(sigs: list[bytes]) -> np.ndarray:
     return table | (np.arange(COORDINATES, dtype="i8") << 32)
 
 
-def frequent_values(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted frequent coordinate-value pairs and their counts over all classes; HOT_VALUES of them at most."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values, n = np.unique(_values(batch.column("sig").to_pylist()), return_counts=True)
-                yield _rows([pa.array(values), pa.array(n.astype("i8"))], ["value", "n"])
-
-    counts = classes.select("sig").mapInArrow(work, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_COUNT)
+def _frequent(values: DataFrame, more_than: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted frequent values and their counts, of partial counts (value, n); HOT_VALUES of them at most."""
+    counts = values.groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") > more_than)
     top = counts.orderBy(F.desc("n"), "value").limit(HOT_VALUES).toPandas().sort_values("value")
     return top["value"].to_numpy("i8"), top["n"].to_numpy("i8")
 
 
+def _ranks(values: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts of values in the order of frequent values, 0 for those outside."""
+    hot, n = order
+    if not len(hot):
+        return np.zeros(values.shape, "i8")
+    at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
+    return np.where(hot[at] == values, n[at], 0)
+
+
+def _counted(arrays: list[np.ndarray]) -> pa.RecordBatch:
+    values, n = np.unique(np.concatenate(arrays), return_counts=True)
+    return _rows([pa.array(values), pa.array(n.astype("i8"))], ["value", "n"])
+
+
 def postings(classes: DataFrame) -> DataFrame:
     """(bucket, id): each class under the rarest PREFIX of its coordinate-value pairs."""
-    order = classes.sparkSession.sparkContext.broadcast(frequent_values(classes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _counted(list(_values(batch.column("sig").to_pylist())))
+
+    counts = classes.select("sig").mapInArrow(count, "value long, n long")
+    order = classes.sparkSession.sparkContext.broadcast(_frequent(counts, HOT_COUNT))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, n = order.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             values = _values(batch.column("sig").to_pylist())
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-                rank = np.where(hot[at] == values, n[at], 0)
-                values = np.take_along_axis(values, np.lexsort((values, rank), axis=1)[:, :PREFIX], axis=1)
-            else:
-                values = np.sort(values, axis=1)[:, :PREFIX]
+            rarest = np.lexsort((values, _ranks(values, order.value)), axis=1)[:, :PREFIX]
             ids = np.repeat(batch.column("cid").to_numpy(), PREFIX)
-            yield _rows([pa.array(values.reshape(-1)), pa.array(ids)], ["bucket", "id"])
+            yield _rows([pa.array(np.take_along_axis(values, rarest, axis=1).reshape(-1)), pa.array(ids)], ["bucket", "id"])
 
     return classes.select("cid", "sig").mapInArrow(work, "bucket long, id long")
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of classes that match on MATCHES coordinates and on PERCENT of their full sets."""
+def _size_class(n: int) -> int:
+    return 0 if n == 0 else 1 + math.floor(math.log(n) / math.log(SIZE_RATIO) + 1e-9)
+
+
+@lru_cache(maxsize=4096)
+def _class_range(c: int) -> tuple[int, int]:
+    """Least and most of a size class; a class may be empty."""
+    if c == 0:
+        return 0, 0
+    low = math.floor(SIZE_RATIO ** (c - 1))
+    while _size_class(low) < c:
+        low += 1
+    high = low
+    while _size_class(high + 1) == c:
+        high += 1
+    return low, high
+
+
+def most_apart(n: int, m: int) -> int:
+    """In how many shingles sets of n and m may differ and still be linked."""
+    return (100 - PERCENT) * (n + m) // (100 + PERCENT)
+
+
+def difference_prefixes(d: int, n: int, centre: int) -> list[tuple[int, int, bool]]:
+    """(partner's class, rarest parts of the difference to post, whether nothing need be shared) for a set of size n
+    that differs in d from a centre of some size."""
+    largest = 100 * n // PERCENT
+    reach = most_apart(n, largest)
+    out = []
+    for partner in range(_size_class(max(0, d - reach)), _size_class(d + reach) + 1):
+        low, high = _class_range(partner)
+        if _size_class(low) != partner:
+            continue
+        apart = most_apart(n, min(largest, centre + high))
+        if d - high <= apart and low - d <= apart:
+            out.append((partner, min(d, (d - low + apart) // 2 + 1), d + low <= apart))
+    return out
+
 
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
+    """(bucket, id) of framed ids (centre, id): a bucket is a centre, a part of the difference, and a pair of size classes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, "members"):
+                yield _counted([np.frombuffer(m, "i8") for m in part.column("members").to_pylist()])
+
+    members = sets.join(frames.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi").select("members")
+    found = _frequent(members.mapInArrow(count, "value long, n long"), 1)
+    complete = len(found[0]) < HOT_VALUES  # then a shingle outside the order is one document's own, and meets no other
+    order = sets.sparkSession.sparkContext.broadcast(found)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, "own", 1 << 20):
+                buckets, ids, sides = [], [], []
+                for centre, cid, mid, own in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    mid, own = np.frombuffer(mid, "i8"), np.frombuffer(own, "i8")
+                    more, less = np.setdiff1d(own, mid, assume_unique=True), np.setdiff1d(mid, own, assume_unique=True)
+                    # rarest first: what few have, then what few lack
+                    rank = _ranks(more, order.value)
+                    alone = int((rank == 0).sum()) if complete else 0
+                    more, less = more[np.lexsort((more, rank))], less[np.lexsort((less, -_ranks(less, order.value)))]
+                    parts = np.concatenate([more.view("u8"), less.view("u8") ^ _A[1]])
+                    parts = (parts ^ (parts >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                    d = len(parts)
+                    at = _size_class(d)
+                    for partner, n, near in difference_prefixes(d, len(own), len(mid)):
+                        frame = (centre * int(_A[2]) + (min(at, partner) << 20 | max(at, partner)) * int(_A[0])) & (1 << 64) - 1
+                        found = parts[alone:n] + np.uint64(frame)
+                        buckets.append(np.append(found, np.uint64(frame)) if near else found)
+                        ids.append(np.full(len(buckets[-1]), cid, "i8"))
+                        sides.append(np.full(len(buckets[-1]), 0 if at < partner else 1 if at > partner else 2, "i4"))
+                if ids:
+                    yield _rows([pa.array(np.concatenate(buckets).view("i8")), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sides))], ["bucket", "id", "side"])
+
+    mid = sets.select(F.col("cid").alias("centre"), F.col("members").alias("mid"))
+    own = sets.select(F.col("cid").alias("id"), F.col("members").alias("own"))
+    posted = stored(frames.join(mid, "centre").join(own, "id").select("centre", "id", "mid", "own").mapInArrow(work, "bucket long, id long, side int"), "differences")
+    on = lambda side: F.count_if(F.col("side") == side)
+    useful = posted.groupBy("bucket").agg(on(0).alias("a"), on(1).alias("b"), on(2).alias("c")).where("(a > 0 and b > 0) or c > 1").select("bucket")
+    out = stored(posted.join(useful, "bucket").select("bucket", "id").distinct(), "differences")
+    discard(posted)
+    return out
+
+
+def matching(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes that agree on MATCHES coordinates, stored."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 left, right = (_values(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
-                keep = pa.array((left == right).sum(axis=1) >= MATCHES)
-                yield batch.select(["a", "b"]).filter(keep)
+                yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= MATCHES))
 
     sig = classes.select("cid", "sig")
     both = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(matching, "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+    return stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long"), "near")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(cid, members): the full shingle sets of wanted classes (cid), read from the documents again, stored."""
     wanted = stored(classes.join(wanted, "cid").select("cid", "rep", "d1", "d2"), "wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "text", 2 << 20):
                 found = [shingles(t).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
@@ -160,11 +267,17 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, id_col: st
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.join(small_side(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    whole = texts.mapInArrow(sets, "id long, e1 long, e2 long, members binary")
+    whole = texts.mapInArrow(work, "id long, e1 long, e2 long, members binary")
     whole = whole.join(wanted, (F.col("id") == F.col("rep")) & (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2"))).select("cid", "members")
-    whole = stored(whole.dropDuplicates(["cid"]), "sets")
+    out = stored(whole.dropDuplicates(["cid"]), "sets")
+    discard(wanted)
+    return out
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have PERCENT of their union in common, stored."""
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
@@ -173,18 +286,35 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, id_col: st
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = whole.select(F.col("cid").alias("a"), F.col("members").alias("set_a"))
-    right = whole.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
-    good = stored(near.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long"), "confirmed")
-    discard(near, wanted, whole)
-    return good
+    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a"))
+    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long"), "confirmed")
+
+
+def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) of classes, enough to connect every pair above the threshold."""
+
+    def test(pairs: DataFrame) -> DataFrame:
+        near = matching(classes, pairs)
+        ends = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+        sets = sets_of(docs, classes, ends, id_col=id_col, text_col=text_col)
+        good = confirmed(sets, near)
+        discard(near, sets)
+        return good
+
+    def finish(frames: DataFrame) -> DataFrame:
+        wanted = frames.select(F.col("id").alias("cid")).union(frames.select("centre")).distinct()
+        sets = sets_of(docs, classes, wanted, id_col=id_col, text_col=text_col)
+        return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, pairs))
+
+    return link(postings(classes), test, rounds=ROUNDS, finish=finish)
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, n_shingles, component_id, kept) of each document."""
     sketched = sketch(docs, id_col=id_col, text_col=text_col)
     classes = classes_of(sketched)
-    labels = link(postings(classes), lambda pairs: confirm(docs, classes, pairs, id_col=id_col, text_col=text_col))
+    labels = components(links(docs, classes, id_col=id_col, text_col=text_col))
     reps = classes.select("cid", "d1", "d2", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     reps = reps.withColumn("component", F.coalesce("component", "cid"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))

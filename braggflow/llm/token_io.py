@@ -23,6 +23,7 @@ ignored; an empty table writes no shard and gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,32 +37,85 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braggflow.llm.bpe import PieceCache, in_slices
+from braggflow.llm.bpe import CACHE_CHARS, in_slices
 from braggflow.llm.common import shared_dir, stored
 
 MAGIC = b"BFTOK1\n\0"
 #: Documents in a shard, about; ids in a block.
 SHARD_DOCS, BLOCK_IDS = 16_384, 1 << 16
+#: Words in one generation of a worker's cache.
+CACHE_WORDS = 400_000
+_MARKS, _ALNUM = frozenset(b".,;:!?)|"), frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 
 
 class WordEncoder:
     """Ids by the tokenizers library for tokenizers that drop white space: runs between ASCII white space are independent.
 
     Lower-casing A-Z first changes nothing for a tokenizer that lower-cases, unless a special string is in the text.
+    One mark after a letter or digit is a pre-token of its own, so ``word,`` is ``word`` and ``,``. What the cache
+    lacks is encoded by the library a batch at a time.
     """
 
     def __init__(self, path: str):
         import tokenizers
 
-        library = tokenizers.Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        self.dtype = "<u2" if library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache = PieceCache(lambda w: np.array(library.encode(w.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes())
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split() if b"<|" in text else text.lower().split()
-        return b"".join(map(self.cache.__getitem__, words))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self.new, self.old, self.ends = {}, {}, None
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends = np.zeros(self.library.get_vocab_size(), "?")
+            self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode new words; words of letters alone are one pre-token each and go together, parted at the tokens that end a word."""
+        texts = [w.decode("utf-8") for w in fresh]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()] if self.ends is not None else []
+        if letters:
+            ids = np.array(self.encode([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, self.dtype)
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(at) == len(letters):
+                packed = ids.tobytes()
+                self.new.update(zip([fresh[i] for i in letters], [packed[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True))
+            else:
+                letters = []
+        rest = sorted(set(range(len(fresh))) - set(letters))
+        for i, found in zip(rest, self.encode([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            self.new[fresh[i]] = np.array(found.ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        new, old = self.new, self.old
+        fresh = [w for w in set().union(*words) if w not in new]
+        unknown, marked = set(), []
+        for w in fresh:
+            value = old.get(w)
+            if value is not None:
+                new[w] = value
+            elif len(w) > 1 and w[-1] in _MARKS and w[-2] in _ALNUM:
+                marked.append(w)
+                unknown.add(w[:-1])
+                unknown.add(w[-1:])
+            else:
+                unknown.add(w)
+        unknown = [w for w in unknown if w not in new]
+        for i in range(0, len(unknown), 4096):
+            self._learn(unknown[i : i + 4096])
+        new.update([(w, new[w[:-1]] + new[w[-1:]]) for w in marked])
+        value = new.__getitem__
+        out = [b"".join(map(value, own)) for own in words]
+        for w in fresh:
+            if len(w) > CACHE_CHARS:
+                new.pop(w, None)
+                new.pop(w[:-1], None)
+        if len(new) > CACHE_WORDS:  # a full generation becomes the old one, whose used words move on
+            self.old, self.new = new, {}
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -176,12 +230,12 @@ def write(docs: DataFrame, path: str, out_dir: str, *, end_id: int = 1, id_col:
         enc = word_encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for part in in_slices(batch, "text"):
+            for part in in_slices(batch, "text", 4 << 20):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 keys = part.column("doc_id")
                 shard = np.searchsorted(bounds.value, pc.fill_null(keys, -(1 << 63)).to_numpy(), "left")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), keys, pa.array([enc.encode(t) + end for t in texts], pa.binary())], ["shard", "doc_id", "ids"]
+                    [pa.array(shard, pa.int32()), keys, pa.array([ids + end for ids in enc.encode_all(texts)], pa.binary())], ["shard", "doc_id", "ids"]
                 )
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
