@@ -6,7 +6,8 @@ or if more than a fifth of its words lie in five-word windows that its text repe
 Cross-document line frequency: every line is normalised (A-Z lower-cased, white space collapsed) and
 hashed to 64 bits; for each host and hash the distinct documents are counted, where documents of equal
 text count once, so copies do not turn their own lines into boilerplate. A line is over the limit if
-more than ``min_docs`` documents and more than ``max_share`` of the host's documents have it. Such
+more than ``min_docs`` documents of the host have it, however large the host is, or, for small hosts, if
+more than ``SHARE_DOCS`` documents and more than ``max_share`` of the host's documents have it. Such
 lines are removed; a document with less than ``min_left`` of its words left is depleted and rejected.
 
 The text is read once: measures and line hashes are written to the shared folder, and the counts run
@@ -35,7 +36,7 @@ from braggflow.llm.bpe import in_slices
 from braggflow.llm.common import small_side, stored
 
 MIN_WORDS, WINDOW, MAX_REPEAT_SHARE = 10, 5, 20
-MIN_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.5, 0.3
+MIN_DOCS, SHARE_DOCS, MAX_SHARE, MIN_LEFT = 30, 5, 0.1, 0.3
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
@@ -116,11 +117,12 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def frequent_lines(measured: DataFrame, *, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line) of the lines over the limit."""
     texts = measured.groupBy("host", "text_key").agg(F.first("line_hashes").alias("line_hashes"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs")).where(F.col("host_docs") > min_docs)
+    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = texts.select("host", F.explode(F.array_distinct("line_hashes")).alias("line")).where("line <> 0")
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min(min_docs, SHARE_DOCS))
     often = often.withColumnRenamed("host", "host_of_line")
-    return often.join(hosts, F.col("host_of_line").eqNullSafe(F.col("host"))).where(F.col("n") > F.lit(max_share) * F.col("host_docs")).select("host", "line")
+    over = (F.col("n") > min_docs) | ((F.col("n") > SHARE_DOCS) & (F.col("n") > F.lit(max_share) * F.col("host_docs")))
+    return often.join(hosts, F.col("host_of_line").eqNullSafe(F.col("host"))).where(over).select("host", "line")
 
 
 def verdicts(measured: DataFrame, *, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
