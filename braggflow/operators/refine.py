@@ -25,10 +25,17 @@ def matrix_of(e: np.ndarray) -> np.ndarray:
     return np.array([[c * a - z * b * x, -c * b * x - z * a, y * x], [c * x + z * b * a, c * b * a - z * x, -y * a], [z * y, c * y, b]])
 
 
-def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, image: np.ndarray, detector: Detector) -> float:
-    """Lit spots times the root of their summed intensity; hkl: primitive-unique columns in list order."""
+def directions(hkl: np.ndarray) -> np.ndarray:
+    """A number for each column's direction; columns that are multiples of each other share it."""
+    whole = hkl.astype("i8")
+    return np.unique(whole // np.gcd.reduce(whole, axis=0), axis=1, return_inverse=True)[1].reshape(-1)
+
+
+def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, direction: np.ndarray, image: np.ndarray, detector: Detector) -> float:
+    """Lit spots times the root of their summed intensity; of each direction the first column inside the energy window and detector counts."""
     q = om @ recip @ hkl
-    q = q[:, q[2] < 0]
+    down = q[2] < 0
+    q, direction = q[:, down], direction[down]
     length = np.sqrt((q * q).sum(axis=0))
     qh = q / length
     energy = HC_KEV_NM * length / (4 * np.pi * -qh[2])
@@ -39,7 +46,8 @@ def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, image: np.ndarra
         px = (x * p[2] / z - p[0]) / detector.px_x + 0.5 * (detector.nr_px_x - 1)
         py = (y * p[2] / z - p[1]) / detector.px_y + 0.5 * (detector.nr_px_y - 1)
         ok = (z > 0) & (energy >= detector.e_lo) & (energy <= detector.e_hi) & (px >= 0) & (px <= detector.nr_px_x - 1) & (py >= 0) & (py <= detector.nr_px_y - 1)
-    lit = image[py[ok].astype(int), px[ok].astype(int)]
+    first = np.unique(direction[ok], return_index=True)[1]
+    lit = image[py[ok][first].astype(int), px[ok][first].astype(int)]
     lit = lit[lit > 0]
     return len(lit) * float(np.sqrt(lit.sum()))
 
@@ -96,8 +104,9 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
         cell[free] = v[3:]
         return replace(lattice, **dict(zip(("a", "b", "c", "alpha", "beta", "gamma"), cell.tolist(), strict=True)))
 
+    direction = directions(hkl)
     fixed = lattice.reciprocal() if len(start) == 3 else None
-    value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, image, detector)
+    value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, direction, image, detector)
     found, best = simplex(value, start, width)
     return matrix_of(found[:3]), (built(found) if len(start) > 3 else lattice), best
 
@@ -105,10 +114,10 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
 def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: Lattice, detector: Detector, *, min_spots: int = 5, max_spots: int = 90, **options) -> tuple[DataFrame, DataFrame]:
     """(solutions, spots) of candidates (image_nr, grain_nr, n_solutions, row_nr, score, om) on their frames.
 
-    Candidates meet their frame in a cogroup; each is fitted on the reflections that it can light, then its spots come from
-    the whole list by the relational plan. Solutions with fewer than min_spots lit spots go.
+    Candidates meet their frame in a cogroup; each is fitted on all reflections, of which every objective takes the first
+    of a direction that it can light; then its spots come from the whole list by the relational plan. Solutions with fewer than min_spots lit spots go.
     """
-    listed = hkls.select("hkl_id", "h", "k", "l", "ph", "pk", "pl").orderBy("hkl_id").limit(forward.MOST_HKLS).toPandas().drop_duplicates(["ph", "pk", "pl"])
+    listed = hkls.select("hkl_id", "h", "k", "l").orderBy("hkl_id").limit(forward.MOST_HKLS).toPandas()
     shared = candidates.sparkSession.sparkContext.broadcast(listed[["h", "k", "l"]].to_numpy("f8").T)
     kinds = dict(candidates.dtypes)
     schema = f"image_nr {kinds['image_nr']}, grain_nr {kinds['grain_nr']}, n_solutions long, row_nr {kinds['row_nr']}, coarse_quality double, om array<double>, lattice array<double>, objective double, misorientation_deg double"
