@@ -13,6 +13,10 @@ from braggflow.functions.crystal import HC_KEV_NM, Detector, Lattice
 from braggflow.operators import forward
 
 
+#: Parts that a frame's candidates are dealt over; each part has the frame's lit pixels.
+PARTS = 64
+
+
 def euler_of(m: np.ndarray) -> np.ndarray:
     phi = np.arccos(np.clip(m[2, 2], -1, 1))
     if abs(np.sin(phi)) < 1e-12:
@@ -114,7 +118,7 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
 def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: Lattice, detector: Detector, *, min_spots: int = 5, max_spots: int = 90, **options) -> tuple[DataFrame, DataFrame]:
     """(solutions, spots) of candidates (image_nr, grain_nr, n_solutions, row_nr, score, om) on their frames.
 
-    Candidates meet their frame in a cogroup; each is fitted on all reflections, of which every objective takes the first
+    Candidates of a frame are dealt over PARTS groups, each of which meets the frame in a cogroup; each candidate is fitted on all reflections, of which every objective takes the first
     of a direction that it can light; then its spots come from the whole list by the relational plan. Solutions with fewer than min_spots lit spots go.
     """
     listed = hkls.select("hkl_id", "h", "k", "l").orderBy("hkl_id").limit(forward.MOST_HKLS).toPandas()
@@ -123,6 +127,8 @@ def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: L
     schema = f"image_nr {kinds['image_nr']}, grain_nr {kinds['grain_nr']}, n_solutions long, row_nr {kinds['row_nr']}, coarse_quality double, om array<double>, lattice array<double>, objective double, misorientation_deg double"
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
         image = np.zeros((detector.nr_px_y, detector.nr_px_x), "f4")
         image.reshape(-1)[right["pix"].to_numpy()] = right["v"].to_numpy()
         rows = []
@@ -133,7 +139,9 @@ def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: L
             rows.append((c.image_nr, c.grain_nr, c.n_solutions, c.row_nr, c.score, om.reshape(-1).tolist(), [cell.a, cell.b, cell.c, cell.alpha, cell.beta, cell.gamma], best, turn))
         return pd.DataFrame(rows, columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
 
-    fitted = candidates.groupBy("image_nr").cogroup(pixels.where("v > 0").groupBy("image_nr")).applyInPandas(work, schema)
+    dealt = candidates.withColumn("part", F.expr(f"cast(pmod(grain_nr, {PARTS}) as int)"))
+    frames = pixels.where("v > 0").select("image_nr", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "pix", "v")
+    fitted = dealt.groupBy("image_nr", "part").cogroup(frames.groupBy("image_nr", "part")).applyInPandas(work, schema)
     keys = ["image_nr", "grain_nr"]
     predicted = forward.exact_spots(fitted.select(*keys, "om"), hkls, lattice, detector, keys=keys, max_spots=max_spots)
     lit = predicted.join(pixels.where("v > 0"), ["image_nr", "pix"], "left").withColumnRenamed("v", "intensity")

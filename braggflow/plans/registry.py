@@ -546,7 +546,7 @@ def refine_candidates(spark, sf_dir):
     from braggflow.operators.refine import refine
 
     orientations, pixels = D.orientations(spark, sf_dir), D.pixels(spark, sf_dir)
-    merged = merge.merge(match.top(_coarse(spark, sf_dir), 20).drop("rank"), orientations)
+    merged = merge.merge(_coarse(spark, sf_dir), orientations)
     found, _ = refine(merged.join(orientations, "row_nr"), pixels, reflections.primitive(D.hkls(spark)), NICKEL, D.DETECTOR, min_spots=1)
     return found.select("image_nr", "grain_nr", "row_nr", "n_matches", "n_spots_calc", F.round("quality", 4).alias("quality"))
 

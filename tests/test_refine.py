@@ -16,3 +16,19 @@ def test_higher_orders_stand_in_for_a_first_order_out_of_the_window():
     for e_lo, expect in ((first * 0.5, 2.0), (first * 1.5, 2.0), (first * 2.5, 2.0), (first * 3.5, 0.0)):
         at = Detector(detector.p_array, detector.r_array, 0.01, 0.01, 201, 201, e_lo=e_lo, e_hi=first * 9)
         assert refine.overlap(om, NICKEL.reciprocal(), hkl, refine.directions(hkl), image, at) == expect
+
+
+def test_every_coarse_match_reaches_the_fit(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from braggflow.plans import derive as D
+    from braggflow.plans import registry
+
+    data, seen = "/root/testdata/sf0.001", []
+    rows = D.orientations(spark, data).orderBy("row_nr").limit(60)
+    scored = rows.select(F.lit(0).cast("long").alias("image_nr"), "row_nr", F.lit(5).cast("long").alias("n_spots"), F.lit(1.0).alias("total"), F.col("row_nr").cast("double").alias("score"))
+    monkeypatch.setattr(registry, "_coarse", lambda *_: scored)
+    none = spark.createDataFrame([], "image_nr long, grain_nr long, row_nr long, n_matches long, n_spots_calc long, quality double")
+    monkeypatch.setattr(refine, "refine", lambda candidates, *_, **__: (seen.append(candidates), none)[1:] * 2)
+    registry.QUERIES["refine_candidates"](spark, data)
+    assert seen[0].agg(F.sum("n_solutions")).first()[0] == 60
