@@ -5,12 +5,16 @@ are followed to their end, and edges are renamed. Rounds needed grow with the lo
 of nodes for paths as for stars. Each round is written to the shared folder, so lineage stays short.
 
 ``link`` connects all pairs that share a bucket and pass a test, without making the pairs of a bucket.
-In each round every bucket has one centre, which is tested against the bucket's other members: rows
+One aggregation of the postings leaves count, least, greatest and exclusive-or of each bucket's ids: that
+names the members of buckets of two or three, so only the postings of larger buckets are read again.
+In each round a larger bucket has a centre, which is tested against the bucket's other members: rows
 grow in proportion to the postings. The centre then leaves, and a bucket is done when all that is left
 of it lies in one connected group, since further links could not change any group. Buckets of copies
 or near copies end so after a round or two. What is still open after `rounds` rounds, where members of
-different groups share a bucket but are no links, goes to `finish` if the caller has a sharper filter for it, and
-is tested pair by pair, across groups only, otherwise.
+different groups share a bucket but are no links, goes to `finish` if the caller has a sharper filter
+for it. Otherwise `finer` may part the open buckets, and more rounds follow in which the number of centres
+a bucket has grows eightfold each time, so a bucket of n members ends after about log8(n) of them. Only
+there, in buckets whose members are mostly no links, may the tests grow faster than the postings.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braggflow.llm.common import discard, stored
+from braggflow.llm.common import discard, small_side, stored
 
 
 def _is_empty(df: DataFrame) -> bool:
@@ -56,64 +60,88 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 4, refine: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _few(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of buckets of two and of three ids."""
+    pairs = buckets.where("n = 2").select("a", "b")
+    three = buckets.where("n = 3").withColumn("c", F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")))
+    return pairs.union(three.select(F.inline(F.array(F.struct("a", "b"), F.struct("a", F.col("c").alias("b")), F.struct(F.col("c").alias("a"), "b")))))
+
+
+def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 2, finer: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) among ids that share a bucket, enough to connect all that test() accepts.
 
-    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. refine: from the postings of
-    buckets with two members or more, postings that part them further but no two that may be linked. finish: from distinct
-    (centre, id), where id is in an open bucket whose first centre it was tested against, enough links to connect all
-    links among ids of equal centres.
+    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. finer: from open postings,
+    postings that part them further but few that may be linked. finish: from distinct (centre, id), where id is in an
+    open bucket whose first centre it was tested against, enough links to connect all links among ids of equal centres.
     """
-    sizes = postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    live = stored(postings.join(sizes, "bucket"), "postings")
-    if refine is not None:
-        finer = stored(refine(live.select("bucket", "id")), "postings")
-        discard(live)
-        live = stored(finer.join(finer.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "postings")
-        discard(finer)
+    counts = [F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor("id").alias("x")]
+    buckets = stored(postings.groupBy("bucket").agg(*counts).where("n > 1"), "buckets")
+    few = _few(buckets)
+    live = stored(postings.join(small_side(buckets.where("n > 3").select("bucket", "n")), "bucket"), "postings")
     popular = live.groupBy("id").agg(F.sum("n").alias("score"))  # who shares most buckets with most others comes first
-    live_scored = stored(live.join(popular, "id").select("bucket", "id", F.col("id").alias("group"), F.col("score").cast("long").alias("score")), "postings")
+    scored = stored(live.join(popular, "id").select("bucket", "id", "n", F.col("id").alias("group"), F.col("score").cast("long").alias("score")), "postings")
     discard(live)
-    live = live_scored
-    tried = labels = None
-    edges = postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for r in range(rounds + 1):
-        if _is_empty(live):
+    live, edges, tried, labels = scored, [], [], None
+    centres_of, r = 1, 0
+    first_centres = None
+    while True:
+        open_ = not _is_empty(live)
+        if not open_ and (r or _is_empty(few)):
             break
-        if r == rounds and finish is not None:
+        if open_ and r == rounds and finish is not None:
             framed = live.select("bucket", "id").join(first_centres, "bucket").where("id <> centre").select("centre", "id").distinct()
-            return edges.union(finish(stored(framed, "open")).select("a", "b"))
-        if r < rounds:
-            centres = live.groupBy("bucket").agg(F.max_by(F.struct("id", "group"), F.struct("score", "id")).alias("c"))
-            if r == 0 and finish is not None:
-                first_centres = centres = stored(centres, "centres")
-                first_centres = first_centres.select("bucket", F.col("c.id").alias("centre"))
-            pairs = live.join(centres, "bucket").where("group <> c.group").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-        else:
-            centres = None
-            other = live.select("bucket", F.col("id").alias("id2"), F.col("group").alias("group2"))
-            pairs = live.join(other, "bucket").where("id < id2 and group <> group2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            framed = stored(framed, "open")
+            edges.append(stored(finish(framed).select("a", "b"), "links"))
+            discard(framed)
+            break
+        if open_ and r == rounds and finer is not None:
+            groups = live.select("id", "group").distinct()
+            parts = finer(live.select("bucket", "id")).distinct().join(groups, "id")
+            sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket", "n")
+            parted = stored(parts.join(sizes, "bucket").select("bucket", "id", "n", "group", F.lit(0).cast("long").alias("score")), "postings")
+            discard(live)
+            live = parted
+        if r >= rounds:
+            centres_of *= 8
+        centre = live.groupBy("bucket").agg(F.max_by("id", F.struct("score", "id")).alias("centre"))
+        if centres_of > 1:  # about so many by hash, and all of a small bucket
+            chosen = F.pmod(F.xxhash64("bucket", "id"), F.floor(F.col("n") / centres_of) + 1) == 0
+            centre = live.where(chosen).select("bucket", F.col("id").alias("centre")).union(centre).distinct()
+        centre = stored(centre.join(live.select("bucket", F.col("id").alias("centre"), F.col("group").alias("c_group")), ["bucket", "centre"]), "centres")
+        pairs = live.join(centre, "bucket").where("group <> c_group").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+        pairs = (pairs if r else pairs.union(few)).distinct()
+        for done in tried:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        tried.append(pairs)
         good = stored(test(pairs).select("a", "b"), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = edges.union(good)
+        edges.append(good)
+        if not open_:
+            break
+        if r == 0:
+            first_centres = centre.select("bucket", "centre")
         if not _is_empty(good):
             discard(*([labels] if labels is not None else []))
-            labels = components(edges)
-        if centres is None:
-            break
+            labels = components(_union(edges))
         # who has asked everybody leaves; buckets that are one group by now are done
-        rest = live.join(centres.select("bucket", F.col("c.id").alias("centre")), "bucket").where("id <> centre").select("bucket", "id", "group", "score")
+        rest = live.select("bucket", "id", "group").join(centre.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "group"))
+            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "group").alias("group"))
+        of_bucket = rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+        rest = stored(rest.join(small_side(stored(of_bucket, "open")), "bucket"), "rest")
         # a bucket's small groups are asked first: what they have to be held against shrinks fastest
-        open_ = rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket")
-        rest = rest.join(open_, "bucket", "left_semi")
-        in_group = rest.groupBy("bucket", "group").agg(F.count("*").alias("n"))
-        after = stored(rest.join(in_group, ["bucket", "group"]).select("bucket", "id", "group", (-F.col("n")).alias("score")), "postings")
-        discard(live)
+        in_group = rest.groupBy("bucket", "group").agg((-F.count("*")).alias("score"))
+        after = stored(rest.join(in_group, ["bucket", "group"]).select("bucket", "id", "n", "group", "score"), "postings")
+        discard(live, rest)
         live = after
-    return edges
+        r += 1
+    out = _union(edges) if edges else few.limit(0)
+    discard(live, *tried)
+    return out
+
+
+def _union(edges: list[DataFrame]) -> DataFrame:
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.union(more)
+    return found

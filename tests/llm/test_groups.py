@@ -57,8 +57,8 @@ def distance(a, b):
     return int(row[-1])
 
 
-def line_groups(spark, docs):
-    """What line dedup leaves of each document: (text, lines, lines that went)."""
+def line_groups(docs):
+    """What line dedup leaves of each document, by edit similarity alone: (text, lines, lines that went)."""
     norm = {}
     for i, t in docs:
         for at, line in enumerate(t.split("\n") if t is not None else []):
@@ -66,21 +66,11 @@ def line_groups(spark, docs):
             if len(plain) >= line_dedup.MIN_CHARS:
                 norm[i, at] = plain
     distinct = sorted(set(norm.values()))
-    vocabulary = sorted({w for line in distinct for w in line.split(" ")})
-    hashed = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect() if vocabulary else []
-    code = {r.w: r.h & (1 << 64) - 1 for r in hashed}
-    sims = []
-    for line in distinct:
-        own = [code[w] for w in line.split(" ")]
-        sims.append(sum(1 << b for b in range(60) if sum(h >> b & 1 for h in own) > len(own) // 2))
     found = Groups(range(len(distinct)))
-    codes = np.array(sims, "u8")
     for i in range(len(distinct)):
-        other = codes[i + 1 :] ^ codes[i]
-        shared = sum(((other >> np.uint64(12 * q)) & np.uint64(4095)) == 0 for q in range(5)) if len(other) else np.zeros(0)
-        for j in (np.flatnonzero(shared >= 3) + i + 1).tolist():
-            most = max(len(distinct[i]), len(distinct[j]))
-            if distance(distinct[i], distinct[j]) <= int(0.2 * most + 1e-9):
+        for j in range(i + 1, len(distinct)):
+            least, most = sorted((len(distinct[i]), len(distinct[j])))
+            if least >= 0.8 * most and distance(distinct[i], distinct[j]) <= int(0.2 * most + 1e-9):
                 found.join(i, j)
     at, keep = {line: i for i, line in enumerate(distinct)}, {}
     for place, line in sorted(norm.items(), key=lambda x: x[0]):
@@ -195,7 +185,7 @@ def test_line_dedup_equals_brute_force(spark):
     docs = line_documents()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "at", "doc", "lid", "occ", "dropped")}).repartition(3)
     got = {r.doc.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.apply(df).collect()}
-    assert got == line_groups(spark, docs)
+    assert got == line_groups(docs)
     out = line_dedup.dedup(df)
     assert out.columns == df.columns and out.where("doc_id in (900, 901, 902)").count() == 3
     assert line_dedup.apply(df.where("false")).count() == 0
@@ -233,7 +223,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     left = [(i, t) for i, t in docs if not brute_quality(t)[5]]
-    deduped = line_groups(spark, left)
+    deduped = line_groups(left)
     left = [(i, deduped[i][0]) for i, _ in left if not deduped[i][2] or words(deduped[i][0])]
     groups = near_groups(left)
     left = [(i, t) for i, t in left if groups[i][1] == i]
