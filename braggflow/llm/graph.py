@@ -67,19 +67,23 @@ def _few(buckets: DataFrame) -> DataFrame:
     return pairs.union(three.select(F.inline(F.array(F.struct("a", "b"), F.struct("a", F.col("c").alias("b")), F.struct(F.col("c").alias("a"), "b")))))
 
 
-def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 2, finer: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 2, finer: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among ids that share a bucket, enough to connect all that test() accepts.
 
     postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. finer: from open postings,
     postings that part them further but few that may be linked. finish: from distinct (centre, id), where id is in an
-    open bucket whose first centre it was tested against, enough links to connect all links among ids of equal centres.
+    open bucket whose first centre it was tested against, and the groups so far, enough links to connect all links
+    among ids of equal centres. groups: (node, component) of ids that are known to be connected.
     """
     counts = [F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor("id").alias("x")]
     buckets = stored(postings.groupBy("bucket").agg(*counts).where("n > 1"), "buckets")
     few = _few(buckets)
     live = stored(postings.join(small_side(buckets.where("n > 3").select("bucket", "n")), "bucket"), "postings")
     popular = live.groupBy("id").agg(F.sum("n").alias("score"))  # who shares most buckets with most others comes first
-    scored = stored(live.join(popular, "id").select("bucket", "id", "n", F.col("id").alias("group"), F.col("score").cast("long").alias("score")), "postings")
+    scored = live.join(popular, "id").select("bucket", "id", "n", F.col("id").alias("group"), F.col("score").cast("long").alias("score"))
+    if groups is not None:
+        scored = scored.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "group")).drop("component")
+    scored = stored(scored, "postings")
     discard(live)
     live, edges, tried, labels = scored, [], [], None
     centres_of, r = 1, 0
@@ -91,12 +95,12 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
         if open_ and r == rounds and finish is not None:
             framed = live.select("bucket", "id").join(first_centres, "bucket").where("id <> centre").select("centre", "id").distinct()
             framed = stored(framed, "open")
-            edges.append(stored(finish(framed).select("a", "b"), "links"))
+            edges.append(stored(finish(framed, labels).select("a", "b"), "links"))
             discard(framed)
             break
         if open_ and r == rounds and finer is not None:
-            groups = live.select("id", "group").distinct()
-            parts = finer(live.select("bucket", "id")).distinct().join(groups, "id")
+            known = live.select("id", "group").distinct()
+            parts = finer(live.select("bucket", "id")).distinct().join(known, "id")
             sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket", "n")
             parted = stored(parts.join(sizes, "bucket").select("bucket", "id", "n", "group", F.lit(0).cast("long").alias("score")), "postings")
             discard(live)
@@ -126,7 +130,8 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
         # who has asked everybody leaves; buckets that are one group by now are done
         rest = live.select("bucket", "id", "group").join(centre.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
         if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "group").alias("group"))
+            to = labels.select(F.col("node").alias("group"), "component")
+            rest = rest.join(to, "group", "left").select("bucket", "id", F.coalesce("component", "group").alias("group"))
         of_bucket = rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
         rest = stored(rest.join(small_side(stored(of_bucket, "open")), "bucket"), "rest")
         # a bucket's small groups are asked first: what they have to be held against shrinks fastest

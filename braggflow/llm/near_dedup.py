@@ -14,11 +14,11 @@ words: the whole sequence as one). Documents with at least 85 % of their union i
    the full shingle sets of both texts.
 4. Posting lists that stay open hold documents that are alike but below the threshold. They are joined
    again by what tells them apart: each set's difference D from the list's first centre. Sets of sizes
-   n and m above the threshold differ in at most 15 / 185 * (n + m) shingles, so their differences
-   share at least t = (|D| + |D'| - that) / 2 and meet in the rarest |D| - t + 1 of one and the rarest
-   |D'| - t + 1 of the other (or both are so small that t is 0, which is a list of its own).
-   Differences are posted for each pair of size classes, but for shingles that no other document has;
-   lists that lack one of the two classes go. This filter is exact.
+   n and m above the threshold differ in at most a = 15 / 185 * (n + m) shingles, so their differences
+   share at least (|D| + |D'| - a) / 2. A *near* set (one whose D is within a of the centre) is linked to
+   the centre already, so only links of *far* sets are sought; both are posted under the rarest parts
+   of D that such a link needs, but for shingles that no other document has. A far set leaves a list in
+   which no partner can share enough with it. This filter is exact.
 5. Connected groups of confirmed links get the smallest document id.
 
 The order is kept for at most ``HOT_VALUES`` frequent values; any order is right, so the bound is on
@@ -32,9 +32,7 @@ texts are hashed in stretches; empty tables give empty results.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +50,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: A value more frequent than this goes into the order of frequent values; at most so many go in.
 HOT_COUNT, HOT_VALUES = 16, 400_000
-#: Centre rounds over signature postings, and the ratio of neighbouring size classes of differences.
-ROUNDS, SIZE_RATIO = 2, 1.2
+#: Centre rounds over signature postings.
+ROUNDS = 2
 _A = np.random.default_rng(101).integers(1, 1 << 63, COORDINATES, dtype="u8") | np.uint64(1)
 _B = np.random.default_rng(103).integers(1, 1 << 63, COORDINATES, dtype="u8")
 
@@ -154,47 +152,24 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sig").mapInArrow(work, "bucket long, id long")
 
 
-def _size_class(n: int) -> int:
-    return 0 if n == 0 else 1 + math.floor(math.log(n) / math.log(SIZE_RATIO) + 1e-9)
-
-
-@lru_cache(maxsize=4096)
-def _class_range(c: int) -> tuple[int, int]:
-    """Least and most of a size class; a class may be empty."""
-    if c == 0:
-        return 0, 0
-    low = math.floor(SIZE_RATIO ** (c - 1))
-    while _size_class(low) < c:
-        low += 1
-    high = low
-    while _size_class(high + 1) == c:
-        high += 1
-    return low, high
-
-
 def most_apart(n: int, m: int) -> int:
     """In how many shingles sets of n and m may differ and still be linked."""
     return (100 - PERCENT) * (n + m) // (100 + PERCENT)
 
 
-def difference_prefixes(d: int, n: int, centre: int) -> list[tuple[int, int, bool]]:
-    """(partner's class, rarest parts of the difference to post, whether nothing need be shared) for a set of size n
-    that differs in d from a centre of some size."""
-    largest = 100 * n // PERCENT
-    reach = most_apart(n, largest)
-    out = []
-    for partner in range(_size_class(max(0, d - reach)), _size_class(d + reach) + 1):
-        low, high = _class_range(partner)
-        if _size_class(low) != partner:
-            continue
-        apart = most_apart(n, min(largest, centre + high))
-        if d - high <= apart and low - d <= apart:
-            out.append((partner, min(d, (d - low + apart) // 2 + 1), d + low <= apart))
-    return out
+def difference_prefix(d: int, n: int, centre: int) -> tuple[int, bool]:
+    """(rarest parts of its difference to post, whether it is far) for a set of size n that differs in d from a centre of some size.
+
+    A near set is linked to the centre, and so to all other near sets; only links that have a far set need to be found.
+    Sets that differ in d and d' from the centre are linked if their differences share (d + d' - most_apart) / 2 parts at least.
+    """
+    if d <= most_apart(n, centre):  # a far partner differs in more than most_apart(partner, centre), which leaves 17 / 37 of d to share
+        return d - max(1, d * 17 // 37) + 1 if d else 0, False
+    return min(d, most_apart(n, 100 * n // PERCENT) + 1), True
 
 
 def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
-    """(bucket, id) of framed ids (centre, id): a bucket is a centre, a part of the difference, and a pair of size classes."""
+    """(bucket, id) of framed ids (centre, id): a bucket is a centre and a part of the difference, and has a far set that may have a link in it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,11 +180,12 @@ def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
     found = _frequent(members.mapInArrow(count, "value long, n long"), 1)
     complete = len(found[0]) < HOT_VALUES  # then a shingle outside the order is one document's own, and meets no other
     order = sets.sparkSession.sparkContext.broadcast(found)
+    names = ["bucket", "id", "far", "d", "n", "reach"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "own", 1 << 20):
-                buckets, ids, sides = [], [], []
+                columns = [[] for _ in names]
                 for centre, cid, mid, own in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     mid, own = np.frombuffer(mid, "i8"), np.frombuffer(own, "i8")
                     more, less = np.setdiff1d(own, mid, assume_unique=True), np.setdiff1d(mid, own, assume_unique=True)
@@ -220,23 +196,28 @@ def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
                     parts = np.concatenate([more.view("u8"), less.view("u8") ^ _A[1]])
                     parts = (parts ^ (parts >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                     d = len(parts)
-                    at = _size_class(d)
-                    for partner, n, near in difference_prefixes(d, len(own), len(mid)):
-                        frame = (centre * int(_A[2]) + (min(at, partner) << 20 | max(at, partner)) * int(_A[0])) & (1 << 64) - 1
-                        found = parts[alone:n] + np.uint64(frame)
-                        buckets.append(np.append(found, np.uint64(frame)) if near else found)
-                        ids.append(np.full(len(buckets[-1]), cid, "i8"))
-                        sides.append(np.full(len(buckets[-1]), 0 if at < partner else 1 if at > partner else 2, "i4"))
-                if ids:
-                    yield _rows([pa.array(np.concatenate(buckets).view("i8")), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sides))], ["bucket", "id", "side"])
+                    n, far = difference_prefix(d, len(own), len(mid))
+                    posted = parts[alone:n] + np.uint64(centre * int(_A[2]) & (1 << 64) - 1)
+                    # what two sets share from here on is at most what is left of either; reach is twice that, less d
+                    reach = 2 * (d - np.arange(alone, alone + len(posted))) - d
+                    k = len(posted)
+                    for column, values in zip(columns, (posted.view("i8"), np.full(k, cid), np.full(k, far), np.full(k, d), np.full(k, len(own)), reach), strict=True):
+                        column.append(values)
+                if columns[0]:
+                    yield _rows([pa.array(np.concatenate(c)) for c in columns], names)
 
     mid = sets.select(F.col("cid").alias("centre"), F.col("members").alias("mid"))
     own = sets.select(F.col("cid").alias("id"), F.col("members").alias("own"))
-    posted = stored(frames.join(mid, "centre").join(own, "id").select("centre", "id", "mid", "own").mapInArrow(work, "bucket long, id long, side int"), "differences")
-    on = lambda side: F.count_if(F.col("side") == side)
-    useful = posted.groupBy("bucket").agg(on(0).alias("a"), on(1).alias("b"), on(2).alias("c")).where("(a > 0 and b > 0) or c > 1").select("bucket")
-    out = stored(posted.join(useful, "bucket").select("bucket", "id").distinct(), "differences")
-    discard(posted)
+    schema = "bucket long, id long, far boolean, d long, n long, reach long"
+    posted = stored(frames.join(mid, "centre").join(own, "id").select("centre", "id", "mid", "own").mapInArrow(work, schema), "differences")
+    # a far set needs a partner whose reach is d - most_apart(n, partner's n) at least
+    most = posted.groupBy("bucket").agg(F.max("reach").alias("most_reach"), F.max("n").alias("most_n"), F.count_if("far").alias("k")).where("k > 0")
+    apart = F.floor((100 - PERCENT) * (F.col("n") + F.least(F.floor(100 * F.col("n") / PERCENT), "most_n")) / (100 + PERCENT))
+    left = posted.join(most, "bucket").where(~F.col("far") | (F.col("d") - apart <= F.col("most_reach")))
+    left = stored(left.select("bucket", "id", "far"), "differences")
+    useful = left.groupBy("bucket").agg(F.count_if("far").alias("k"), F.count("*").alias("m")).where("k > 0 and m > 1").select("bucket")
+    out = stored(left.join(useful, "bucket").select("bucket", "id").distinct(), "differences")
+    discard(posted, left)
     return out
 
 
@@ -302,10 +283,10 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) ->
         discard(near, sets)
         return good
 
-    def finish(frames: DataFrame) -> DataFrame:
+    def finish(frames: DataFrame, groups: DataFrame | None) -> DataFrame:
         wanted = frames.select(F.col("id").alias("cid")).union(frames.select("centre")).distinct()
         sets = sets_of(docs, classes, wanted, id_col=id_col, text_col=text_col)
-        return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, pairs))
+        return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, pairs), groups=groups)
 
     return link(postings(classes), test, rounds=ROUNDS, finish=finish)
 
