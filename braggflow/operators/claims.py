@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braggflow.functions.crystal import CSL, CSL_AXIS_TOLERANCE, cubic_matrices
+from braggflow.functions import geometry as G
+from braggflow.functions.crystal import CSL, CSL_AXIS_TOLERANCE
 
 
 def unique_claims(solutions: DataFrame, spots: DataFrame, labels: DataFrame) -> DataFrame:
@@ -52,23 +53,29 @@ def by_quality(solutions: DataFrame, n: int | None = None) -> DataFrame:
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
-def _angles(own: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cubic disorientation angles in degrees to each kept orientation, and the rotations that reach them."""
-    between, symmetry = own.T @ kept, cubic_matrices()
-    best = np.argmax(np.einsum("kij,oji->ko", between, symmetry), axis=1)
-    turned = between @ symmetry[best]
-    return np.degrees(np.arccos(np.clip((np.trace(turned, axis1=1, axis2=2) - 1) / 2, -1, 1))), turned
+def cubic_disorientations(own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles in degrees and sorted absolute axes of the cubic disorientations of a unit quaternion from others.
+
+    For absolute parts a >= b >= c >= d of the rotation between, the representative of largest scalar part is one
+    of three. A null rotation has no axis (nan).
+    """
+    w, v = own[0], own[1:]
+    between = np.column_stack([w * others[:, 0] + others[:, 1:] @ v, w * others[:, 1:] - others[:, :1] * v - np.cross(v, others[:, 1:])])
+    a, b, c, d = np.sort(np.abs(between), axis=1)[:, ::-1].T
+    root = np.sqrt(0.5)
+    scalars = np.stack([a, (a + b) * root, (a + b + c + d) / 2])
+    vectors = np.stack([[b, c, d], [(a - b) * root, (c + d) * root, (c - d) * root], [(a - b + c - d) / 2, (a + b - c - d) / 2, (a - b - c + d) / 2]])
+    best, at = np.argmax(scalars, axis=0), np.arange(len(others))
+    axes = np.sort(np.abs(vectors[best, :, at]), axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        axes = axes / np.linalg.norm(axes, axis=1, keepdims=True)
+    return np.degrees(2 * np.arccos(np.minimum(1.0, scalars[best, at]))), axes
 
 
-def _is_boundary(angle: float, turned: np.ndarray, sigmas: tuple[int, ...], tolerance: float) -> bool:
-    for ref, axis_ref in (CSL[s] for s in sigmas if s in CSL):
-        if abs(angle - ref) < tolerance:
-            values, vectors = np.linalg.eig(turned)
-            axis = np.real(vectors[:, int(np.argmin(np.abs(values - 1)))])
-            axis = np.sort(np.abs(axis / (np.linalg.norm(axis) or 1.0)))
-            if np.linalg.norm(axis - np.array(axis_ref)) < CSL_AXIS_TOLERANCE:
-                return True
-    return False
+def _coincident(angles: np.ndarray, axes: np.ndarray, sigmas: tuple[int, ...], tolerance: float) -> bool:
+    """Whether one of the disorientations is a named coincidence boundary."""
+    named = [CSL[s] for s in sigmas if s in CSL]
+    return any(((np.abs(angles - at) < tolerance) & (np.linalg.norm(axes - np.array(axis), axis=1) < CSL_AXIS_TOLERANCE)).any() for at, axis in named)
 
 
 def keep_robust(
@@ -82,25 +89,27 @@ def keep_robust(
     """
     table = with_claims(solutions, claims)
     schema = table.schema
+    rotation = F.array(*G.matrix_to_quaternion(G.elements("om", 9)))
+    table = table.withColumn("quaternion", F.when(F.size("om") == 9, rotation))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["quality", "source_row"], ascending=False, kind="stable")
-        kept, matrices = [], []
+        kept, rotations = [], []
         for at, row in enumerate(frame.itertuples(index=False)):
             total = row.n_unique or int(round(row.n_matches))
             own, twin = None, False
-            if cubic and row.om is not None and len(row.om) == 9:
-                own = np.asarray(row.om, dtype=float).reshape(3, 3)
-                if matrices:
-                    angles, turned = _angles(own, np.stack(matrices))
+            if cubic and row.quaternion is not None:
+                own = np.asarray(row.quaternion, dtype=float)
+                if rotations:
+                    angles, axes = cubic_disorientations(own, np.stack(rotations))
                     if (angles < max_angle_deg).any():
                         continue
-                    twin = any(_is_boundary(a, t, sigmas, tolerance_deg) for a, t in zip(angles, turned, strict=True))
+                    twin = _coincident(angles, axes, sigmas, tolerance_deg)
             if total >= min_total and (twin or row.n_unique_labels >= min_unique or not kept):
                 kept.append(at)
                 if own is not None:
-                    matrices.append(own)
-        return frame.iloc[kept]
+                    rotations.append(own)
+        return frame.iloc[kept].drop(columns="quaternion")
 
     return table.groupBy("image_nr").applyInPandas(choose, schema)
 

@@ -117,10 +117,10 @@ def report(spots: DataFrame) -> DataFrame:
 
 
 def image_summary(solutions: DataFrame, kept: DataFrame, spots: DataFrame) -> DataFrame:
-    """(image_nr, n_orient, n_filtered, n_spots) of every frame, in order."""
+    """(image_nr, n_orient, n_filtered, n_spots) of every frame."""
     counts = [df.groupBy("image_nr").agg(F.count("*").alias(name)) for df, name in ((solutions, "n_orient"), (kept, "n_filtered"), (spots, "n_spots"))]
     out = counts[0].join(counts[1], "image_nr", "full_outer").join(counts[2], "image_nr", "full_outer")
-    return out.select("image_nr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_orient", "n_filtered", "n_spots")]).orderBy("image_nr")
+    return out.select("image_nr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_orient", "n_filtered", "n_spots")])
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -136,8 +136,12 @@ def progress(mapping: DataFrame, total: int, elapsed_s: float) -> DataFrame:
 
 
 def rms_error(spots: DataFrame, misorientation: DataFrame) -> DataFrame:
-    """(image_nr, grain_nr, rms): root mean square of the spots' errors; the misorientation where none is known."""
-    errors = spots.groupBy(*KEYS).agg(F.sqrt(F.avg(F.col("err_deg") * F.col("err_deg"))).alias("rms"))
+    """(image_nr, grain_nr, rms): root mean square of the spots' known errors; the misorientation where none is known.
+
+    Squares are summed as decimals, so the mean does not depend on the order of rows.
+    """
+    square = (F.col("err_deg") * F.col("err_deg")).cast("decimal(28,10)")
+    errors = spots.groupBy(*KEYS).agg(F.sqrt(F.sum(square).cast("double") / F.nullif(F.count("err_deg"), F.lit(0))).alias("rms"))
     return misorientation.join(errors, KEYS, "left").select(*KEYS, F.coalesce("rms", "misorientation_deg").alias("rms"))
 
 

@@ -13,6 +13,7 @@ from braggflow.operators import claims, forward, imaging, match, merge, reflecti
 from braggflow.plans import derive as D
 
 N_PIXELS = D.SIZE * D.SIZE
+_NF = "(SELECT count(*) FROM supplier)"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,6 +44,11 @@ _ORIENT = (
     + " FROM (SELECT o_orderkey AS row_nr, 1 + o_orderkey % 7 AS a, o_custkey % 11 AS b, (o_orderkey // 7) % 13 AS c, (o_custkey * 3 + o_orderkey) % 5 AS d FROM orders))"
 )
 
+_GRID = (
+    "orient AS (SELECT row_nr, " + ", ".join(f"{e} AS m{i}" for i, e in enumerate(D._matrix(*_Q)))
+    + " FROM (SELECT c_custkey AS row_nr, 1 + c_custkey % 7 AS a, c_custkey % 11 AS b, (c_custkey // 7) % 13 AS c, (c_nationkey * 3 + c_custkey) % 5 AS d FROM customer))"
+)
+
 
 def _hkl_sql(h_max: int, rule: str = "true") -> str:
     v = f"SELECT CAST(v AS INTEGER) AS v FROM range({-h_max}, {h_max + 1}) t(v)"
@@ -67,17 +73,17 @@ for _name, (_centring, _options, _rule) in _RULES.items():
     )
 
 _PIXELS = (
-    f"pixels AS (SELECT l_suppkey % {D.FRAMES} AS image_nr, (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % {N_PIXELS} AS pix, max(l_extendedprice) AS v "
-    "FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2)"
+    f"pixels AS (SELECT l_suppkey % {_NF} AS image_nr, (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % {N_PIXELS} AS pix, max(l_extendedprice) AS v "
+    "FROM lineitem GROUP BY 1, 2)"
 )
-_SOLUTIONS = f"solutions AS (SELECT o_orderkey % {D.FRAMES} AS image_nr, o_orderkey AS grain_nr, o_totalprice AS quality, o_orderkey AS source_row, o_custkey % 20 AS n_matches FROM orders)"
+_SOLUTIONS = f"solutions AS (SELECT o_orderkey % {_NF} AS image_nr, o_orderkey AS grain_nr, o_totalprice AS quality, o_orderkey AS source_row, o_custkey % 20 AS n_matches FROM orders)"
 _SPOTS = (
-    f"spots AS (SELECT l_orderkey % {D.FRAMES} AS image_nr, l_orderkey AS grain_nr, l_orderkey * 8 + l_linenumber AS spot_row, "
+    f"spots AS (SELECT l_orderkey % {_NF} AS image_nr, l_orderkey AS grain_nr, l_orderkey * 8 + l_linenumber AS spot_row, "
     f"(l_partkey * 7 + l_linenumber) % {D.SIZE} AS x, (l_suppkey * 13 + l_partkey) % {D.SIZE} AS y FROM lineitem)"
 )
 _LABELS = (
     "seg AS (SELECT image_nr, x, y, CASE WHEN (x * 3 + y * 5) % 7 < 3 THEN 1 + (x // 8) * 8 + y // 8 ELSE 0 END AS label FROM "
-    f"(SELECT id // {N_PIXELS} AS image_nr, id % {D.SIZE} AS x, (id % {N_PIXELS}) // {D.SIZE} AS y FROM range({D.FRAMES * N_PIXELS}) t(id)))"
+    f"(SELECT s_suppkey % {_NF} AS image_nr, id % {D.SIZE} AS x, id // {D.SIZE} AS y FROM supplier, range({N_PIXELS}) t(id)))"
 )
 _CLAIMS = """claims AS (
   WITH placed AS (SELECT s.image_nr, s.grain_nr, o.quality, o.source_row, s.spot_row, s.x, s.y, CASE WHEN g.label > 0 THEN g.label ELSE 0 END AS region
@@ -105,7 +111,7 @@ lit AS (SELECT row_nr, hkl_id, energy, CAST(trunc(py) AS BIGINT) * {D.SIZE} + CA
 firsts AS (SELECT row_nr, pix, min(hkl_id) AS hkl_id FROM lit GROUP BY 1, 2),
 fwd AS (SELECT * FROM (SELECT row_nr, row_number() OVER (PARTITION BY row_nr ORDER BY hkl_id) - 1 AS spot_nr, hkl_id, pix FROM firsts) WHERE spot_nr < 30)"""
 _FORWARD = f"WITH hkls AS ({_hkl_sql(D.H_MAX, _RULES['f'][2])}), {_ORIENT}, {_PROJECT}"
-_COARSE = f"""{_FORWARD}, {_PIXELS},
+_COARSE = f"""WITH hkls AS ({_hkl_sql(D.H_MAX, _RULES['f'][2])}), {_GRID}, {_PROJECT}, {_PIXELS},
 coarse AS (SELECT *, total * sqrt(CAST(n_spots AS DOUBLE)) AS score FROM (SELECT image_nr, row_nr, count(*) AS n_spots, CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS total
   FROM fwd JOIN pixels USING (pix) GROUP BY 1, 2) WHERE n_spots >= 2)"""
 
@@ -114,8 +120,12 @@ def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward.spots(D.orientations(spark, sf_dir), D.hkls(spark), NICKEL, D.DETECTOR)
 
 
-def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.coarse(_forward(spark, sf_dir), D.pixels(spark, sf_dir), min_spots=2)
+def _grid_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward.spots(D.grid(spark, sf_dir), D.hkls(spark), NICKEL, D.DETECTOR)
+
+
+def _coarse(spark: SparkSession, sf_dir: str, min_spots: int = 2) -> DataFrame:
+    return match.coarse(_grid_forward(spark, sf_dir), D.pixels(spark, sf_dir), min_spots=min_spots)
 
 
 @query("forward_spots", f"{_FORWARD} SELECT row_nr, spot_nr, hkl_id, pix FROM fwd")
@@ -150,13 +160,13 @@ def score_rank_topk(spark, sf_dir):
 def orientation_lookup(spark, sf_dir):
     from braggflow.operators import orientations
 
-    found = orientations.lookup(_coarse(spark, sf_dir), D.orientations(spark, sf_dir))
+    found = orientations.lookup(_coarse(spark, sf_dir), D.grid(spark, sf_dir))
     return found.select("image_nr", "row_nr", *[F.col("om")[i].alias(f"m{i}") for i in range(9)])
 
 
 @query("merge_leaders")
 def merge_leaders(spark, sf_dir):
-    return merge.merge(_coarse(spark, sf_dir), D.orientations(spark, sf_dir), max_angle_deg=5.0)
+    return merge.merge(_coarse(spark, sf_dir), D.grid(spark, sf_dir), max_angle_deg=5.0)
 
 
 @query("frame_pixel_stats", f"WITH {_PIXELS} SELECT image_nr, count(*) FILTER (v > 0) AS n_lit, max(v) AS brightest FROM pixels GROUP BY 1")
@@ -281,7 +291,7 @@ _EVIDENCE = f"WITH {_SOLUTIONS}, {_SPOTS}, {_LABELS}, {_CLAIMS}"
 
 
 def _claims(spark, sf_dir):
-    return claims.unique_claims(D.solutions(spark, sf_dir), D.spots(spark, sf_dir), D.labels(spark))
+    return claims.unique_claims(D.solutions(spark, sf_dir), D.spots(spark, sf_dir), D.labels(spark, sf_dir))
 
 
 @query("unique_claims", f"{_EVIDENCE} SELECT * FROM claims")
@@ -301,10 +311,7 @@ def kept_spots(spark, sf_dir):
 
 @query("filter_robust")
 def filter_robust(spark, sf_dir):
-    framed = lambda df: df.withColumn("image_nr", F.expr("grain_nr div 200"))  # noqa: E731  frames of a few hundred solutions
-    solutions, spots = framed(D.solutions(spark, sf_dir)), framed(D.spots(spark, sf_dir))
-    labels = spots.select("image_nr", "x", "y").distinct().withColumn("label", F.expr("case when (x * 3 + y * 5) % 7 < 3 then 1 + (x div 8) * 8 + y div 8 else 0 end"))
-    return claims.keep_robust(solutions, claims.unique_claims(solutions, spots, labels), min_unique=1, min_total=2).drop("om")
+    return claims.keep_robust(D.solutions(spark, sf_dir), _claims(spark, sf_dir), min_unique=1, min_total=2).drop("om")
 
 
 @query("top_by_quality", f"WITH {_SOLUTIONS} SELECT * FROM (SELECT image_nr, grain_nr, quality, row_number() OVER (PARTITION BY image_nr ORDER BY quality DESC, source_row DESC) AS rank FROM solutions) WHERE rank <= 5")
@@ -330,9 +337,10 @@ def image_ids(spark, sf_dir):
     return relations.image_ids(D.spots(spark, sf_dir), D.solutions(spark, sf_dir))
 
 
-@query("frame_cogroup", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT image_nr, coalesce(a, 0) AS n_solutions, coalesce(b, 0) AS n_spots FROM (SELECT image_nr, count(*) AS a FROM solutions WHERE image_nr < 3 GROUP BY 1) FULL JOIN (SELECT image_nr, count(*) AS b FROM spots WHERE image_nr > 0 GROUP BY 1) USING (image_nr)")
+@query("frame_cogroup", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT image_nr, coalesce(a, 0) AS n_solutions, coalesce(b, 0) AS n_spots FROM (SELECT image_nr + 1 AS image_nr, count(*) AS a FROM solutions GROUP BY 1) FULL JOIN (SELECT image_nr, count(*) AS b FROM spots GROUP BY 1) USING (image_nr)")
 def frame_cogroup(spark, sf_dir):
-    return relations.per_frame(D.solutions(spark, sf_dir).where("image_nr < 3"), D.spots(spark, sf_dir).where("image_nr > 0"))
+    later = D.solutions(spark, sf_dir).withColumn("image_nr", F.col("image_nr") + 1)  # so each side lacks a frame
+    return relations.per_frame(later, D.spots(spark, sf_dir))
 
 
 @query("spots_of_grains", f"WITH {_SOLUTIONS}, {_SPOTS} SELECT s.image_nr, s.grain_nr, s.spot_row, s.x, s.y, o.quality FROM spots s JOIN solutions o USING (image_nr, grain_nr)")
@@ -340,13 +348,14 @@ def spots_of_grains(spark, sf_dir):
     return relations.spots_of_grains(D.solutions(spark, sf_dir), D.spots(spark, sf_dir))
 
 
-@query("label_spots", f"WITH {_SPOTS}, {_LABELS} SELECT s.image_nr, s.grain_nr, s.spot_row, s.x, s.y, g.label FROM spots s LEFT JOIN (SELECT * FROM seg WHERE x < 50) g USING (image_nr, x, y)")
+@query("label_spots", f"WITH {_SPOTS}, {_LABELS} SELECT s.image_nr, s.grain_nr, s.spot_row, s.x, s.y, g.label FROM (SELECT image_nr, grain_nr, spot_row, x + 14 AS x, y FROM spots) s LEFT JOIN seg g USING (image_nr, x, y)")
 def label_spots(spark, sf_dir):
-    return relations.label_spots(D.spots(spark, sf_dir), D.labels(spark).where("x < 50"))
+    moved = D.spots(spark, sf_dir).withColumn("x", F.col("x") + 14)  # some lie outside the frame
+    return relations.label_spots(moved, D.labels(spark, sf_dir))
 
 
-_PEAKS = f"peaks AS (SELECT p_partkey % {D.FRAMES} AS image_nr, p_partkey AS label, (p_partkey * 37 % 640) / 10e0 AS cx, (p_partkey * 91 % 640) / 10e0 AS cy FROM part)"
-_ASKED = f"asked AS (SELECT o_orderkey % {D.FRAMES} AS image_nr, o_orderkey AS spot_row, (o_orderkey * 53 % 640) / 10e0 AS px, (o_custkey * 71 % 640) / 10e0 AS py FROM orders)"
+_PEAKS = f"peaks AS (SELECT p_partkey % {_NF} AS image_nr, p_partkey AS label, (p_partkey * 37 % 640) / 10e0 AS cx, (p_partkey * 91 % 640) / 10e0 AS cy FROM part)"
+_ASKED = f"asked AS (SELECT o_orderkey % {_NF} AS image_nr, o_orderkey AS spot_row, (o_orderkey * 53 % 640) / 10e0 AS px, (o_custkey * 71 % 640) / 10e0 AS py FROM orders)"
 
 
 @query("nearest_peak", f"""WITH {_PEAKS}, {_ASKED}, d AS (SELECT image_nr, spot_row, label, (px - cx) * (px - cx) + (py - cy) * (py - cy) AS d2 FROM asked JOIN peaks USING (image_nr)),
@@ -356,10 +365,10 @@ def nearest_peak(spark, sf_dir):
     return relations.nearest_peak(D.peak_spots(spark, sf_dir), D.peaks(spark, sf_dir))
 
 
-@query("gaussian_sigma", f"""WITH {_PEAKS}, p AS (SELECT * FROM peaks WHERE label % 5 = 0), s AS (SELECT a.image_nr, sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS spacing FROM p a JOIN p b ON a.image_nr = b.image_nr AND a.label <> b.label GROUP BY 1)
-  SELECT image_nr, round(CASE WHEN spacing IS NULL THEN 3e0 ELSE greatest(1e0, 25e-2 * least(spacing, {_d(2500 * math.tan(math.radians(0.4)))})) END, 6) AS sigma FROM (SELECT DISTINCT image_nr FROM p) LEFT JOIN s USING (image_nr)""")
+@query("gaussian_sigma", f"""WITH {_PEAKS}, s AS (SELECT a.image_nr, sqrt(min((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS spacing FROM peaks a JOIN peaks b ON a.image_nr = b.image_nr AND a.label <> b.label GROUP BY 1)
+  SELECT image_nr, round(CASE WHEN spacing IS NULL THEN 3e0 ELSE greatest(1e0, 25e-2 * least(spacing, {_d(2500 * math.tan(math.radians(0.4)))})) END, 6) AS sigma FROM (SELECT DISTINCT image_nr FROM peaks) LEFT JOIN s USING (image_nr)""")
 def gaussian_sigma(spark, sf_dir):
-    spacing = relations.nearest_spacing(D.peaks(spark, sf_dir).where("label % 5 = 0"), 128.0)
+    spacing = relations.nearest_spacing(D.peaks(spark, sf_dir), 128.0)
     return imaging.smoothing_width(spacing, 2500.0, 0.4).select("image_nr", F.round("sigma", 6).alias("sigma"))
 
 
@@ -409,9 +418,9 @@ def progress(spark, sf_dir):
     return done.select("n_done", "n_skipped", F.round("per_second", 6).alias("per_second"), F.round("seconds_left", 4).alias("seconds_left"))
 
 
-@query("rms_error", f"WITH {_SPOTS}, {_SOLUTIONS}, e AS (SELECT image_nr, grain_nr, sqrt(avg(((x + y) / 1e2) * ((x + y) / 1e2))) AS rms FROM spots WHERE x < 32 GROUP BY 1, 2) SELECT image_nr, grain_nr, round(coalesce(rms, quality / 1e5), 6) AS rms FROM solutions LEFT JOIN e USING (image_nr, grain_nr)")
+@query("rms_error", f"WITH {_SPOTS}, {_SOLUTIONS}, e AS (SELECT image_nr, grain_nr, sqrt(CAST(sum(CASE WHEN x < 32 THEN CAST(((x + y) / 1e2) * ((x + y) / 1e2) AS DECIMAL(28,10)) END) AS DOUBLE) / count(CASE WHEN x < 32 THEN 1 END)) AS rms FROM spots GROUP BY 1, 2) SELECT image_nr, grain_nr, round(coalesce(rms, quality / 1e5), 6) AS rms FROM solutions LEFT JOIN e USING (image_nr, grain_nr)")
 def rms_error(spark, sf_dir):
-    spots = D.spots(spark, sf_dir).where("x < 32").withColumn("err_deg", (F.col("x") + F.col("y")) / 100.0)
+    spots = D.spots(spark, sf_dir).withColumn("err_deg", F.when(F.col("x") < 32, (F.col("x") + F.col("y")) / 100.0))  # the others' errors are unknown
     solutions = D.solutions(spark, sf_dir).withColumn("misorientation_deg", F.col("quality") / 1e5)
     return relations.rms_error(spots, solutions).withColumn("rms", F.round("rms", 6))
 
@@ -419,7 +428,7 @@ def rms_error(spark, sf_dir):
 _BITS = ["corner & 1", "(corner >> 1) & 1", "(corner >> 2) & 1"]
 
 
-@query("cell_corners", f"WITH {_ORIENT} SELECT row_nr % {D.FRAMES} AS image_nr, row_nr AS grain_nr, corner, " + ", ".join(f"round({' + '.join(f'({_BITS[b]}) * 2e-1 * m{3 * b + i}' for b in range(3))}, 6) + 0e0 AS {n}" for i, n in enumerate("xyz")) + " FROM orient, (SELECT CAST(c AS INTEGER) AS corner FROM range(8) t(c))")
+@query("cell_corners", f"WITH {_ORIENT} SELECT row_nr % {_NF} AS image_nr, row_nr AS grain_nr, corner, " + ", ".join(f"round({' + '.join(f'({_BITS[b]}) * 2e-1 * m{3 * b + i}' for b in range(3))}, 6) + 0e0 AS {n}" for i, n in enumerate("xyz")) + " FROM orient, (SELECT CAST(c AS INTEGER) AS corner FROM range(8) t(c))")
 def cell_corners(spark, sf_dir):
     corners = relations.cell_corners(D.solutions(spark, sf_dir))
     return corners.select("image_nr", "grain_nr", "corner", *[(F.round(n, 6) + 0.0).alias(n) for n in "xyz"])
@@ -468,13 +477,13 @@ def log_pixels(spark, sf_dir):
 _SEG_PIX = f"{_LABELS}, lab AS (SELECT image_nr, y * {D.SIZE} + x AS pix, label FROM seg WHERE label > 0)"
 
 
-def _labelled(spark):
-    return D.labels(spark).where("label > 0").selectExpr("image_nr", f"y * {D.SIZE} + x as pix", "label")
+def _labelled(spark, sf_dir):
+    return D.labels(spark, sf_dir).where("label > 0").selectExpr("image_nr", f"y * {D.SIZE} + x as pix", "label")
 
 
 @query("component_stats", f"WITH {_SEG_PIX} SELECT image_nr, label, count(*) AS area, min(pix % {D.SIZE}) AS x, min(pix // {D.SIZE}) AS y, max(pix % {D.SIZE}) - min(pix % {D.SIZE}) + 1 AS w, max(pix // {D.SIZE}) - min(pix // {D.SIZE}) + 1 AS h FROM lab GROUP BY 1, 2")
 def component_stats(spark, sf_dir):
-    return imaging.region_stats(_labelled(spark), D.SIZE)
+    return imaging.region_stats(_labelled(spark, sf_dir), D.SIZE)
 
 
 _CENTRES = f"cen AS (SELECT image_nr, label, CAST(sum((pix % {D.SIZE}) * CAST(v AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS cx, CAST(sum((pix // {D.SIZE}) * CAST(v AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(v AS DECIMAL(18,4))) AS DOUBLE) AS cy, count(*) AS area FROM lab JOIN pixels USING (image_nr, pix) GROUP BY 1, 2 HAVING count(*) >= 4)"
@@ -482,25 +491,25 @@ _CENTRES = f"cen AS (SELECT image_nr, label, CAST(sum((pix % {D.SIZE}) * CAST(v
 
 @query("centre_of_mass", f"WITH {_SEG_PIX}, {_PIXELS}, {_CENTRES} SELECT image_nr, label, round(cx, 6) AS cx, round(cy, 6) AS cy, area FROM cen")
 def centre_of_mass(spark, sf_dir):
-    found = imaging.centres(_labelled(spark), D.pixels(spark, sf_dir), D.SIZE, min_area=4)
+    found = imaging.centres(_labelled(spark, sf_dir), D.pixels(spark, sf_dir), D.SIZE, min_area=4)
     return found.select("image_nr", "label", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "area")
 
 
 @query("small_components_removed", f"WITH {_SEG_PIX}, {_PIXELS}, {_CENTRES} SELECT l.* FROM lab l SEMI JOIN cen USING (image_nr, label)")
 def small_components_removed(spark, sf_dir):
-    labels = _labelled(spark)
+    labels = _labelled(spark, sf_dir)
     return imaging.keep_regions(labels, imaging.centres(labels, D.pixels(spark, sf_dir), D.SIZE, min_area=4))
 
 
 @query(
     "connected_components",
-    f"""WITH RECURSIVE {_PIXELS}, lit AS (SELECT image_nr, pix FROM pixels WHERE v > 6e4 AND pix % 3 <> 1),
+    f"""WITH RECURSIVE {_PIXELS}, lit AS (SELECT image_nr, pix FROM pixels),
     near AS (SELECT a.image_nr, a.pix, b.pix AS other FROM lit a JOIN lit b ON a.image_nr = b.image_nr AND abs(a.pix % {D.SIZE} - b.pix % {D.SIZE}) <= 1 AND abs(a.pix // {D.SIZE} - b.pix // {D.SIZE}) <= 1),
     reach AS (SELECT image_nr, pix, pix AS root FROM lit UNION SELECT n.image_nr, n.other, r.root FROM reach r JOIN near n ON n.image_nr = r.image_nr AND n.pix = r.pix)
     SELECT image_nr, pix, CAST(dense_rank() OVER (PARTITION BY image_nr ORDER BY root) AS INTEGER) AS label FROM (SELECT image_nr, pix, min(root) AS root FROM reach GROUP BY 1, 2)""",
 )
 def connected_components(spark, sf_dir):
-    return imaging.components(D.pixels(spark, sf_dir).where("v > 60000 and pix % 3 <> 1"), D.SIZE)
+    return imaging.components(D.pixels(spark, sf_dir), D.SIZE)
 
 
 @query("preprocess_frames")
@@ -508,9 +517,15 @@ def preprocess_frames(spark, sf_dir):
     return imaging.preprocess(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, thresholds=imaging.fixed(D.pixels(spark, sf_dir), 20000.0), min_area=2)["centres"]
 
 
-@query("background_median")
+_FLOOR = f"floor_ AS (SELECT g.image_nr, g.x, g.y, CAST(1 + (g.x * 7 + g.y * 11 + g.image_nr) % 50 AS DOUBLE) + coalesce(floor(p.v / 1000), 0) AS v FROM seg g LEFT JOIN pixels p ON p.image_nr = g.image_nr AND p.pix = g.y * {D.SIZE} + g.x)"
+_BACK = lambda c: f"CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} >= {D.SIZE} THEN {2 * D.SIZE - 1} - ({c}) ELSE {c} END"  # noqa: E731  edges reflected
+
+
+@query("background_median", f"""WITH {_PIXELS}, {_LABELS}, {_FLOOR}, o AS (SELECT CAST(i AS BIGINT) AS i FROM range(-2, 3) t(i)),
+  near AS (SELECT f.image_nr, f.x, f.y, {_BACK("f.x + a.i")} AS nx, {_BACK("f.y + b.i")} AS ny FROM floor_ f, o a, o b)
+  SELECT n.image_nr, n.y * {D.SIZE} + n.x AS pix, median(f.v) AS v FROM near n JOIN floor_ f ON f.image_nr = n.image_nr AND f.x = n.nx AND f.y = n.ny GROUP BY 1, 2""")
 def background_median(spark, sf_dir):
-    return imaging.background_median(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, size=5)
+    return imaging.background_median(D.lit_background(spark, sf_dir), D.SIZE, D.SIZE, size=5)
 
 
 @query("gaussian_blur")
@@ -545,8 +560,8 @@ def simulate_spots(spark, sf_dir):
 def refine_candidates(spark, sf_dir):
     from braggflow.operators.refine import refine
 
-    orientations, pixels = D.orientations(spark, sf_dir), D.pixels(spark, sf_dir)
-    merged = merge.merge(_coarse(spark, sf_dir), orientations)
+    orientations, pixels = D.grid(spark, sf_dir), D.pixels(spark, sf_dir)
+    merged = merge.merge(_coarse(spark, sf_dir, 5), orientations)
     found, _ = refine(merged.join(orientations, "row_nr"), pixels, reflections.primitive(D.hkls(spark)), NICKEL, D.DETECTOR, min_spots=1)
     return found.select("image_nr", "grain_nr", "row_nr", "n_matches", "n_spots_calc", F.round("quality", 4).alias("quality"))
 
@@ -604,8 +619,9 @@ def stream_frames(spark, sf_dir):
     from braggflow.streaming import frames
 
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/braggflow-stream/{uuid.uuid4().hex}"
-    D.pixels(spark, sf_dir).repartition(D.FRAMES, "image_nr").sortWithinPartitions("image_nr").write.parquet(f"{shared}/landing")
-    stream = frames.match_stream(frames.landing(spark, f"{shared}/landing"), _forward(spark, sf_dir), f"{shared}/out", f"{shared}/state", min_spots=2, available_now=True)
+    D.pixels(spark, sf_dir).repartition("image_nr").sortWithinPartitions("image_nr").write.parquet(f"{shared}/landing")
+    _grid_forward(spark, sf_dir).write.parquet(f"{shared}/forward")  # simulated once, read by every batch
+    stream = frames.match_stream(frames.landing(spark, f"{shared}/landing"), spark.read.parquet(f"{shared}/forward"), f"{shared}/out", f"{shared}/state", min_spots=2, available_now=True)
     stream.awaitTermination()
     found = spark.read.parquet(f"{shared}/out").drop("batch")
     return found.select("image_nr", "row_nr", "n_spots", F.round("total", 4).alias("total"), F.round("score", 4).alias("score"))
