@@ -60,6 +60,12 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, and without one otherwise (a shuffled join then)."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, *, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, and without one otherwise (a shuffled join then).
+
+    weight: rows that a row counts for, for rows with arrays; df is a stored table then.
+    """
+    if weight is None:
+        return F.broadcast(df) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else df
+    total = df.agg(F.sum(F.lit(1) + weight)).first()[0] or 0
+    return F.broadcast(df) if total <= 2 * limit else df

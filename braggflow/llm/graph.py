@@ -12,9 +12,10 @@ grow in proportion to the postings. The centre then leaves, and a bucket is done
 of it lies in one connected group, since further links could not change any group. Buckets of copies
 or near copies end so after a round or two. What is still open after `rounds` rounds, where members of
 different groups share a bucket but are no links, goes to `finish` if the caller has a sharper filter
-for it. Otherwise `finer` may part the open buckets, and more rounds follow in which the number of centres
-a bucket has grows eightfold each time, so a bucket of n members ends after about log8(n) of them. Only
-there, in buckets whose members are mostly no links, may the tests grow faster than the postings.
+for it. Otherwise `finer` may part the open buckets, and more rounds follow. There all members outside a
+bucket's largest group ask the others at once if they are few, so a large group with some strangers ends
+in one round; where they are many, the number of centres grows eightfold each round, so a bucket of n
+members ends after about log8(n) rounds. Only in the latter may tests grow faster than the postings.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from braggflow.llm.common import discard, small_side, stored
 
 
+#: Centres that a bucket may have at once in the rounds after the first ones.
+FEW_CENTRES = 64
+
+
 def _is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
 
@@ -67,18 +72,40 @@ def _few(buckets: DataFrame) -> DataFrame:
     return pairs.union(three.select(F.inline(F.array(F.struct("a", "b"), F.struct("a", F.col("c").alias("b")), F.struct(F.col("c").alias("a"), "b")))))
 
 
-def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 2, finer: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, groups: DataFrame | None = None) -> DataFrame:
+def _open(live: DataFrame) -> DataFrame:
+    """(bucket, id, group, n, others, largest, score) of the postings (bucket, id, group) in buckets of two groups or more, stored.
+
+    n: members of the bucket; others: those outside its largest group; score: small groups first, since what they have to be
+    held against shrinks fastest.
+    """
+    live = stored(live, "rest")
+    in_group = stored(live.groupBy("bucket", "group").agg(F.count("*").alias("k")), "groups")
+    facts = in_group.groupBy("bucket").agg(F.count("*").alias("groups"), F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("group", F.struct("k", "group")).alias("largest"))
+    facts = facts.where("groups > 1").select("bucket", "n", (F.col("n") - F.col("most")).alias("others"), "largest")
+    own = in_group.join(small_side(stored(facts, "open")), "bucket").withColumn("score", -F.col("k")).drop("k")
+    out = stored(live.join(own, ["bucket", "group"]), "postings")
+    discard(live, in_group)
+    return out
+
+
+def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among ids that share a bucket, enough to connect all that test() accepts.
 
-    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. finer: from open postings,
-    postings that part them further but few that may be linked. finish: from distinct (centre, id), where id is in an
-    open bucket whose first centre it was tested against, and the groups so far, enough links to connect all links
-    among ids of equal centres. groups: (node, component) of ids that are known to be connected.
+    postings: distinct (bucket, id). test: from distinct pairs (a, b), those that are links. refine: from postings of
+    buckets of four ids or more, postings that part them further but no two that may be linked. finer: the same of open
+    postings, but for few links. finish: from distinct (centre, id), where id is in an open bucket whose first centre it
+    was tested against, and the groups so far, enough links to connect all links among ids of equal centres.
+    groups: (node, component) of ids that are known to be connected.
     """
     counts = [F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor("id").alias("x")]
     buckets = stored(postings.groupBy("bucket").agg(*counts).where("n > 1"), "buckets")
     few = _few(buckets)
     live = stored(postings.join(small_side(buckets.where("n > 3").select("bucket", "n")), "bucket"), "postings")
+    if refine is not None:
+        parts = refine(live.select("bucket", "id"))
+        parts = stored(parts.join(parts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "postings")
+        discard(live)
+        live = parts
     popular = live.groupBy("id").agg(F.sum("n").alias("score"))  # who shares most buckets with most others comes first
     scored = live.join(popular, "id").select("bucket", "id", "n", F.col("id").alias("group"), F.col("score").cast("long").alias("score"))
     if groups is not None:
@@ -86,7 +113,8 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
     scored = stored(scored, "postings")
     discard(live)
     live, edges, tried, labels = scored, [], [], None
-    centres_of, r = 1, 0
+    known_before = [] if groups is None else [stored(live.where("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b")).distinct(), "known")]
+    centres_of, r = FEW_CENTRES // 8, 0
     first_centres = None
     while True:
         open_ = not _is_empty(live)
@@ -101,16 +129,18 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
         if open_ and r == rounds and finer is not None:
             known = live.select("id", "group").distinct()
             parts = finer(live.select("bucket", "id")).distinct().join(known, "id")
-            sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("bucket", "n")
-            parted = stored(parts.join(sizes, "bucket").select("bucket", "id", "n", "group", F.lit(0).cast("long").alias("score")), "postings")
+            parted = _open(parts)
             discard(live)
             live = parted
         if r >= rounds:
             centres_of *= 8
-        centre = live.groupBy("bucket").agg(F.max_by("id", F.struct("score", "id")).alias("centre"))
-        if centres_of > 1:  # about so many by hash, and all of a small bucket
-            chosen = F.pmod(F.xxhash64("bucket", "id"), F.floor(F.col("n") / centres_of) + 1) == 0
-            centre = live.where(chosen).select("bucket", F.col("id").alias("centre")).union(centre).distinct()
+        if r < rounds:
+            centre = live.groupBy("bucket").agg(F.max_by("id", F.struct("score", "id")).alias("centre"))
+        else:  # all outside the largest group if they are few, otherwise about so many by hash, and the one of least hash
+            hashed = F.xxhash64("bucket", "id")
+            chosen = F.when(F.col("others") <= centres_of, F.col("group") != F.col("largest")).otherwise(F.pmod(hashed, F.floor(F.col("n") / centres_of) + 1) == 0)
+            centre = live.where(chosen).select("bucket", F.col("id").alias("centre"))
+            centre = centre.union(live.where(F.col("others") > centres_of).groupBy("bucket").agg(F.min_by("id", hashed))).distinct()
         centre = stored(centre.join(live.select("bucket", F.col("id").alias("centre"), F.col("group").alias("c_group")), ["bucket", "centre"]), "centres")
         pairs = live.join(centre, "bucket").where("group <> c_group").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         pairs = (pairs if r else pairs.union(few)).distinct()
@@ -126,22 +156,18 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
             first_centres = centre.select("bucket", "centre")
         if not _is_empty(good):
             discard(*([labels] if labels is not None else []))
-            labels = components(_union(edges))
+            labels = components(_union([*known_before, *edges]))
         # who has asked everybody leaves; buckets that are one group by now are done
         rest = live.select("bucket", "id", "group").join(centre.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
         if labels is not None:
             to = labels.select(F.col("node").alias("group"), "component")
             rest = rest.join(to, "group", "left").select("bucket", "id", F.coalesce("component", "group").alias("group"))
-        of_bucket = rest.groupBy("bucket").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
-        rest = stored(rest.join(small_side(stored(of_bucket, "open")), "bucket"), "rest")
-        # a bucket's small groups are asked first: what they have to be held against shrinks fastest
-        in_group = rest.groupBy("bucket", "group").agg((-F.count("*")).alias("score"))
-        after = stored(rest.join(in_group, ["bucket", "group"]).select("bucket", "id", "n", "group", "score"), "postings")
-        discard(live, rest)
+        after = _open(rest)
+        discard(live)
         live = after
         r += 1
     out = _union(edges) if edges else few.limit(0)
-    discard(live, *tried)
+    discard(live, *tried, *known_before)
     return out
 
 
