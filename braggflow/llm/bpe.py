@@ -6,6 +6,11 @@ i (packed with i, so that the root is the leftmost pair of least rank). One merg
 drops the right part's leaf and renews the leaves of the two live pairs beside the merged part:
 three point updates of logarithmic cost, so a piece of any length takes O(n log n).
 
+Pieces are cut by the `regex` module, whose Unicode tables may be newer than the library's: a character
+that only the newer tables call a letter or a number is a symbol to the library. Which ones these are is
+measured with the library itself, once per tokenizer on the driver, and texts that have one are cut by a
+pattern without them.
+
 Workers keep the ids of pieces they have met in a cache of two generations of bounded size; the
 cache never changes a result. Ids travel as little-endian unsigned 32-bit integers in one binary
 column, and decoding joins the tokens' bytes, which restores the text's UTF-8 bytes exactly.
@@ -18,6 +23,7 @@ input other than the id and the text are ignored. Empty tables give empty result
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -111,31 +117,81 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def runs(match: regex.Pattern, text: str) -> Iterator[list[str]]:
-    """The pattern's matches, in lists of bounded length for long texts."""
-    if len(text) <= LONG_CHARS:
-        yield match.findall(text)
-        return
-    found = (m[0] for m in match.finditer(text))
-    while run := list(islice(found, RUN)):
-        yield run
+#: Python's own tables are older than those of `regex`: only what they do not know may be unknown to the library.
+_CODE_POINTS = range(0x80, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def new_characters() -> list[str]:
+    """Letters and numbers that Python's tables lack."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    return [c for c in map(chr, _CODE_POINTS) if unicodedata.category(c) == "Cn" and known.match(c)]
+
+
+def unknown_class(is_letter: Callable[[str], bool]) -> str:
+    """The new characters that a library does not take for letters or numbers, as ranges of a character class."""
+    spans: list[list[int]] = []
+    for c in (ord(c) for c in new_characters() if not is_letter(c)):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+class Cutter:
+    """A pattern's matches, as a library finds them that does not know the characters of the class `unknown`."""
+
+    def __init__(self, pattern: str, unknown: str = ""):
+        self.match = self.older = regex.compile(pattern)
+        self.unknown = None
+        if unknown:
+            self.unknown = regex.compile(f"[{unknown}]")
+            letters, numbers = (rf"[\p{{{k}}}--[{unknown}]]" for k in "LN")
+            self.older = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers), flags=regex.V1)
+
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The matches, in lists of bounded length for long texts."""
+        match = self.match
+        if self.unknown is not None and not text.isascii() and self.unknown.search(text):
+            match = self.older
+        if len(text) <= LONG_CHARS:
+            yield match.findall(text)
+            return
+        found = (m[0] for m in match.finditer(text))
+        while run := list(islice(found, RUN)):
+            yield run
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+
+
+@lru_cache(maxsize=4)
+def unknown_to_library(path: str, pattern: str) -> str:
+    """unknown_class() of the tiktoken library: a contraction is its own piece after letters and numbers alone."""
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+    end = library.encode_ordinary("'d")
+    return unknown_class(lambda c: library.encode_ordinary(f"{c}'d")[-len(end) :] == end)
 
 
 class Encoder:
-    """Ranks, pattern and piece cache of one worker process."""
+    """Ranks, cutter and piece cache of one worker process."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    def __init__(self, path: str, pattern: str, unknown: str = ""):
+        self.ranks = read_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.match = regex.compile(pattern)
+        self.cut = Cutter(pattern, unknown)
         self.cache = PieceCache(lambda piece: np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes())
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join([b"".join(map(self.cache.__getitem__, run)) for run in runs(self.match, text)])
+        return b"".join([b"".join(map(self.cache.__getitem__, run)) for run in self.cut.runs(text)])
 
     def decode(self, ids: bytes) -> bytes:
         table, whole = self.tokens.__getitem__, np.frombuffer(ids, "<u4")
@@ -143,9 +199,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, unknown: str = "") -> Encoder:
     """One encoder per worker process, tokenizer file and pattern."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, unknown)
 
 
 def in_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -165,9 +221,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     With `decoded`, also the bytes that the ids decode to, by the same worker; decode() gives the same from stored ids.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    unknown = unknown_to_library(path, pattern)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, unknown)
         for batch in batches:
             for part in in_slices(batch, "text", 4 << 20):
                 ids = [enc.encode(text) if text else b"" for text in part.column("text").to_pylist()]

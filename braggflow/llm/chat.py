@@ -72,6 +72,26 @@ def raw_events(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn") ->
     )
 
 
+def streamed_events(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", loss_role: str = "assistant") -> DataFrame:
+    """A table of turns as the log that a chat server would have kept of it, with columns conv, turn, tie, seq, kind, role, text.
+
+    A turn of the loss role is streamed, given up half way, regenerated, and streamed again in three parts; any other turn is
+    a draft (the text reversed) and an edit. fold(.., message=["turn", "tie"]) gives the turns back. Eight numbers are left
+    for the events of a turn; a null turn comes first; rows that share a turn become messages of their own.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    part = lambda of, k, n: F.substring(of, F.floor(F.length(of) * k / n).cast("int") + 1, F.floor(F.length(of) * (k + 1) / n).cast("int") - F.floor(F.length(of) * k / n).cast("int"))
+    event = lambda step, kind, value: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), value.alias("text"))
+    nothing = F.lit(None).cast("string")
+    streamed = F.array(event(0, "delta", part(text, 0, 2)), event(1, "regenerate", nothing), *[event(2 + k, "delta", part(text, k, 3)) for k in range(3)])
+    edited = F.array(event(0, "message", F.reverse(text)), event(1, "edit", text))
+    ties = Window.partitionBy(conv, turn).orderBy("role", "text")
+    first = F.coalesce(F.col(turn).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    told = rows.select(conv, F.col(turn).alias("turn"), F.row_number().over(ties).alias("tie"), first.alias("first"), "role", F.when(F.col("role") == loss_role, streamed).otherwise(edited).alias("events"))
+    told = told.select(conv, "turn", "tie", "first", "role", F.explode("events").alias("e"))
+    return told.select(conv, "turn", "tie", (F.col("first") * 8 + F.col("e.step")).cast("decimal(24,0)").alias("seq"), "e.kind", "role", "e.text")
+
+
 def render(messages: DataFrame, *, conv: str = "conv_id", tie: str = "tie", loss_role: str = "assistant", block: int = 64) -> DataFrame:
     """(conv, formatted, runs): the string of each conversation and its loss mask, a run (head, body, tail) a turn."""
     role = _escape(F.col("role"), ROLE_ESCAPES)
