@@ -7,10 +7,10 @@ word inside any occurrence of a window is hit.
 The windows' 64-bit hashes are broadcast with their words. Workers hash words and windows of whole
 texts with array operations; a window whose hash is found is compared word for word before it counts.
 The broadcast is bounded: benchmarks with more than ``block_words`` words are taken in blocks of items,
-one pass over the documents each, whose hits are merged row by row; nothing is shuffled.
+one stored pass over the documents each, whose hits are merged row by row; nothing is shuffled.
 
 Defined results: null texts have no words; items without words have no window; repeated items count by
-their id once; repeated documents are judged each for itself; very long texts are hashed in stretches;
+their id once, a null id as the item `None`; repeated documents are judged each for itself; very long texts are hashed in stretches;
 columns of the documents are passed through under their own names; empty tables give empty results.
 """
 
@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braggflow.llm.bpe import in_slices
+from braggflow.llm.common import discard, stored
 from braggflow.llm.words import ALNUM, LOWER, window_hashes, words_of
 
 WINDOW = 13
@@ -109,10 +111,9 @@ def scan_texts(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tup
 _HITS = "n_words long, spans array<struct<start:long,end:long>>, bytes array<struct<start:long,end:long>>, items array<string>"
 
 
-def _pass(rows: DataFrame, windows: Windows) -> DataFrame:
-    """rows (doc, text) with a struct `hit` of one block's hits."""
+def _pass(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """rows (doc, text) with a struct `hit` of one block's hits; shared: its Windows."""
     kept = rows.schema
-    shared = rows.sparkSession.sparkContext.broadcast(windows)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = [pa.int64(), span, span, pa.list_(pa.string())]
     names = ["n_words", "spans", "bytes", "items"]
@@ -137,7 +138,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64(F.col("item").cast("string"), "text"), F.lit(n_blocks)) == b)
-        rows = _pass(rows, Windows([tuple(r) for r in block.collect()])).withColumnRenamed("hit", f"hit{b}")
+        shared = docs.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()]))
+        passed = _pass(rows, shared).withColumnRenamed("hit", f"hit{b}")
+        if n_blocks > 1:  # a stored pass for each block, so only one is held at a time
+            passed = stored(passed, "decontam")
+            shared.destroy()
+            discard(rows)
+        rows = passed
     hits = [F.col(f"hit{b}") for b in range(n_blocks)]
     merge = (lambda field: hits[0][field]) if n_blocks == 1 else (lambda field: _merged(F.flatten(F.array(*[h[field] for h in hits]))))
     items_of = F.array_sort(F.array_distinct(F.flatten(F.array(*[h["items"] for h in hits]))))

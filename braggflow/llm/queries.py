@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import bpe, chat, decontam, licenses, line_dedup, near_dedup, quality, token_counts, token_io, url_filter
+from braggflow.llm import bpe, chat, decontam, licenses, line_dedup, near_dedup, oracles, quality, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -137,5 +137,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_format": _OP1_SQL,
+    "op5_decontamination": oracles.OP5,
+    "op7_quality_rules": oracles.OP7,
     "op9_url_filter": _OP9_SQL,
 }
