@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the folder that driver and executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/braggflow-{name}/{uuid.uuid4().hex}"
+
+
 def _d(x: float) -> str:
     """A double literal in any SQL."""
     text = repr(float(x))
@@ -587,10 +593,37 @@ def frame_mapping_json(spark, sf_dir):
     return readers.frame_mapping(keyed).drop("reason")
 
 
-@query("spot_lines", f"WITH {_SPOTS} SELECT image_nr, grain_nr, spot_row, concat_ws(chr(9), CAST(grain_nr AS VARCHAR), CAST(spot_row AS VARCHAR), CAST(x AS VARCHAR), CAST(y AS VARCHAR)) AS value FROM spots")
+@query("spot_lines", f"WITH {_SPOTS} SELECT image_nr, grain_nr, spot_row AS spot_nr, concat_ws(chr(9), CAST(grain_nr AS VARCHAR), CAST(spot_row AS VARCHAR), '0', '0', '0', CAST(x AS VARCHAR), CAST(y AS VARCHAR), '0.0000000', '0.0000000', '0.0000000', '0.0000') AS value FROM spots")
 def spot_lines(spark, sf_dir):
-    columns = [F.col(c).cast("string") for c in ("grain_nr", "spot_row", "x", "y")]
-    return D.spots(spark, sf_dir).select("image_nr", "grain_nr", "spot_row", F.concat_ws("\t", *columns).alias("value"))
+    from braggflow.sources import writers
+
+    return writers.spot_lines(D.spots(spark, sf_dir).withColumnRenamed("spot_row", "spot_nr"))
+
+
+@query("solution_lines", f"WITH {_SOLUTIONS} SELECT image_nr, grain_nr, concat_ws(chr(9), CAST(grain_nr AS VARCHAR), '0', '0.0000', '0.0000', printf('%.4f', quality), CAST(n_matches AS VARCHAR), '0', {', '.join(repr('0.0000000') for _ in range(24))}, '0.0000', '0.0000000', '0') AS value FROM solutions")
+def solution_lines(spark, sf_dir):
+    from braggflow.sources import writers
+
+    return writers.solution_lines(D.solutions(spark, sf_dir).drop("om"))
+
+
+@query("requery_results", f"""WITH {_SOLUTIONS}, {_SPOTS},
+  firsts AS (SELECT image_nr, grain_nr, row_number() OVER (PARTITION BY image_nr, x, y ORDER BY o.quality DESC, grain_nr DESC) AS n FROM spots s JOIN solutions o USING (image_nr, grain_nr)),
+  counted AS (SELECT image_nr, grain_nr, count(*) AS n_unique FROM firsts WHERE n = 1 GROUP BY 1, 2)
+  SELECT image_nr, grain_nr, n_unique, round(quality, 4) AS quality, n_matches FROM solutions JOIN counted USING (image_nr, grain_nr) WHERE n_unique >= 2""")
+def requery_results(spark, sf_dir):
+    """Results are written as text, read back, and chosen from again, each place being a region of its own."""
+    from braggflow.plans import requery
+    from braggflow.sources import writers
+
+    where = _scratch(spark, "requery")
+    best = D.solutions(spark, sf_dir).orderBy("grain_nr")
+    writers.solution_lines(best, "stream").select("value").write.text(f"{where}/solutions")
+    writers.spot_lines(D.spots(spark, sf_dir).withColumnRenamed("spot_row", "spot_nr"), "stream").select("value").write.text(f"{where}/spots")
+    solutions, spots = requery.stored_results(spark, f"{where}/solutions", f"{where}/spots", "stream")
+    kept, _, counted = requery.choose_again(solutions, spots, width=D.SIZE, height=D.SIZE, robust=False, min_unique=2)
+    found = kept.join(counted.select("image_nr", "grain_nr", "n_unique"), ["image_nr", "grain_nr"])
+    return found.select("image_nr", "grain_nr", "n_unique", F.round("quality", 4).alias("quality"), "n_matches")
 
 
 @query("index_pattern_lines")
@@ -614,11 +647,9 @@ def legacy_names(spark, sf_dir):
 @query("stream_frames", f"{_COARSE} SELECT image_nr, row_nr, n_spots, round(total, 4) AS total, round(score, 4) AS score FROM coarse")
 def stream_frames(spark, sf_dir):
     """The coarse matches of a drained stream of landed frames; the same rows as the batch."""
-    import uuid
-
     from braggflow.streaming import frames
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/braggflow-stream/{uuid.uuid4().hex}"
+    shared = _scratch(spark, "stream")
     D.pixels(spark, sf_dir).repartition("image_nr").sortWithinPartitions("image_nr").write.parquet(f"{shared}/landing")
     _grid_forward(spark, sf_dir).write.parquet(f"{shared}/forward")  # simulated once, read by every batch
     stream = frames.match_stream(frames.landing(spark, f"{shared}/landing"), spark.read.parquet(f"{shared}/forward"), f"{shared}/out", f"{shared}/state", min_spots=2, available_now=True)

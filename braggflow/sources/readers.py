@@ -20,11 +20,16 @@ WIDTHS = {"batch": {"solutions": 34, "spots": 11}, "stream": {"solutions": 35, "
 def text_rows(spark: SparkSession, path: str) -> DataFrame:
     """(source_row, fields) of a text table: header and empty lines left out, fields parted by any white space.
 
-    Row numbers order the rows of one file and are unique over files; they follow the file's lines.
+    source_row counts lines from 0 in the order of file names, file blocks and lines, headers and empty lines included. Only
+    the number of lines of each block is gathered to count on from; rows are numbered within their block.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    lines = lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
     lines = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != ""))
-    return lines.select(F.col("at").alias("source_row"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("fields"))
+    row = F.col("before") + F.col("at") - F.col("first")
+    return lines.select(row.alias("source_row"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("fields"))
 
 
 def _fields(rows: DataFrame, table: str, layout: str, scalars: dict, arrays: dict) -> DataFrame:
@@ -64,18 +69,23 @@ def orientation_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def orientation_records(spark: SparkSession, path: str) -> DataFrame:
-    """(row_nr, om) of headerless files of nine 64-bit floats a record; a file is read by fixed-size records, in splits."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(row_nr, om) of a headerless file of nine 64-bit floats a record, of any size.
+
+    Hadoop's fixed-length input cuts the file into splits of whole records; a record's number follows from its byte offset,
+    so no task reads more than its split. A file whose size is no multiple of the record is refused.
+    """
+    hadoop, record = "org.apache.hadoop", 72
+    found = spark.sparkContext.newAPIHadoopFile(
+        path, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable",
+        conf={"fixedlengthinputformat.record.length": str(record)},
+    )
+    raw = spark.createDataFrame(found.map(lambda r: (r[0] // record, bytes(r[1]))), "row_nr long, raw binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                values = np.frombuffer(content.as_buffer(), "<f8")
-                values = values[: len(values) // 9 * 9]
-                for at in range(0, len(values), 9 * 65536):
-                    part = values[at : at + 9 * 65536]
-                    om = pa.FixedSizeListArray.from_arrays(pa.array(part), 9).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at // 9, (at + len(part)) // 9)), om], ["row_nr", "om"])
+            values = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f8")
+            om = pa.FixedSizeListArray.from_arrays(pa.array(values), 9).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row_nr"), om], ["row_nr", "om"])
 
     return raw.mapInArrow(work, "row_nr long, om array<double>")
 

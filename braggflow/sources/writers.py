@@ -13,11 +13,30 @@ def _matrix(m: str) -> Column:
     return F.concat(F.lit("{"), row(0), row(1), row(2), F.lit("}"))
 
 
-def solution_lines(solutions: DataFrame) -> DataFrame:
-    """(image_nr, grain_nr, value): a solutions row as tab-parted text."""
-    scalars = [F.col(c).cast("string") for c in ("grain_nr", "n_solutions")] + [F.format_string("%.4f", F.col(c)) for c in ("intensity", "quality")]
-    arrays = [F.array_join(F.transform(c, lambda v: F.format_string("%.7f", v)), "\t") for c in ("lattice", "om")]
-    return solutions.select(*KEYS, F.concat_ws("\t", *scalars, F.col("n_matches").cast("string"), *arrays).alias("value"))
+#: Columns of a solutions row and how each is written; arrays follow n_spots_calc in this order.
+_BEFORE = {"grain_nr": "%d", "n_solutions": "%d", "intensity": "%.4f", "nmatches_x_intensity": "%.4f", "quality": "%.4f", "n_matches": "%d", "n_spots_calc": "%d"}
+_ARRAYS = {"recip": 9, "lattice": 6, "om": 9}
+_AFTER = {"coarse_quality": "%.4f", "misorientation_deg": "%.7f", "row_nr": "%d"}
+_SPOT = {"grain_nr": "%d", "spot_nr": "%d", "h": "%d", "k": "%d", "l": "%d", "x": "%d", "y": "%d", "qx": "%.7f", "qy": "%.7f", "qz": "%.7f", "intensity": "%.4f"}
+
+
+def _field(df: DataFrame, name: str, layout: str) -> Column:
+    kind = "long" if layout == "%d" else "double"
+    return F.format_string(layout, F.coalesce(F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind), F.lit(0).cast(kind)))
+
+
+def solution_lines(solutions: DataFrame, layout: str = "batch") -> DataFrame:
+    """(image_nr, grain_nr, value): a solutions row as tab-parted text that readers.solutions reads; absent columns are zero."""
+    head = [F.col("image_nr").cast("string")] if layout == "stream" else []
+    arrays = [F.array_join(F.transform(F.col(c) if c in solutions.columns else F.array_repeat(F.lit(0.0), n), lambda v: F.format_string("%.7f", v)), "\t") for c, n in _ARRAYS.items()]
+    fields = [*(_field(solutions, c, f) for c, f in _BEFORE.items()), *arrays, *(_field(solutions, c, f) for c, f in _AFTER.items())]
+    return solutions.select(*KEYS, F.concat_ws("\t", *head, *fields).alias("value"))
+
+
+def spot_lines(spots: DataFrame, layout: str = "batch") -> DataFrame:
+    """(image_nr, grain_nr, spot_nr, value): a spots row as tab-parted text that readers.spots reads; absent columns are zero."""
+    head = [F.col("image_nr").cast("string")] if layout == "stream" else []
+    return spots.select(*KEYS, "spot_nr", F.concat_ws("\t", *head, *(_field(spots, c, f) for c, f in _SPOT.items())).alias("value"))
 
 
 def index_patterns(solutions: DataFrame, spots: DataFrame) -> DataFrame:
