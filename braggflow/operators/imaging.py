@@ -73,7 +73,7 @@ THRESHOLDS = {"adaptive": noise_floor, "percentile": percentile, "otsu": otsu, "
 
 def above(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Pixels strictly above their frame's threshold, as whole numbers (truncated; what falls to zero goes)."""
-    kept = pixels.join(F.broadcast(thresholds), "image_nr").where("v > threshold")
+    kept = pixels.join(thresholds, "image_nr").where("v > threshold")
     return kept.select("image_nr", "pix", F.pmod(F.floor("v"), F.lit(65536)).cast("double").alias("v")).where("v > 0")
 
 
@@ -81,7 +81,7 @@ def quantised(pixels: DataFrame) -> DataFrame:
     """Pixels on a scale of 1 to 255 of their frame's brightest."""
     top = pixels.groupBy("image_nr").agg(F.max("v").alias("top"))
     level = F.greatest(F.floor(F.col("v") * 255 / F.col("top")), F.lit(1)).cast("int")
-    return pixels.where("v > 0").join(F.broadcast(top), "image_nr").select("image_nr", "pix", level.alias("level"))
+    return pixels.where("v > 0").join(top, "image_nr").select("image_nr", "pix", level.alias("level"))
 
 
 def log_image(pixels: DataFrame) -> DataFrame:
@@ -273,5 +273,5 @@ def cleanup(pixels: DataFrame, background: DataFrame, width: int, n_pixels: int,
     both = pixels.join(background.select("image_nr", "pix", F.col("v").alias("b")), ["image_nr", "pix"], "left")
     less = both.select("image_nr", "pix", (F.col("v") - F.coalesce("b", F.lit(0.0))).alias("v"))
     limit = deviation(less, n_pixels)
-    lit = less.join(F.broadcast(limit), "image_nr").where("v >= threshold").select("image_nr", "pix", F.floor("v").cast("double").alias("v")).where("v > 0")
+    lit = less.join(limit, "image_nr").where("v >= threshold").select("image_nr", "pix", F.floor("v").cast("double").alias("v")).where("v > 0")
     return centres(components(lit, width, eight=False), lit, width, min_area=min_area, max_area=max_area)

@@ -35,6 +35,18 @@ def directions(hkl: np.ndarray) -> np.ndarray:
     return np.unique(whole // np.gcd.reduce(whole, axis=0), axis=1, return_inverse=True)[1].reshape(-1)
 
 
+def reachable(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, detector: Detector, turn: float) -> np.ndarray:
+    """Which columns may lie in the energy window after a rotation by at most `turn` (rad); the others never count in the fit.
+
+    Such a rotation moves the beam component of a unit vector by 2 sin(turn / 2) at most, and energy follows from it.
+    """
+    q = om @ recip @ hkl
+    length = np.sqrt((q * q).sum(axis=0))
+    down, slack = -q[2] / length, 2 * np.sin(min(turn, np.pi) / 2)
+    scale = HC_KEV_NM * length / (4 * np.pi)
+    return (scale <= detector.e_hi * np.minimum(1.0, down + slack)) & (scale >= detector.e_lo * np.maximum(0.0, down - slack))
+
+
 def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, direction: np.ndarray, image: np.ndarray, detector: Detector) -> float:
     """Lit spots times the root of their summed intensity; of each direction the first column inside the energy window and detector counts."""
     q = om @ recip @ hkl
@@ -108,8 +120,10 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
         cell[free] = v[3:]
         return replace(lattice, **dict(zip(("a", "b", "c", "alpha", "beta", "gamma"), cell.tolist(), strict=True)))
 
-    direction = directions(hkl)
     fixed = lattice.reciprocal() if len(start) == 3 else None
+    if fixed is not None:
+        hkl = hkl[:, reachable(om, fixed, hkl, detector, float(width[:3].sum()))]
+    direction = directions(hkl)
     value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, direction, image, detector)
     found, best = simplex(value, start, width)
     return matrix_of(found[:3]), (built(found) if len(start) > 3 else lattice), best
@@ -118,10 +132,12 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
 def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: Lattice, detector: Detector, *, min_spots: int = 5, max_spots: int = 90, **options) -> tuple[DataFrame, DataFrame]:
     """(solutions, spots) of candidates (image_nr, grain_nr, n_solutions, row_nr, score, om) on their frames.
 
-    Candidates of a frame are dealt over PARTS groups, each of which meets the frame in a cogroup; each candidate is fitted on all reflections, of which every objective takes the first
-    of a direction that it can light; then its spots come from the whole list by the relational plan. Solutions with fewer than min_spots lit spots go.
+    Candidates of a frame are dealt over PARTS groups, each of which meets the frame in a cogroup. A candidate is fitted on
+    the reflections that it may light within the search (on all where the lattice is free), and every objective takes the
+    first of a direction that it lights; then its spots come from the whole list by the relational plan. Solutions with
+    fewer than min_spots lit spots go.
     """
-    listed = hkls.select("hkl_id", "h", "k", "l").orderBy("hkl_id").limit(forward.MOST_HKLS).toPandas()
+    listed = forward.reflection_list(hkls)
     shared = candidates.sparkSession.sparkContext.broadcast(listed[["h", "k", "l"]].to_numpy("f8").T)
     kinds = dict(candidates.dtypes)
     schema = f"image_nr {kinds['image_nr']}, grain_nr {kinds['grain_nr']}, n_solutions long, row_nr {kinds['row_nr']}, coarse_quality double, om array<double>, lattice array<double>, objective double, misorientation_deg double"

@@ -32,3 +32,22 @@ def test_every_coarse_match_reaches_the_fit(spark, monkeypatch):
     monkeypatch.setattr(refine, "refine", lambda candidates, *_, **__: (seen.append(candidates), none)[1:] * 2)
     registry.QUERIES["refine_candidates"](spark, data)
     assert seen[0].agg(F.sum("n_solutions")).first()[0] == 60
+
+
+def test_what_cannot_be_reached_does_not_count():
+    from braggflow.functions.crystal import NICKEL_DETECTOR
+
+    rng = np.random.default_rng(5)
+    axis = np.arange(-8, 9)
+    hkl = np.stack([x.reshape(-1) for x in np.meshgrid(axis, axis, axis)]).astype("f8")
+    hkl = hkl[:, (hkl != 0).any(axis=0)]
+    image = rng.random((2048, 2048)).astype("f4")
+    for _ in range(10):
+        start = rng.uniform(0.2, 2.5, 3)
+        width = np.radians(3.0)
+        kept = refine.reachable(refine.matrix_of(start), NICKEL.reciprocal(), hkl, NICKEL_DETECTOR, 3 * width)
+        assert 0 < kept.sum() < 0.6 * hkl.shape[1]
+        for _ in range(5):
+            om = refine.matrix_of(start + rng.uniform(-width, width, 3))
+            whole, part = ((refine.overlap(om, NICKEL.reciprocal(), h, refine.directions(h), image, NICKEL_DETECTOR)) for h in (hkl, hkl[:, kept]))
+            assert whole == part
