@@ -17,6 +17,7 @@ HEADLINE = ["forward_spots", "coarse_match", "score_rank_topk", "merge_leaders",
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from braggflow.plans import derive
     from braggflow.plans.registry import QUERIES
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
@@ -31,7 +32,9 @@ def main() -> None:
         began = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rsplit("sf", 1)[-1]}))
+    rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    per_second = {"forward_spots_projections": round(rows("orders") * derive.hkls(spark).count() / seconds["forward_spots"]), "coarse_match_frame_orientations": round(rows("supplier") * rows("customer") / seconds["coarse_match"])}
+    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "per_second": per_second, "sf": sf_dir.rsplit("sf", 1)[-1]}))
     spark.stop()
 
 

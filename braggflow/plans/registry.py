@@ -172,7 +172,7 @@ def orientation_lookup(spark, sf_dir):
 
 @query("merge_leaders")
 def merge_leaders(spark, sf_dir):
-    return merge.merge(_coarse(spark, sf_dir), D.grid(spark, sf_dir), max_angle_deg=5.0)
+    return merge.merge(_coarse(spark, sf_dir, 4), D.grid(spark, sf_dir), max_angle_deg=5.0)
 
 
 @query("frame_pixel_stats", f"WITH {_PIXELS} SELECT image_nr, count(*) FILTER (v > 0) AS n_lit, max(v) AS brightest FROM pixels GROUP BY 1")
