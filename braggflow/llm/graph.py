@@ -114,6 +114,8 @@ def link(postings: DataFrame, test: Callable[[DataFrame], DataFrame], *, rounds:
     discard(live)
     live, edges, tried, labels = scored, [], [], None
     known_before = [] if groups is None else [stored(live.where("id <> group").select(F.col("id").alias("a"), F.col("group").alias("b")).distinct(), "known")]
+    if rounds == 0:
+        live = _open(live.select("bucket", "id", "group"))
     centres_of, r = FEW_CENTRES // 8, 0
     first_centres = None
     while True:

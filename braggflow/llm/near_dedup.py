@@ -18,7 +18,7 @@ words: the whole sequence as one). Documents with at least 85 % of their union i
    share at least (|D| + |D'| - a) / 2. A *near* set (one whose D is within a of the centre) is linked to
    the centre already, so only links of *far* sets are sought; both are posted under the rarest parts
    of D that such a link needs, but for shingles that no other document has. A far set leaves a list in
-   which no partner can share enough with it. This filter is exact.
+   which no partner can share enough with it. This filter is exact; its pairs go through the same two tests as in 3.
 5. Connected groups of confirmed links get the smallest document id.
 
 The order is kept for at most ``HOT_VALUES`` frequent values; any order is right, so the bound is on
@@ -51,7 +51,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: A value more frequent than this goes into the order of frequent values; at most so many go in.
 HOT_COUNT, HOT_VALUES = 16, 400_000
 #: Centre rounds over signature postings.
-ROUNDS = 2
+ROUNDS = 1
 _A = np.random.default_rng(101).integers(1, 1 << 63, COORDINATES, dtype="u8") | np.uint64(1)
 _B = np.random.default_rng(103).integers(1, 1 << 63, COORDINATES, dtype="u8")
 
@@ -206,18 +206,19 @@ def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
                 if columns[0]:
                     yield _rows([pa.array(np.concatenate(c)) for c in columns], names)
 
-    mid = sets.select(F.col("cid").alias("centre"), F.col("members").alias("mid"))
+    centres = stored(sets.join(frames.select(F.col("centre").alias("cid")).distinct(), "cid", "left_semi"), "centres")
+    mid = small_side(centres.select(F.col("cid").alias("centre"), F.col("members").alias("mid")), weight=F.floor(F.octet_length("mid") / 100))  # up to 40 MB
     own = sets.select(F.col("cid").alias("id"), F.col("members").alias("own"))
     schema = "bucket long, id long, far boolean, d long, n long, reach long"
-    posted = stored(frames.join(mid, "centre").join(own, "id").select("centre", "id", "mid", "own").mapInArrow(work, schema), "differences")
+    posted = stored(frames.join(own, "id").join(mid, "centre").select("centre", "id", "mid", "own").mapInArrow(work, schema), "differences")
     # a far set needs a partner whose reach is d - most_apart(n, partner's n) at least
-    most = posted.groupBy("bucket").agg(F.max("reach").alias("most_reach"), F.max("n").alias("most_n"), F.count_if("far").alias("k")).where("k > 0")
+    most = posted.groupBy("bucket").agg(F.max("reach").alias("most_reach"), F.max("n").alias("most_n"), F.count_if("far").alias("k"), F.count("*").alias("m")).where("k > 0 and m > 1")
     apart = F.floor((100 - PERCENT) * (F.col("n") + F.least(F.floor(100 * F.col("n") / PERCENT), "most_n")) / (100 + PERCENT))
     left = posted.join(most, "bucket").where(~F.col("far") | (F.col("d") - apart <= F.col("most_reach")))
     left = stored(left.select("bucket", "id", "far"), "differences")
     useful = left.groupBy("bucket").agg(F.count_if("far").alias("k"), F.count("*").alias("m")).where("k > 0 and m > 1").select("bucket")
     out = stored(left.join(useful, "bucket").select("bucket", "id").distinct(), "differences")
-    discard(posted, left)
+    discard(posted, left, centres)
     return out
 
 
@@ -286,7 +287,7 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) ->
     def finish(frames: DataFrame, groups: DataFrame | None) -> DataFrame:
         wanted = frames.select(F.col("id").alias("cid")).union(frames.select("centre")).distinct()
         sets = sets_of(docs, classes, wanted, id_col=id_col, text_col=text_col)
-        return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, pairs), groups=groups)
+        return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, matching(classes, pairs)), rounds=0, groups=groups)
 
     return link(postings(classes), test, rounds=ROUNDS, finish=finish)
 

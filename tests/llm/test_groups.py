@@ -100,7 +100,7 @@ def test_link_loses_no_link(spark):
     rng = random.Random(2)
     value = {i: rng.randint(0, 400) for i in range(120)}
     buckets = [(b, i) for b in range(3) for i in value if rng.random() < 0.8]
-    for rounds in (1, 4):
+    for rounds in (0, 1, 4):
         test = lambda pairs: pairs.where(F.abs(F.element_at(lookup, F.col("a")) - F.element_at(lookup, F.col("b"))) <= 3)
         lookup = F.create_map(*[F.lit(x) for i, v in value.items() for x in (i, v)])
         edges = graph.link(spark.createDataFrame(buckets, "bucket long, id int"), test, rounds=rounds)
