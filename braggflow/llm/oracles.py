@@ -44,3 +44,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words) AND n_words - gone >= CAST({quality.MIN_LEFT} AS DOUBLE) * n_words AS kept
 FROM facts"""
+
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SHARE = lambda n, whole: f"CAST(1 + 1000000000::HUGEINT * ({n} + 1) // ({whole}) AS HUGEINT)"
+OP12 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER("coalesce(text, '')")} AS text FROM documents),
+found AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '{_TERM}')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS c FROM found SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.c, 0) AS c, {_SHARE("coalesce(c.c, 0)", "s.n + l.v")} AS p, {_SHARE("k.n", "l.n + l.v")} AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200"""
