@@ -32,7 +32,7 @@ texts are hashed in stretches; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,14 +236,14 @@ def matching(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long"), "near")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, shingled: Callable[[bytes], np.ndarray] = shingles) -> DataFrame:
     """(cid, members): the full shingle sets of wanted classes (cid), read from the documents again, stored."""
     wanted = stored(classes.join(wanted, "cid").select("cid", "rep", "d1", "d2"), "wanted")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "text", 2 << 20):
-                found = [shingles(t).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                found = [shingled(t).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
                 d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), "<i8").reshape(-1, 2)
                 yield _rows([part.column("id"), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(found, pa.binary())], ["id", "e1", "e2", "members"])
 

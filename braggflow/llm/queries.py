@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braggflow.llm import bpe, chat, decontam, divergence, licenses, line_dedup, near_dedup, oracles, periodic, quality, token_counts, token_io, url_filter
+from braggflow.llm import bpe, chat, decontam, divergence, licenses, line_dedup, metric_join, near_dedup, oracles, periodic, quality, token_counts, token_io, url_filter
 from braggflow.llm.common import literal_table, table
 
 #: A conversation whose texts spell the template's own marks.
@@ -123,6 +123,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.join(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -172,6 +176,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
