@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braggflow.functions import geometry as G
-from braggflow.functions.crystal import CSL, CSL_AXIS_TOLERANCE
+from braggflow.functions.crystal import CSL, CSL_AXIS_TOLERANCE, rotation_quaternion, symmetry_quaternions
+from braggflow.operators import cells
+from braggflow.sources.store import discard, is_empty, stored
+
+#: A space group with cubic symmetry; all have the same rotations.
+CUBIC = 225
 
 
 def unique_claims(solutions: DataFrame, spots: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,29 +60,69 @@ def by_quality(solutions: DataFrame, n: int | None = None) -> DataFrame:
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
-def cubic_disorientations(own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Angles in degrees and sorted absolute axes of the cubic disorientations of a unit quaternion from others.
+def _boundaries(sigmas: tuple[int, ...]) -> np.ndarray:
+    """The rotations across the named coincidence boundaries of cubic crystals; of those that differ by symmetry, one."""
+    found = {}
+    for angle, axis in (CSL[s] for s in sigmas if s in CSL):
+        for signs in itertools.product((1, -1), repeat=3):
+            for order in itertools.permutations(range(3)):
+                q = np.array([rotation_quaternion(tuple(signs[i] * axis[order[i]] for i in range(3)), angle)])
+                alike = np.round(cells.equivalents(q, np.array(symmetry_quaternions(CUBIC)))[0], 6) + 0.0
+                found.setdefault(max(map(tuple, alike)), q[0])
+    return np.array(list(found.values())).reshape(-1, 4)
 
-    For absolute parts a >= b >= c >= d of the rotation between, the representative of largest scalar part is one
-    of three. A null rotation has no axis (nan).
-    """
-    w, v = own[0], own[1:]
-    between = np.column_stack([w * others[:, 0] + others[:, 1:] @ v, w * others[:, 1:] - others[:, :1] * v - np.cross(v, others[:, 1:])])
-    a, b, c, d = np.sort(np.abs(between), axis=1)[:, ::-1].T
-    root = np.sqrt(0.5)
-    scalars = np.stack([a, (a + b) * root, (a + b + c + d) / 2])
-    vectors = np.stack([[b, c, d], [(a - b) * root, (c + d) * root, (c - d) * root], [(a - b + c - d) / 2, (a + b - c - d) / 2, (a - b - c + d) / 2]])
-    best, at = np.argmax(scalars, axis=0), np.arange(len(others))
-    axes = np.sort(np.abs(vectors[best, :, at]), axis=1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        axes = axes / np.linalg.norm(axes, axis=1, keepdims=True)
-    return np.degrees(2 * np.arccos(np.minimum(1.0, scalars[best, at]))), axes
+
+def _slack(sigmas: tuple[int, ...], tolerance_deg: float) -> float:
+    """How far, as quaternions, a pair may be from a named boundary and still count as one."""
+    widest = max((CSL[s][0] for s in sigmas if s in CSL), default=0.0)
+    return cells.chord(tolerance_deg) + math.sin(math.radians(min(180.0, widest + tolerance_deg)) / 2) * (CSL_AXIS_TOLERANCE + 1e-4)
 
 
-def _coincident(angles: np.ndarray, axes: np.ndarray, sigmas: tuple[int, ...], tolerance: float) -> bool:
-    """Whether one of the disorientations is a named coincidence boundary."""
-    named = [CSL[s] for s in sigmas if s in CSL]
-    return any(((np.abs(angles - at) < tolerance) & (np.linalg.norm(axes - np.array(axis), axis=1) < CSL_AXIS_TOLERANCE)).any() for at, axis in named)
+def _twins(kept: DataFrame, weak: DataFrame, variants: DataFrame, sigmas: tuple[int, ...], tolerance_deg: float) -> DataFrame:
+    """(image_nr, at) of the weak rows that have a coincidence boundary with an earlier row of kept; both (image_nr, at, q)."""
+    turned = variants.join(kept.select("image_nr", F.col("at").alias("before"), F.col("q").alias("p")), ["image_nr", "before"])
+    asked = weak.select("image_nr", "at", "q", cells.around().alias("cell"))
+    pairs = asked.join(turned.select("image_nr", "cell", "before", "p"), ["image_nr", "cell"]).where("before < at").dropDuplicates(["image_nr", "at", "before"])
+    p, q = G.elements("p", 4), G.elements("q", 4)
+    pairs = pairs.withColumn("angle", G.misorientation_deg(p, q, CUBIC)).withColumn("axis", G.disorientation_axis(p, q))
+    return pairs.where(G.csl_related(F.col("angle"), F.col("axis"), sigmas, tolerance_deg)).select("image_nr", "at").distinct()
+
+
+def _settled(rows: DataFrame, max_angle_deg: float, sigmas: tuple[int, ...], tolerance_deg: float) -> list[DataFrame]:
+    """Stored tables (image_nr, at) of the rows (image_nr, at, strong, q) that are kept.
+
+    In each round the rows that no undecided earlier one is near to are clear. Strong clear rows are kept, and so are weak ones
+    that have a boundary with a kept row. What lies near a kept row goes, and weak rows that no earlier row, kept or undecided, could
+    still rescue go too. The first undecided row of a frame is always decided.
+    """
+    symmetry, keys = symmetry_quaternions(CUBIC), ["image_nr", "at"]
+    undecided = stored(rows.withColumn("rescued", F.lit(False)), "undecided")
+    places = stored(cells.index(undecided, symmetry, cells.chord(max_angle_deg)), "places")
+    slack, boundaries = _slack(sigmas, tolerance_deg), _boundaries(sigmas)
+    homes = stored(cells.index(undecided.where("not strong"), symmetry, slack).where("home").select(*keys, "cell"), "homes")
+    moved = cells.index(undecided, symmetry, slack, moved=boundaries) if len(boundaries) else cells.index(undecided, symmetry, slack).limit(0)
+    variants = stored(moved.select("image_nr", "cell", F.col("at").alias("before")).distinct(), "variants")
+    kept = []
+    while not is_empty(undecided):
+        alive = undecided.select(*keys)
+        near = places.join(alive, keys, "left_semi")
+        clear = near.where("home").join(cells.first_in_reach(near), ["image_nr", "cell"]).where("at = first").select(*keys, F.lit(True).alias("clear"))
+        rescuers = variants.join(alive.withColumnRenamed("at", "before"), ["image_nr", "before"], "left_semi").withColumnRenamed("before", "at")
+        waiting = homes.join(cells.first_in_reach(rescuers), ["image_nr", "cell"]).where("first < at").select(*keys, F.lit(True).alias("waits"))
+        state = undecided.join(clear, keys, "left").join(waiting, keys, "left")
+        state = stored(state.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("clear", "waits")}), "state")
+        new = stored(state.where("clear and (strong or rescued)").select(*keys, "q"), "kept")
+        kept.append(new)
+        gone = cells.meetings(places.where("home").join(new.select(*keys), keys, "left_semi"), near, max_angle_deg, strict=True).select(*keys)
+        gone = gone.union(new.select(*keys)).union(state.where("not strong and not rescued and not waits").select(*keys)).distinct()
+        left = state.drop("clear", "waits").join(gone, keys, "left_anti")
+        weak = left.where("not strong and not rescued").select(*keys, "q").join(homes, keys)
+        twins = _twins(new, weak, variants, sigmas, tolerance_deg).withColumn("twin", F.lit(True))
+        left = stored(left.join(twins, keys, "left").withColumn("rescued", F.col("rescued") | F.coalesce("twin", F.lit(False))).drop("twin"), "undecided")
+        discard(undecided, state)
+        undecided = left
+    discard(undecided, places, homes, variants)
+    return kept
 
 
 def keep_robust(
@@ -85,33 +132,22 @@ def keep_robust(
     """Twin-aware choice, best quality first: near-duplicates of a kept grain go; of the rest stays what has min_total
     spots and is the first, has min_unique regions of its own, or is a coincidence boundary of a kept grain.
 
-    Each decision depends on those before it, so a frame is one group; a frame has hundreds of solutions at most.
+    What has too few spots is never kept and changes nothing. The first of the others in each frame is always kept, so it
+    counts as strong, like those with regions of their own. All others are settled in rounds over a cell index (see
+    _settled), so a frame's solutions are spread over tasks. Solutions without an orientation, and all where cubic is false, are
+    near to nothing and twins of nothing. A missing quality comes last; missing matches count as none.
     """
     table = with_claims(solutions, claims)
-    schema = table.schema
-    rotation = F.array(*G.matrix_to_quaternion(G.elements("om", 9)))
-    table = table.withColumn("quaternion", F.when(F.size("om") == 9, rotation))
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["quality", "source_row"], ascending=False, kind="stable")
-        kept, rotations = [], []
-        for at, row in enumerate(frame.itertuples(index=False)):
-            total = row.n_unique or int(round(row.n_matches))
-            own, twin = None, False
-            if cubic and row.quaternion is not None:
-                own = np.asarray(row.quaternion, dtype=float)
-                if rotations:
-                    angles, axes = cubic_disorientations(own, np.stack(rotations))
-                    if (angles < max_angle_deg).any():
-                        continue
-                    twin = _coincident(angles, axes, sigmas, tolerance_deg)
-            if total >= min_total and (twin or row.n_unique_labels >= min_unique or not kept):
-                kept.append(at)
-                if own is not None:
-                    rotations.append(own)
-        return frame.iloc[kept].drop(columns="quaternion")
-
-    return table.groupBy("image_nr").applyInPandas(choose, schema)
+    order = Window.partitionBy("image_nr").orderBy(F.desc_nulls_last("quality"), F.desc_nulls_last("source_row"))
+    total = F.when(F.col("n_unique") != 0, F.col("n_unique")).otherwise(F.coalesce(F.bround(F.col("n_matches").cast("double")), F.lit(0)))
+    rotation = F.when(F.size("om") == 9, F.array(*G.matrix_to_quaternion(G.elements("om", 9)))) if cubic else F.lit(None).cast("array<double>")
+    rows = table.withColumn("__at", F.row_number().over(order)).where(total >= min_total).withColumn("__q", rotation)
+    rows = stored(rows.withColumn("__strong", (F.col("n_unique_labels") >= min_unique) | (F.row_number().over(order) == 1)), "eligible")
+    brief = rows.select("image_nr", F.col("__at").alias("at"), F.col("__strong").alias("strong"), F.col("__q").alias("q"))
+    kept = brief.where("q is null and strong").select("image_nr", "at")
+    for more in _settled(brief.where("q is not null"), max_angle_deg, sigmas, tolerance_deg):
+        kept = kept.union(more.select("image_nr", "at"))
+    return rows.join(kept.withColumnRenamed("at", "__at"), ["image_nr", "__at"], "left_semi").select(*table.columns)
 
 
 def postprocess(solutions: DataFrame, spots: DataFrame, labels: DataFrame, *, robust: bool = True, space_group: int = 225, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

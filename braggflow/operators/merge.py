@@ -1,21 +1,28 @@
-"""Merging of coarse matches: symmetry-aware leader clustering within each frame."""
+"""Merging of coarse matches: symmetry-aware leader clustering within each frame.
+
+Rows of a frame stand in an order. An unclaimed row leads and claims all later unclaimed rows within an angle. So a row
+leads if no earlier leader is within the angle, and otherwise belongs to the earliest leader that is. That is decided for all
+frames at once, in rounds over a cell index on rotations (see operators/cells.py): a row that is earlier than all
+undecided rows in its cell and the cells around it leads, since nothing undecided could claim it, and what lies within
+its angle is then decided. Each round takes grouped minima, so a frame's rows are spread over tasks and no pairs of rows are
+made; rounds are few, since every stretch of cells has its own first row. In the end rows meet the leaders around them, of
+which a cell has few.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braggflow.functions import geometry as G
 from braggflow.functions.crystal import symmetry_quaternions
-
-#: Candidates of a frame that are merged; the best by score where there are more.
-MOST_CANDIDATES = 50_000
+from braggflow.operators import cells
+from braggflow.sources.store import discard, is_empty, stored
 
 
-def capped(scored: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """The candidates that are merged and their order: by row number, or by score where a frame has more than `most`."""
+def capped(scored: DataFrame, most: int) -> DataFrame:
+    """The candidates that are merged and their order `at`: by row number, or the best `most` by score where a frame has more."""
     frame = Window.partitionBy("image_nr")
     ranked = scored.withColumn("by_score", F.row_number().over(frame.orderBy(F.desc("score"), "row_nr")))
     ranked = ranked.withColumn("n_frame", F.count("*").over(frame)).where(F.col("by_score") <= most)
@@ -23,43 +30,54 @@ def capped(scored: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
 
 
 def leaders(q: np.ndarray, symmetry: np.ndarray, max_angle_deg: float) -> np.ndarray:
-    """The position of each row's leader: an unclaimed row leads and claims all later unclaimed rows within the angle."""
+    """The position of each row's leader, by a walk over the rows of one frame; what leading() is held against."""
     owner = np.full(len(q), -1)
-    # 2 acos(w) within the angle; rows that differ by rounding alone count as within
-    least = np.cos(np.radians(max_angle_deg) / 2) - 1e-12
+    least = np.cos(np.radians(max_angle_deg) / 2) - cells.ROUNDING
     for i in range(len(q)):
         if owner[i] >= 0:
             continue
         owner[i] = i
         rest = np.flatnonzero(owner[i + 1 :] < 0) + i + 1
         if len(rest):
-            a, b, c, d = q[i]
-            images = np.stack([a * symmetry[:, 0] - b * symmetry[:, 1] - c * symmetry[:, 2] - d * symmetry[:, 3],
-                               a * symmetry[:, 1] + b * symmetry[:, 0] + c * symmetry[:, 3] - d * symmetry[:, 2],
-                               a * symmetry[:, 2] - b * symmetry[:, 3] + c * symmetry[:, 0] + d * symmetry[:, 1],
-                               a * symmetry[:, 3] + b * symmetry[:, 2] - c * symmetry[:, 1] + d * symmetry[:, 0]])
-            owner[rest[np.abs(q[rest] @ images).max(axis=1) >= least]] = i
+            images = cells.equivalents(q[i : i + 1], symmetry)[0]
+            owner[rest[(q[rest] @ images.T).max(axis=1) >= least]] = i
     return owner
 
 
-def merge(scored: DataFrame, orientations: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0, most: int = MOST_CANDIDATES) -> DataFrame:
-    """(image_nr, grain_nr, n_solutions, row_nr, n_spots, total, score): one row a cluster, its best member by score.
+def leading(rows: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0) -> DataFrame:
+    """(image_nr, at, leader): the leader of each row, of distinct (image_nr, at) with a quaternion q. Stored."""
+    placed = stored(cells.index(rows, symmetry_quaternions(space_group), cells.chord(max_angle_deg)), "places")
+    undecided, found = placed, []
+    while not is_empty(undecided):
+        homes = undecided.where("home")
+        first = homes.join(cells.first_in_reach(undecided), ["image_nr", "cell"]).where("at = first").drop("first")
+        found.append(stored(first, "leaders"))
+        claimed = cells.meetings(found[-1], undecided, max_angle_deg).select("image_nr", "at").distinct()
+        left = stored(undecided.join(claimed, ["image_nr", "at"], "left_anti"), "places")
+        if undecided is not placed:
+            discard(undecided)
+        undecided = left
+    every = found[0] if found else placed.limit(0)
+    for more in found[1:]:
+        every = every.union(more)
+    near = cells.meetings(every, placed, max_angle_deg).where("near <= at")
+    out = stored(near.groupBy("image_nr", "at").agg(F.min("near").alias("leader")), "leaders")
+    discard(placed, undecided, *found)
+    return out
 
-    Clusters depend on the order of rows, so a frame is one group, of at most `most` rows.
-    """
-    symmetry = np.array(symmetry_quaternions(space_group))
-    rows = capped(scored, most).join(orientations.select("row_nr", "om"), "row_nr")
-    rows = rows.select("image_nr", "row_nr", "n_spots", "total", "score", "at", F.array(*G.matrix_to_quaternion(G.elements("om", 9))).alias("q"))
 
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at", kind="stable").reset_index(drop=True)
-        frame["leader"] = leaders(np.stack(frame["q"].to_numpy()), symmetry, max_angle_deg)
-        best = frame.sort_values(["leader", "score", "at"], ascending=[True, False, True], kind="stable").groupby("leader", sort=True)
-        out = best.head(1).reset_index(drop=True)
-        out["n_solutions"] = frame.groupby("leader", sort=True).size().to_numpy()
-        out["grain_nr"] = np.arange(1, len(out) + 1)
-        return out[["image_nr", "grain_nr", "n_solutions", "row_nr", "n_spots", "total", "score"]]
+def merge(scored: DataFrame, orientations: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0, most: int | None = None) -> DataFrame:
+    """(image_nr, grain_nr, n_solutions, row_nr, n_spots, total, score): one row a cluster, its best member by score.
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"image_nr {kinds['image_nr']}, grain_nr long, n_solutions long, row_nr {kinds['row_nr']}, n_spots long, total double, score double"
-    return rows.groupBy("image_nr").applyInPandas(cluster, schema)
+    Rows stand in the order of their numbers. most: candidates of a frame that are merged, the best by score where there are
+    more, in order of score then; all by default. Of members of equal score the earliest is taken; grains are numbered in
+    the order of their leaders. Candidates whose orientation is not in the list are left out.
+    """
+    rows = scored.withColumn("at", F.col("row_nr")) if most is None else capped(scored, most)
+    rows = rows.join(orientations.select("row_nr", "om"), "row_nr").select("image_nr", "row_nr", "n_spots", "total", "score", "at", F.array(*G.matrix_to_quaternion(G.elements("om", 9))).alias("q"))
+    rows = stored(rows, "candidates")
+    owned = rows.drop("q").join(leading(rows.select("image_nr", "at", "q"), space_group=space_group, max_angle_deg=max_angle_deg), ["image_nr", "at"])
+    best = F.max_by(F.struct("row_nr", "n_spots", "total", "score"), F.struct("score", -F.col("at"))).alias("best")
+    clusters = owned.groupBy("image_nr", "leader").agg(F.count("*").alias("n_solutions"), best)
+    number = F.row_number().over(Window.partitionBy("image_nr").orderBy("leader")).cast("long")
+    return clusters.select("image_nr", number.alias("grain_nr"), "n_solutions", "best.*")
