@@ -6,6 +6,9 @@ fill the fundamental region. Two rows lie within an angle if some equivalent of
 neighbours have an equivalent in its own cell or one of the 26 around it. Such an equivalent's scalar part is at most two
 chords below that of its own home, which tells the few equivalents that need a place in the index: one for most rows, and
 more where the fundamental region ends and neighbours lie across.
+
+Choices that depend on the order of rows are settled in rounds for frames of more than WALK_ROWS undecided rows, all
+such frames at once, and by a walk in one task for what is left of a frame then, or for all of a small frame.
 """
 
 from __future__ import annotations
@@ -19,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braggflow.sources.store import discard, is_empty, stored
+
 #: Bits of a cell number for each axis.
 BITS = 21
 #: What is added to a cell's number for each of its neighbours and itself.
 AROUND = [(x << 2 * BITS) + (y << BITS) + z for x, y, z in itertools.product((-1, 0, 1), repeat=3)]
+#: Undecided rows of a frame that one task may walk over; frames with more are settled in rounds until no more are left.
+WALK_ROWS = 2000
 #: Rows that differ from the limit by rounding alone count as within it.
 ROUNDING = 1e-12
 
@@ -87,6 +94,15 @@ def first_in_reach(placed: DataFrame) -> DataFrame:
     return least.select("image_nr", around().alias("cell"), "first").groupBy("image_nr", "cell").agg(F.min("first").alias("first"))
 
 
+def large_frames(undecided: DataFrame, most: int) -> DataFrame | None:
+    """(image_nr) of the frames with more than `most` rows, stored; None if there are none."""
+    large = stored(undecided.groupBy("image_nr").agg(F.count("*").alias("n")).where(F.col("n") > most).select("image_nr"), "frames")
+    if is_empty(large):
+        discard(large)
+        return None
+    return large
+
+
 def meetings(homes: DataFrame, placed: DataFrame, angle_deg: float, *, strict: bool = False) -> DataFrame:
     """(image_nr, near, at): rows `at` of placed that lie within the angle of a home row `near`; an equal pair may come twice."""
     least = math.cos(math.radians(angle_deg) / 2)

@@ -6,13 +6,14 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braggflow.functions import geometry as G
 from braggflow.functions.crystal import CSL, CSL_AXIS_TOLERANCE, rotation_quaternion, symmetry_quaternions
 from braggflow.operators import cells
-from braggflow.sources.store import discard, is_empty, stored
+from braggflow.sources.store import discard, stored
 
 #: A space group with cubic symmetry; all have the same rotations.
 CUBIC = 225
@@ -88,46 +89,89 @@ def _twins(kept: DataFrame, weak: DataFrame, variants: DataFrame, sigmas: tuple[
     return pairs.where(G.csl_related(F.col("angle"), F.col("axis"), sigmas, tolerance_deg)).select("image_nr", "at").distinct()
 
 
-def _settled(rows: DataFrame, max_angle_deg: float, sigmas: tuple[int, ...], tolerance_deg: float) -> list[DataFrame]:
+def cubic_disorientations(own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles in degrees and sorted absolute axes of the cubic disorientations of a unit quaternion from others.
+
+    For absolute parts a >= b >= c >= d of the rotation between, the representative of largest scalar part is one
+    of three. A null rotation has no axis (nan).
+    """
+    w, v = own[0], own[1:]
+    between = np.column_stack([w * others[:, 0] + others[:, 1:] @ v, w * others[:, 1:] - others[:, :1] * v - np.cross(v, others[:, 1:])])
+    a, b, c, d = np.sort(np.abs(between), axis=1)[:, ::-1].T
+    root = np.sqrt(0.5)
+    scalars = np.stack([a, (a + b) * root, (a + b + c + d) / 2])
+    vectors = np.stack([[b, c, d], [(a - b) * root, (c + d) * root, (c - d) * root], [(a - b + c - d) / 2, (a + b - c - d) / 2, (a - b - c + d) / 2]])
+    best, at = np.argmax(scalars, axis=0), np.arange(len(others))
+    axes = np.sort(np.abs(vectors[best, :, at]), axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        axes = axes / np.linalg.norm(axes, axis=1, keepdims=True)
+    return np.degrees(2 * np.arccos(np.minimum(1.0, scalars[best, at]))), axes
+
+
+def _walk(frame: pd.DataFrame, max_angle_deg: float, sigmas: tuple[int, ...], tolerance_deg: float) -> pd.DataFrame:
+    """The rows (image_nr, at) of one frame that are kept, in order, of rows (at, strong, rescued, q)."""
+    named = [CSL[s] for s in sigmas if s in CSL]
+    frame = frame.sort_values("at")
+    kept, rotations = [], np.empty((0, 4))
+    for at, strong, rescued, q in zip(frame["at"], frame["strong"], frame["rescued"], frame["q"], strict=True):
+        angles, axes = cubic_disorientations(q, rotations)
+        if (angles < max_angle_deg).any():
+            continue
+        if strong or rescued or any(((np.abs(angles - a) < tolerance_deg) & (np.linalg.norm(axes - np.array(axis), axis=1) < CSL_AXIS_TOLERANCE)).any() for a, axis in named):
+            kept.append(at)
+            rotations = np.vstack([rotations, q])
+    return pd.DataFrame({"image_nr": [frame["image_nr"].iloc[0]] * len(kept), "at": kept})
+
+
+def _settled(rows: DataFrame, max_angle_deg: float, sigmas: tuple[int, ...], tolerance_deg: float, walk_rows: int | None = None) -> list[DataFrame]:
     """Stored tables (image_nr, at) of the rows (image_nr, at, strong, q) that are kept.
 
     In each round the rows that no undecided earlier one is near to are clear. Strong clear rows are kept, and so are weak ones
     that have a boundary with a kept row. What lies near a kept row goes, and weak rows that no earlier row, kept or undecided, could
-    still rescue go too. The first undecided row of a frame is always decided.
+    still rescue go too. The first undecided row of a frame is always decided. What is left of a frame when it is small is walked over.
     """
     symmetry, keys = symmetry_quaternions(CUBIC), ["image_nr", "at"]
-    undecided = stored(rows.withColumn("rescued", F.lit(False)), "undecided")
+    most, kinds = cells.WALK_ROWS if walk_rows is None else walk_rows, dict(rows.dtypes)
+    schema = f"image_nr {kinds['image_nr']}, at {kinds['at']}"
+    walked = lambda df: df.groupBy("image_nr").applyInPandas(lambda frame: _walk(frame, max_angle_deg, sigmas, tolerance_deg), schema)
+    undecided = rows.withColumn("rescued", F.lit(False))
+    large = cells.large_frames(undecided, most)
+    if large is None:
+        return [stored(walked(undecided), "kept")]
+    kept = [stored(walked(undecided.join(large, "image_nr", "left_anti")), "kept")]
+    undecided = stored(undecided.join(large, "image_nr", "left_semi"), "undecided")
     places = stored(cells.index(undecided, symmetry, cells.chord(max_angle_deg)), "places")
     slack, boundaries = _slack(sigmas, tolerance_deg), _boundaries(sigmas)
     homes = stored(cells.index(undecided.where("not strong"), symmetry, slack).where("home").select(*keys, "cell"), "homes")
     moved = cells.index(undecided, symmetry, slack, moved=boundaries) if len(boundaries) else cells.index(undecided, symmetry, slack).limit(0)
     variants = stored(moved.select("image_nr", "cell", F.col("at").alias("before")).distinct(), "variants")
-    kept = []
-    while not is_empty(undecided):
-        alive = undecided.select(*keys)
+    while large is not None:
+        now = undecided.join(large, "image_nr", "left_semi")
+        alive = now.select(*keys)
         near = places.join(alive, keys, "left_semi")
         clear = near.where("home").join(cells.first_in_reach(near), ["image_nr", "cell"]).where("at = first").select(*keys, F.lit(True).alias("clear"))
         rescuers = variants.join(alive.withColumnRenamed("at", "before"), ["image_nr", "before"], "left_semi").withColumnRenamed("before", "at")
         waiting = homes.join(cells.first_in_reach(rescuers), ["image_nr", "cell"]).where("first < at").select(*keys, F.lit(True).alias("waits"))
-        state = undecided.join(clear, keys, "left").join(waiting, keys, "left")
+        state = now.join(clear, keys, "left").join(waiting, keys, "left")
         state = stored(state.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("clear", "waits")}), "state")
-        new = stored(state.where("clear and (strong or rescued)").select(*keys, "q"), "kept")
-        kept.append(new)
+        new = stored(state.where("clear and (strong or rescued)").select(*keys, "q"), "new")
+        kept.append(stored(new.select(*keys), "kept"))
         gone = cells.meetings(places.where("home").join(new.select(*keys), keys, "left_semi"), near, max_angle_deg, strict=True).select(*keys)
         gone = gone.union(new.select(*keys)).union(state.where("not strong and not rescued and not waits").select(*keys)).distinct()
-        left = state.drop("clear", "waits").join(gone, keys, "left_anti")
+        left = undecided.join(gone, keys, "left_anti")
         weak = left.where("not strong and not rescued").select(*keys, "q").join(homes, keys)
         twins = _twins(new, weak, variants, sigmas, tolerance_deg).withColumn("twin", F.lit(True))
         left = stored(left.join(twins, keys, "left").withColumn("rescued", F.col("rescued") | F.coalesce("twin", F.lit(False))).drop("twin"), "undecided")
-        discard(undecided, state)
-        undecided = left
+        discard(undecided, state, new, large)
+        undecided, large = left, cells.large_frames(left, most)
+    kept.append(stored(walked(undecided), "kept"))
     discard(undecided, places, homes, variants)
     return kept
 
 
 def keep_robust(
     solutions: DataFrame, claims: DataFrame, *, min_unique: int = 2, max_angle_deg: float = 5.0, min_total: int = 5,
-    sigmas: tuple[int, ...] = (3,), tolerance_deg: float = 3.0, cubic: bool = True,
+    sigmas: tuple[int, ...] = (3,), tolerance_deg: float = 3.0, cubic: bool = True, walk_rows: int | None = None,
 ) -> DataFrame:
     """Twin-aware choice, best quality first: near-duplicates of a kept grain go; of the rest stays what has min_total
     spots and is the first, has min_unique regions of its own, or is a coincidence boundary of a kept grain.
@@ -145,7 +189,7 @@ def keep_robust(
     rows = stored(rows.withColumn("__strong", (F.col("n_unique_labels") >= min_unique) | (F.row_number().over(order) == 1)), "eligible")
     brief = rows.select("image_nr", F.col("__at").alias("at"), F.col("__strong").alias("strong"), F.col("__q").alias("q"))
     kept = brief.where("q is null and strong").select("image_nr", "at")
-    for more in _settled(brief.where("q is not null"), max_angle_deg, sigmas, tolerance_deg):
+    for more in _settled(brief.where("q is not null"), max_angle_deg, sigmas, tolerance_deg, walk_rows):
         kept = kept.union(more.select("image_nr", "at"))
     return rows.join(kept.withColumnRenamed("at", "__at"), ["image_nr", "__at"], "left_semi").select(*table.columns)
 

@@ -5,20 +5,21 @@ leads if no earlier leader is within the angle, and otherwise belongs to the ear
 frames at once, in rounds over a cell index on rotations (see operators/cells.py): a row that is earlier than all
 undecided rows in its cell and the cells around it leads, since nothing undecided could claim it, and what lies within
 its angle is then decided. Each round takes grouped minima, so a frame's rows are spread over tasks and no pairs of rows are
-made; rounds are few, since every stretch of cells has its own first row. In the end rows meet the leaders around them, of
+made. What a frame has left when it is small is walked over by one task. In the end rows meet the leaders around them, of
 which a cell has few.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braggflow.functions import geometry as G
 from braggflow.functions.crystal import symmetry_quaternions
 from braggflow.operators import cells
-from braggflow.sources.store import discard, is_empty, stored
+from braggflow.sources.store import discard, stored
 
 
 def capped(scored: DataFrame, most: int) -> DataFrame:
@@ -30,7 +31,7 @@ def capped(scored: DataFrame, most: int) -> DataFrame:
 
 
 def leaders(q: np.ndarray, symmetry: np.ndarray, max_angle_deg: float) -> np.ndarray:
-    """The position of each row's leader, by a walk over the rows of one frame; what leading() is held against."""
+    """The position of each row's leader, by a walk over the rows of one frame."""
     owner = np.full(len(q), -1)
     least = np.cos(np.radians(max_angle_deg) / 2) - cells.ROUNDING
     for i in range(len(q)):
@@ -44,25 +45,41 @@ def leaders(q: np.ndarray, symmetry: np.ndarray, max_angle_deg: float) -> np.nda
     return owner
 
 
-def leading(rows: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0) -> DataFrame:
+def leading(rows: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0, walk_rows: int | None = None) -> DataFrame:
     """(image_nr, at, leader): the leader of each row, of distinct (image_nr, at) with a quaternion q. Stored."""
-    placed = stored(cells.index(rows, symmetry_quaternions(space_group), cells.chord(max_angle_deg)), "places")
+    symmetry, keys, most = symmetry_quaternions(space_group), ["image_nr", "at"], cells.WALK_ROWS if walk_rows is None else walk_rows
+    group, kinds = np.array(symmetry), dict(rows.dtypes)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at")
+        at = frame["at"].to_numpy()
+        return pd.DataFrame({"image_nr": frame["image_nr"].iloc[0], "at": at, "leader": at[leaders(np.stack(frame["q"].to_numpy()), group, max_angle_deg)]})
+
+    walked = lambda df: df.groupBy("image_nr").applyInPandas(walk, f"image_nr {kinds['image_nr']}, at {kinds['at']}, leader {kinds['at']}")
+    rows = rows.where("q is not null").select(*keys, "q")
+    large = cells.large_frames(rows, most)
+    if large is None:
+        return stored(walked(rows), "leaders")
+    small = stored(walked(rows.join(large, "image_nr", "left_anti")), "leaders")
+    rows = rows.join(large, "image_nr", "left_semi")
+    placed = stored(cells.index(rows, symmetry, cells.chord(max_angle_deg)), "places")
     undecided, found = placed, []
-    while not is_empty(undecided):
-        homes = undecided.where("home")
-        first = homes.join(cells.first_in_reach(undecided), ["image_nr", "cell"]).where("at = first").drop("first")
+    while large is not None:
+        near = undecided.join(large, "image_nr", "left_semi")
+        first = near.where("home").join(cells.first_in_reach(near), ["image_nr", "cell"]).where("at = first").drop("first")
         found.append(stored(first, "leaders"))
-        claimed = cells.meetings(found[-1], undecided, max_angle_deg).select("image_nr", "at").distinct()
-        left = stored(undecided.join(claimed, ["image_nr", "at"], "left_anti"), "places")
-        if undecided is not placed:
-            discard(undecided)
-        undecided = left
-    every = found[0] if found else placed.limit(0)
+        claimed = cells.meetings(found[-1], near, max_angle_deg).select(*keys).distinct()
+        left = stored(undecided.join(claimed, keys, "left_anti"), "places")
+        discard(undecided if undecided is not placed else None, large)
+        undecided, large = left, cells.large_frames(left.where("home"), most)
+    rest = walked(undecided.where("home").select(*keys, F.array(*"wxyz").alias("q"))).where("at = leader").select(*keys)
+    found.append(stored(placed.where("home").join(rest, keys, "left_semi").select(*found[0].columns), "leaders"))
+    every = found[0]
     for more in found[1:]:
         every = every.union(more)
     near = cells.meetings(every, placed, max_angle_deg).where("near <= at")
-    out = stored(near.groupBy("image_nr", "at").agg(F.min("near").alias("leader")), "leaders")
-    discard(placed, undecided, *found)
+    out = stored(small.unionByName(near.groupBy(*keys).agg(F.min("near").alias("leader"))), "leaders")
+    discard(placed, undecided, small, *found)
     return out
 
 

@@ -15,12 +15,12 @@ def rotations(rng, n, near):
     return q / np.linalg.norm(q, axis=1)[:, None]
 
 
-@pytest.mark.parametrize(("space_group", "angle"), [(225, 5.0), (194, 20.0), (1, 30.0), (75, 0.5)])
-def test_leaders_in_rounds_equal_a_walk(spark, space_group, angle):
+@pytest.mark.parametrize(("space_group", "angle", "walk_rows"), [(225, 5.0, 0), (194, 20.0, 20), (1, 30.0, 20), (225, 5.0, None)])
+def test_leaders_in_rounds_equal_a_walk(spark, space_group, angle, walk_rows):
     rng = np.random.default_rng(space_group)
     symmetry = np.array(symmetry_quaternions(space_group))
     rows, expect = [], {}
-    for frame, n in enumerate((1, 150, 240)):
+    for frame, n in enumerate((1, 60, 110)):
         q = rotations(rng, n, np.radians(angle) / 4)
         if n > 1:
             q[n // 2] = q[3]  # repeated orientations
@@ -29,7 +29,7 @@ def test_leaders_in_rounds_equal_a_walk(spark, space_group, angle):
         rows += [(frame, int(a), v.tolist()) for a, v in zip(at, q, strict=True)]
         expect |= {(frame, int(a)): int(at[o]) for a, o in zip(at, merge.leaders(q, symmetry, angle), strict=True)}
     df = spark.createDataFrame(rows, "image_nr int, at long, q array<double>")
-    got = merge.leading(df, space_group=space_group, max_angle_deg=angle)
+    got = merge.leading(df, space_group=space_group, max_angle_deg=angle, walk_rows=walk_rows)
     assert {(r.image_nr, r["at"]): r.leader for r in got.collect()} == expect
     assert merge.leading(df.where("false")).count() == 0
 

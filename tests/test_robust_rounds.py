@@ -57,7 +57,7 @@ def frames(seed):
     """Grains with near copies, twins of several kinds and twins of twins."""
     rng = np.random.default_rng(seed)
     rows, found = [], {}
-    for frame, n in enumerate((1, 40, 130)):
+    for frame, n in enumerate((1, 30, 70)):
         oms = [np.linalg.qr(rng.normal(size=(3, 3)))[0] for _ in range(max(1, n // 6))]
         oms = [m * np.linalg.det(m) for m in oms]
         while len(oms) < n:
@@ -72,13 +72,13 @@ def frames(seed):
     return rows, found
 
 
-@pytest.mark.parametrize(("seed", "sigmas", "cubic"), [(1, (3,), True), (2, (3, 9, 11), True), (3, (), True), (4, (3,), False)])
-def test_rounds_equal_a_walk(spark, seed, sigmas, cubic):
+@pytest.mark.parametrize(("seed", "sigmas", "cubic", "walk_rows"), [(1, (3,), True, 12), (2, (3, 9, 11), True, 25), (2, (3, 9, 11), True, None), (3, (), True, None), (4, (3,), False, None)])
+def test_rounds_equal_a_walk(spark, seed, sigmas, cubic, walk_rows):
     rows, found = frames(seed)
     solutions = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit(1) for c in ("at", "strong", "q", "cell")})
     counted = spark.createDataFrame([(*k, *v) for k, v in found.items()], "image_nr int, grain_nr int, n_unique long, n_unique_labels long")
     expect = walk(rows, found, 2, 5.0, 5, sigmas, 3.0, cubic)
-    got = claims.keep_robust(solutions, counted, sigmas=sigmas, cubic=cubic)
+    got = claims.keep_robust(solutions, counted, sigmas=sigmas, cubic=cubic, walk_rows=walk_rows)
     assert got.columns == [*solutions.columns, "n_unique", "n_unique_labels"]
     assert sorted((r.image_nr, r.grain_nr) for r in got.collect()) == sorted(expect) and len(expect) < len(rows)
     assert claims.keep_robust(solutions.where("false"), counted, sigmas=sigmas, cubic=cubic).count() == 0
