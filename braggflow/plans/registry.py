@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from braggflow.functions import geometry as G
 from braggflow.functions.crystal import HC_KEV_NM, NICKEL, symmetry_quaternions
 from braggflow.operators import claims, forward, imaging, match, merge, reflections, relations
 from braggflow.plans import derive as D
+from braggflow.sources.store import new_path
 
 N_PIXELS = D.SIZE * D.SIZE
 _NF = "(SELECT count(*) FROM supplier)"
@@ -31,11 +31,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/braggflow-{name}/{uuid.uuid4().hex}"
-
-
 def _d(x: float) -> str:
     """A double literal in any SQL."""
     text = repr(float(x))
@@ -170,11 +165,6 @@ def orientation_lookup(spark, sf_dir):
     return found.select("image_nr", "row_nr", *[F.col("om")[i].alias(f"m{i}") for i in range(9)])
 
 
-@query("merge_leaders")
-def merge_leaders(spark, sf_dir):
-    return merge.merge(_coarse(spark, sf_dir, 4), D.grid(spark, sf_dir), max_angle_deg=5.0)
-
-
 @query("frame_pixel_stats", f"WITH {_PIXELS} SELECT image_nr, count(*) FILTER (v > 0) AS n_lit, max(v) AS brightest FROM pixels GROUP BY 1")
 def frame_pixel_stats(spark, sf_dir):
     return match.pixel_stats(D.pixels(spark, sf_dir))
@@ -210,14 +200,42 @@ def misorientation_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("image_nr", "a", "b", F.round(angle, 6).alias("angle_deg"))
 
 
+# A walk in SQL: the rows of a frame are numbered, and step k of the recursion decides on row k of every frame, by the lists of the
+# earlier rows that it has to do with. A scalar part's limit stands for an angle.
+_LEAST = _d(math.cos(math.radians(2.5)) - 1e-12)
+_GRID_QUAT = "gq AS (SELECT row_nr, " + ", ".join(f"{e} / sqrt(CAST(a * a + b * b + c * c + d * d AS DOUBLE)) AS q{i}" for i, e in enumerate("abcd")) + (
+    " FROM (SELECT c_custkey AS row_nr, 1 + c_custkey % 7 AS a, c_custkey % 11 AS b, (c_custkey // 7) % 13 AS c, (c_nationkey * 3 + c_custkey) % 5 AS d FROM customer))"
+)
+_MERGE = f"""{_COARSE.replace("WITH hkls", "WITH RECURSIVE hkls", 1)}, {_GRID_QUAT},
+rows_ AS MATERIALIZED (SELECT image_nr, row_number() OVER (PARTITION BY image_nr ORDER BY row_nr) AS k, row_nr, n_spots, total, score, q0, q1, q2, q3 FROM coarse JOIN gq USING (row_nr)),
+between_ AS (SELECT p.image_nr, p.k AS i, q.k AS j, {', '.join(f'{e} AS d{n}' for n, e in enumerate(_BETWEEN))} FROM rows_ p JOIN rows_ q ON p.image_nr = q.image_nr AND p.k < q.k),
+near_ AS (SELECT image_nr, i, j FROM between_ WHERE greatest({_DOTS}) >= {_LEAST}),
+earlier AS MATERIALIZED (SELECT image_nr, k, coalesce(js, []) AS js FROM rows_ LEFT JOIN (SELECT image_nr, j AS k, list(i) AS js FROM near_ GROUP BY 1, 2) USING (image_nr, k)),
+walk AS (SELECT image_nr, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leads FROM (SELECT DISTINCT image_nr FROM rows_)
+  UNION ALL SELECT w.image_nr, e.k, CASE WHEN list_has_any(w.leads, e.js) THEN w.leads ELSE list_append(w.leads, e.k) END FROM walk w JOIN earlier e ON e.image_nr = w.image_nr AND e.k = w.k + 1),
+leads AS (SELECT image_nr, unnest(leads) AS k FROM (SELECT image_nr, leads, row_number() OVER (PARTITION BY image_nr ORDER BY k DESC) AS n FROM walk) WHERE n = 1),
+owned AS (SELECT image_nr, k, k AS leader FROM leads UNION ALL SELECT n.image_nr, n.j, min(n.i) FROM near_ n JOIN leads l ON l.image_nr = n.image_nr AND l.k = n.i
+  WHERE NOT EXISTS (SELECT 1 FROM leads m WHERE m.image_nr = n.image_nr AND m.k = n.j) GROUP BY 1, 2),
+ranked AS (SELECT image_nr, leader, row_nr, n_spots, total, score, count(*) OVER (PARTITION BY image_nr, leader) AS n_solutions,
+  row_number() OVER (PARTITION BY image_nr, leader ORDER BY score DESC, k) AS n FROM owned JOIN rows_ USING (image_nr, k))
+SELECT image_nr, row_number() OVER (PARTITION BY image_nr ORDER BY leader) AS grain_nr, n_solutions, row_nr, n_spots, round(total, 4) AS total, round(score, 4) AS score FROM ranked WHERE n = 1"""
+
+
+@query("merge_leaders", _MERGE)
+def merge_leaders(spark, sf_dir):
+    """All coarse matches of each frame, merged."""
+    found = merge.merge(_coarse(spark, sf_dir), D.grid(spark, sf_dir), max_angle_deg=5.0)
+    return found.withColumns({c: F.round(c, 4) for c in ("total", "score")})
+
+
 _ROOT = _d(1 / math.sqrt(2))
-_AXIS = f"""{_PAIRS},
-s AS (SELECT *, list_sort([abs(d0), abs(d1), abs(d2), abs(d3)]) AS z, {_ANGLE} AS angle FROM pairs),
+_AXIS_STEPS = f"""s AS (SELECT *, list_sort([abs(d0), abs(d1), abs(d2), abs(d3)]) AS z, {_ANGLE} AS angle FROM pairs),
 w AS (SELECT *, z[4] AS k1, (z[4] + z[3]) * {_ROOT} AS k2, (z[4] + z[3] + z[2] + z[1]) / 2e0 AS k3 FROM s),
 x AS (SELECT *, list_sort(CASE WHEN k1 >= k2 AND k1 >= k3 THEN [z[3], z[2], z[1]]
    WHEN k2 >= k3 THEN [abs(z[4] - z[3]) * {_ROOT}, abs(z[2] + z[1]) * {_ROOT}, abs(z[2] - z[1]) * {_ROOT}]
    ELSE [abs(z[4] - z[3] + z[2] - z[1]) / 2e0, abs(z[4] + z[3] - z[2] - z[1]) / 2e0, abs(z[4] - z[3] - z[2] + z[1]) / 2e0] END) AS v FROM w),
 y AS (SELECT *, sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS n FROM x)"""
+_AXIS = f"{_PAIRS}, {_AXIS_STEPS}"
 
 
 @query("disorientation_axes", f"{_AXIS} SELECT image_nr, a, b, round(v[1] / n, 4) AS x0, round(v[2] / n, 4) AS x1, round(v[3] / n, 4) AS x2 FROM y")
@@ -315,7 +333,25 @@ def kept_spots(spark, sf_dir):
     return claims.kept_spots(D.spots(spark, sf_dir), claims.keep_by_labels(D.solutions(spark, sf_dir), _claims(spark, sf_dir), 1))
 
 
-@query("filter_robust")
+_ORDER_QUAT = "oq AS (SELECT grain_nr, " + ", ".join(f"{e} / sqrt(CAST(a * a + b * b + c * c + d * d AS DOUBLE)) AS q{i}" for i, e in enumerate("abcd")) + (
+    " FROM (SELECT o_orderkey AS grain_nr, 1 + o_orderkey % 7 AS a, o_custkey % 11 AS b, (o_orderkey // 7) % 13 AS c, (o_custkey * 3 + o_orderkey) % 5 AS d FROM orders))"
+)
+_SIGMA3 = f"abs(angle - 6e1) < 3e0 AND n > 0 AND sqrt({' + '.join(f'(v[{i + 1}] / n - {_d(0.57735)}) * (v[{i + 1}] / n - {_d(0.57735)})' for i in range(3))}) < 8e-2"
+_ROBUST = f"""{_EVIDENCE.replace("WITH solutions", "WITH RECURSIVE solutions", 1).replace("claims AS (", "claims AS MATERIALIZED (")}, {_ORDER_QUAT},
+rows_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_nr ORDER BY quality DESC, source_row DESC) AS k, CASE WHEN n_unique <> 0 THEN n_unique ELSE n_matches END >= 2 AS enough
+  FROM solutions JOIN claims USING (image_nr, grain_nr) JOIN oq USING (grain_nr)),
+pairs AS MATERIALIZED (SELECT p.image_nr, p.k AS i, q.k AS j, {', '.join(f'{e} AS d{n}' for n, e in enumerate(_BETWEEN))} FROM rows_ p JOIN rows_ q ON p.image_nr = q.image_nr AND p.k < q.k AND p.enough AND q.enough),
+{_AXIS_STEPS},
+told AS MATERIALIZED (SELECT image_nr, j AS k, list(i) FILTER (angle < 5e0) AS near_, list(i) FILTER ({_SIGMA3}) AS twins FROM y GROUP BY 1, 2),
+listed AS MATERIALIZED (SELECT r.image_nr, r.k, enough, n_unique_labels >= 1 AS strong, coalesce(near_, []) AS near_, coalesce(twins, []) AS twins FROM rows_ r LEFT JOIN told USING (image_nr, k)),
+walk AS (SELECT image_nr, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT image_nr FROM rows_)
+  UNION ALL SELECT w.image_nr, e.k, CASE WHEN e.enough AND NOT list_has_any(w.kept, e.near_) AND (e.strong OR len(w.kept) = 0 OR list_has_any(w.kept, e.twins)) THEN list_append(w.kept, e.k) ELSE w.kept END
+  FROM walk w JOIN listed e ON e.image_nr = w.image_nr AND e.k = w.k + 1),
+kept AS (SELECT image_nr, unnest(kept) AS k FROM (SELECT image_nr, kept, row_number() OVER (PARTITION BY image_nr ORDER BY k DESC) AS n FROM walk) WHERE n = 1)
+SELECT image_nr, grain_nr, quality, source_row, n_matches, n_unique, n_unique_labels FROM rows_ JOIN kept USING (image_nr, k)"""
+
+
+@query("filter_robust", _ROBUST)
 def filter_robust(spark, sf_dir):
     return claims.keep_robust(D.solutions(spark, sf_dir), _claims(spark, sf_dir), min_unique=1, min_total=2).drop("om")
 
@@ -424,10 +460,10 @@ def progress(spark, sf_dir):
     return done.select("n_done", "n_skipped", F.round("per_second", 6).alias("per_second"), F.round("seconds_left", 4).alias("seconds_left"))
 
 
-@query("rms_error", f"WITH {_SPOTS}, {_SOLUTIONS}, e AS (SELECT image_nr, grain_nr, sqrt(CAST(sum(CASE WHEN x < 32 THEN CAST(((x + y) / 1e2) * ((x + y) / 1e2) AS DECIMAL(28,10)) END) AS DOUBLE) / count(CASE WHEN x < 32 THEN 1 END)) AS rms FROM spots GROUP BY 1, 2) SELECT image_nr, grain_nr, round(coalesce(rms, quality / 1e5), 6) AS rms FROM solutions LEFT JOIN e USING (image_nr, grain_nr)")
+@query("rms_error", f"WITH {_SPOTS}, {_SOLUTIONS}, e AS (SELECT image_nr, grain_nr, sqrt(CAST(sum(CASE WHEN x < 32 THEN CAST(((x + y) / 1e2) * ((x + y) / 1e2) AS DECIMAL(28,10)) END) AS DOUBLE) / count(CASE WHEN x < 32 THEN 1 END)) AS rms FROM spots GROUP BY 1, 2) SELECT image_nr, grain_nr, round(coalesce(rms, quality / 1e4), 6) AS rms FROM solutions LEFT JOIN e USING (image_nr, grain_nr)")
 def rms_error(spark, sf_dir):
     spots = D.spots(spark, sf_dir).withColumn("err_deg", F.when(F.col("x") < 32, (F.col("x") + F.col("y")) / 100.0))  # the others' errors are unknown
-    solutions = D.solutions(spark, sf_dir).withColumn("misorientation_deg", F.col("quality") / 1e5)
+    solutions = D.solutions(spark, sf_dir).withColumn("misorientation_deg", F.col("quality") / 1e4)
     return relations.rms_error(spots, solutions).withColumn("rms", F.round("rms", 6))
 
 
@@ -616,7 +652,7 @@ def requery_results(spark, sf_dir):
     from braggflow.plans import requery
     from braggflow.sources import writers
 
-    where = _scratch(spark, "requery")
+    where = new_path(spark, "requery")
     best = D.solutions(spark, sf_dir).orderBy("grain_nr")
     writers.solution_lines(best, "stream").select("value").write.text(f"{where}/solutions")
     writers.spot_lines(D.spots(spark, sf_dir).withColumnRenamed("spot_row", "spot_nr"), "stream").select("value").write.text(f"{where}/spots")
@@ -649,7 +685,7 @@ def stream_frames(spark, sf_dir):
     """The coarse matches of a drained stream of landed frames; the same rows as the batch."""
     from braggflow.streaming import frames
 
-    shared = _scratch(spark, "stream")
+    shared = new_path(spark, "stream")
     D.pixels(spark, sf_dir).repartition("image_nr").sortWithinPartitions("image_nr").write.parquet(f"{shared}/landing")
     _grid_forward(spark, sf_dir).write.parquet(f"{shared}/forward")  # simulated once, read by every batch
     stream = frames.match_stream(frames.landing(spark, f"{shared}/landing"), spark.read.parquet(f"{shared}/forward"), f"{shared}/out", f"{shared}/state", min_spots=2, available_now=True)
