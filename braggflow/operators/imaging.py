@@ -1,7 +1,7 @@
 """Images as sparse pixels: thresholds, regions, and the kernels that need a whole frame.
 
-Thresholds and statistics are aggregates over (image_nr, pix, v). Filters, labels and watershed look at
-neighbours and take one frame at a time, as one Arrow group of bounded size (a detector's pixels).
+Thresholds and statistics are aggregates over (image_nr, pix, v). Labels and watershed follow neighbours over a frame and take
+one at a time, as one Arrow group of bounded size (a detector's pixels); filters are in operators/kernels.py.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braggflow.operators import kernels
+
 
 def noise_floor(pixels: DataFrame, k: float = 4.0) -> DataFrame:
     """(image_nr, threshold): median + k * 1.4826 * median absolute deviation of the positive pixels, 1 at least."""
@@ -180,15 +182,6 @@ def median_filter(image: np.ndarray, size: int, passes: int = 1) -> np.ndarray:
     return image
 
 
-def enhance(image: np.ndarray, *, normalise: bool = False, unsharp: bool = False) -> np.ndarray:
-    """Stretch to 0..1 and sharpen, as asked; never below zero."""
-    if normalise and image.max() > image.min():
-        image = (image - image.min()) / (image.max() - image.min())
-    if unsharp:
-        image = np.maximum(image + 0.5 * (image - gaussian(image, 1.0)), 0)
-    return image
-
-
 def watershed(height_map: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Flood from the markers in order of height over the mask, eight neighbours; each pixel joins who reaches it first."""
     out = np.where(mask, markers, 0)
@@ -207,20 +200,8 @@ def watershed(height_map: np.ndarray, markers: np.ndarray, mask: np.ndarray) ->
     return out
 
 
-def per_frame(pixels: DataFrame, width: int, height: int, kernel, schema: str = "v double") -> DataFrame:
-    """Apply a function of a dense frame to every frame; its positive results come back as sparse pixels."""
-    kind = dict(pixels.dtypes)
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        flat = np.asarray(kernel(dense(frame, width, height))).reshape(-1)
-        pix = np.flatnonzero(flat > 0)
-        return pd.DataFrame({"image_nr": frame["image_nr"].iloc[0], "pix": pix, "v": flat[pix]})
-
-    return pixels.groupBy("image_nr").applyInPandas(work, f"image_nr {kind['image_nr']}, pix {kind['pix']}, {schema}")
-
-
 def background_median(pixels: DataFrame, width: int, height: int, size: int = 101, passes: int = 1) -> DataFrame:
-    return per_frame(pixels, width, height, lambda image: median_filter(image, size, passes))
+    return kernels.median(pixels, width, height, size, passes)
 
 
 def subtract(pixels: DataFrame, background: DataFrame) -> DataFrame:
@@ -230,7 +211,7 @@ def subtract(pixels: DataFrame, background: DataFrame) -> DataFrame:
 
 
 def blur(pixels: DataFrame, width: int, height: int, sigma: float) -> DataFrame:
-    return per_frame(pixels, width, height, lambda image: gaussian(image, sigma))
+    return kernels.blur(pixels, width, height, sigma)
 
 
 def split_touching(pixels: DataFrame, labels: DataFrame, width: int, height: int, sigma: float = 1.0) -> DataFrame:
@@ -249,9 +230,10 @@ def split_touching(pixels: DataFrame, labels: DataFrame, width: int, height: int
     return both.groupBy("image_nr").applyInPandas(work, f"image_nr {kind['image_nr']}, pix {kind['pix']}, label int")
 
 
-def preprocess(pixels: DataFrame, width: int, height: int, *, background: DataFrame | None = None, thresholds: DataFrame | None = None, min_area: int = 5, sigma: float | None = None, distance_px: float = 2500.0, orientation_spacing_deg: float = 0.4) -> dict[str, DataFrame]:
-    """Background, threshold, regions and smoothing of all frames: pixels, labels, centres and blurred."""
+def preprocess(pixels: DataFrame, width: int, height: int, *, background: DataFrame | None = None, thresholds: DataFrame | None = None, min_area: int = 5, sigma: float | None = None, distance_px: float = 2500.0, orientation_spacing_deg: float = 0.4, **enhancement) -> dict[str, DataFrame]:
+    """Background, enhancement (see kernels.enhance), threshold, regions and smoothing of all frames: pixels, labels, centres and blurred."""
     clean = pixels if background is None else subtract(pixels, background)
+    clean = kernels.enhance(clean, width, height, **enhancement)
     lit = above(clean, noise_floor(clean) if thresholds is None else thresholds)
     labels = components(lit, width)
     found = centres(labels, lit, width, min_area=min_area)

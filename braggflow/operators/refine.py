@@ -13,7 +13,7 @@ from braggflow.functions.crystal import HC_KEV_NM, Detector, Lattice
 from braggflow.operators import forward
 
 
-#: Parts that a frame's candidates are dealt over; each part has the frame's lit pixels.
+#: Parts that a frame's candidates are dealt over at most; each part has the frame's lit pixels.
 PARTS = 64
 
 
@@ -47,8 +47,11 @@ def reachable(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, detector: Dete
     return (scale <= detector.e_hi * np.minimum(1.0, down + slack)) & (scale >= detector.e_lo * np.maximum(0.0, down - slack))
 
 
-def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, direction: np.ndarray, image: np.ndarray, detector: Detector) -> float:
-    """Lit spots times the root of their summed intensity; of each direction the first column inside the energy window and detector counts."""
+def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, direction: np.ndarray, image: np.ndarray, detector: Detector, max_spots: int | None = None) -> float:
+    """Lit spots times the root of their summed intensity.
+
+    Of each direction the first column inside the energy window and detector counts, and of these the first max_spots, lit or not.
+    """
     q = om @ recip @ hkl
     down = q[2] < 0
     q, direction = q[:, down], direction[down]
@@ -62,7 +65,7 @@ def overlap(om: np.ndarray, recip: np.ndarray, hkl: np.ndarray, direction: np.nd
         px = (x * p[2] / z - p[0]) / detector.px_x + 0.5 * (detector.nr_px_x - 1)
         py = (y * p[2] / z - p[1]) / detector.px_y + 0.5 * (detector.nr_px_y - 1)
         ok = (z > 0) & (energy >= detector.e_lo) & (energy <= detector.e_hi) & (px >= 0) & (px <= detector.nr_px_x - 1) & (py >= 0) & (py <= detector.nr_px_y - 1)
-    first = np.unique(direction[ok], return_index=True)[1]
+    first = np.sort(np.unique(direction[ok], return_index=True)[1])[:max_spots]
     lit = image[py[ok][first].astype(int), px[ok][first].astype(int)]
     lit = lit[lit > 0]
     return len(lit) * float(np.sqrt(lit.sum()))
@@ -102,7 +105,7 @@ def simplex(objective, start: np.ndarray, width: np.ndarray, *, evaluations: int
     return np.clip(points[best], start - width, start + width), values[best]
 
 
-def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, detector: Detector, *, angle_deg: float = 3.0, lattice_tolerance: tuple[float, ...] = (0,) * 6, c_over_a: float = 0.0) -> tuple[np.ndarray, Lattice, float]:
+def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, detector: Detector, *, angle_deg: float = 3.0, lattice_tolerance: tuple[float, ...] = (0,) * 6, c_over_a: float = 0.0, max_spots: int | None = None) -> tuple[np.ndarray, Lattice, float]:
     """(orientation, lattice, objective). lattice_tolerance: relative width for a, b, c and the angles, 0 keeps a value.
 
     c_over_a frees the ratio c/a at constant volume instead, and then the lattice lengths are not free.
@@ -124,7 +127,7 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
     if fixed is not None:
         hkl = hkl[:, reachable(om, fixed, hkl, detector, float(width[:3].sum()))]
     direction = directions(hkl)
-    value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, direction, image, detector)
+    value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, direction, image, detector, max_spots)
     found, best = simplex(value, start, width)
     return matrix_of(found[:3]), (built(found) if len(start) > 3 else lattice), best
 
@@ -132,7 +135,7 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
 def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: Lattice, detector: Detector, *, min_spots: int = 5, max_spots: int = 90, **options) -> tuple[DataFrame, DataFrame]:
     """(solutions, spots) of candidates (image_nr, grain_nr, n_solutions, row_nr, score, om) on their frames.
 
-    Candidates of a frame are dealt over PARTS groups, each of which meets the frame in a cogroup. A candidate is fitted on
+    Candidates of a frame are dealt over PARTS groups, each of which meets the packed frame in a cogroup. A candidate is fitted on
     the reflections that it may light within the search (on all where the lattice is free), and every objective takes the
     first of a direction that it lights; then its spots come from the whole list by the relational plan. Solutions with
     fewer than min_spots lit spots go.
@@ -146,18 +149,21 @@ def refine(candidates: DataFrame, pixels: DataFrame, hkls: DataFrame, lattice: L
         if left.empty:
             return pd.DataFrame(columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
         image = np.zeros((detector.nr_px_y, detector.nr_px_x), "f4")
-        image.reshape(-1)[right["pix"].to_numpy()] = right["v"].to_numpy()
+        if len(right):
+            image.reshape(-1)[right["pix"].iloc[0]] = right["v"].iloc[0]
         rows = []
         for c in left.itertuples(index=False):
             start = np.asarray(c.om, dtype=float).reshape(3, 3)
-            om, cell, best = fit(start, lattice, shared.value, image, detector, **options)
+            om, cell, best = fit(start, lattice, shared.value, image, detector, max_spots=max_spots, **options)
             turn = float(np.degrees(np.arccos(np.clip((np.trace(start.T @ om) - 1) / 2, -1, 1))))
             rows.append((c.image_nr, c.grain_nr, c.n_solutions, c.row_nr, c.score, om.reshape(-1).tolist(), [cell.a, cell.b, cell.c, cell.alpha, cell.beta, cell.gamma], best, turn))
         return pd.DataFrame(rows, columns=[f.strip().split(" ")[0] for f in schema.split(", ")])
 
     dealt = candidates.withColumn("part", F.expr(f"cast(pmod(grain_nr, {PARTS}) as int)"))
-    frames = pixels.where("v > 0").select("image_nr", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "pix", "v")
-    fitted = dealt.groupBy("image_nr", "part").cogroup(frames.groupBy("image_nr", "part")).applyInPandas(work, schema)
+    packed = pixels.where("v > 0").groupBy(F.col("image_nr").alias("frame")).agg(F.collect_list("pix").alias("pix"), F.collect_list("v").alias("v"))
+    parts = dealt.select(F.col("image_nr").alias("frame"), F.col("part").alias("of")).distinct()
+    frames = parts.join(packed, "frame")  # a frame goes, as one row, to the parts that there are
+    fitted = dealt.groupBy("image_nr", "part").cogroup(frames.groupBy("frame", "of")).applyInPandas(work, schema)
     keys = ["image_nr", "grain_nr"]
     predicted = forward.exact_spots(fitted.select(*keys, "om"), hkls, lattice, detector, keys=keys, max_spots=max_spots)
     lit = predicted.join(pixels.where("v > 0"), ["image_nr", "pix"], "left").withColumnRenamed("v", "intensity")

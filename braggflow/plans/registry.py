@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from braggflow.functions import geometry as G
 from braggflow.functions.crystal import HC_KEV_NM, NICKEL, symmetry_quaternions
-from braggflow.operators import claims, forward, imaging, match, merge, reflections, relations
+from braggflow.operators import claims, forward, imaging, kernels, match, merge, reflections, relations
 from braggflow.plans import derive as D
 from braggflow.sources.store import new_path
 
@@ -570,9 +570,47 @@ def background_median(spark, sf_dir):
     return imaging.background_median(D.lit_background(spark, sf_dir), D.SIZE, D.SIZE, size=5)
 
 
-@query("gaussian_blur")
+@query("background_median_wide")
+def background_median_wide(spark, sf_dir):
+    """The production size; too many window rows for SQL, so tests hold it against the direct filter."""
+    return imaging.background_median(D.lit_background(spark, sf_dir), D.SIZE, D.SIZE, size=101)
+
+
+_STENCIL = "stencil AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i - len(kernels.weights(1.5)) // 2} AS BIGINT), {_d(w)})" for i, w in enumerate(kernels.weights(1.5))) + ") t(d, w))"
+
+
+@query("gaussian_blur", f"""WITH {_PIXELS}, {_STENCIL}, start AS (SELECT image_nr, pix % {D.SIZE} AS x, pix // {D.SIZE} AS y, v FROM pixels),
+  places AS (SELECT CAST(i AS BIGINT) AS i, d, w, {_BACK("CAST(i AS BIGINT) + d")} AS near_ FROM range({D.SIZE}) t(i), stencil),
+  along AS (SELECT image_nr, y, i AS x, sum(v * w) AS v FROM start JOIN places ON near_ = x GROUP BY 1, 2, 3),
+  both_ AS (SELECT image_nr, i AS y, a.x, sum(v * w) AS v FROM along a JOIN places ON near_ = a.y GROUP BY 1, 2, 3)
+  SELECT image_nr, y * {D.SIZE} + x AS pix, round(v, 4) AS v FROM both_""")
 def gaussian_blur(spark, sf_dir):
-    return imaging.blur(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, 1.5)
+    return imaging.blur(D.pixels(spark, sf_dir), D.SIZE, D.SIZE, 1.5).withColumn("v", F.round("v", 4))
+
+
+@query("contrast_pixels", f"""WITH {_PIXELS}, span AS (SELECT image_nr, CASE WHEN count(*) < {N_PIXELS} THEN least(min(v), 0e0) ELSE min(v) END AS low, max(v) AS high FROM pixels GROUP BY 1),
+  r AS (SELECT image_nr, pix, v, low, high, pix // {D.SIZE} AS y, pix % {D.SIZE} AS x, CAST(least(floor((v - low) / (high - low) * 256), 255) AS BIGINT) AS bin FROM pixels JOIN span USING (image_nr) WHERE low < high),
+  c AS (SELECT image_nr, y * 8 // {D.SIZE} AS ty, x * 8 // {D.SIZE} AS tx, bin, count(*) AS c FROM r GROUP BY 1, 2, 3, 4),
+  n AS (SELECT image_nr, ty, tx, sum(c) AS n FROM c GROUP BY 1, 2, 3),
+  g AS (SELECT image_nr, CAST(a AS BIGINT) AS ty, CAST(b AS BIGINT) AS tx, CAST(s AS BIGINT) AS bin, CAST(least(floor((0e0 - low) / (high - low) * 256), 255) AS BIGINT) AS zero FROM span, range(8) t(a), range(8) u(b), range(256) w(s) WHERE low < high),
+  f AS (SELECT image_nr, ty, tx, bin, CAST(coalesce(c.c, 0) + CASE WHEN bin = zero THEN {N_PIXELS // 64} - coalesce(n.n, 0) ELSE 0 END AS DOUBLE) AS c FROM g LEFT JOIN c USING (image_nr, ty, tx, bin) LEFT JOIN n USING (image_nr, ty, tx)),
+  cut AS (SELECT *, least(c, greatest(1e0, 3e-2 * {N_PIXELS // 64})) AS cut FROM f),
+  even AS (SELECT *, cut + sum(c - cut) OVER (PARTITION BY image_nr, ty, tx) / 256 AS e FROM cut),
+  shares AS (SELECT image_nr, ty, tx, bin, sum(e) OVER (PARTITION BY image_nr, ty, tx ORDER BY bin ROWS UNBOUNDED PRECEDING) / {N_PIXELS // 64} AS share FROM even),
+  at_ AS (SELECT *, (y + 5e-1) * 8 / {D.SIZE} - 5e-1 AS fy, (x + 5e-1) * 8 / {D.SIZE} - 5e-1 AS fx FROM r),
+  w AS (SELECT image_nr, pix, low, high, bin, CAST(greatest(0, least(7, floor(fy) + a)) AS BIGINT) AS ty, CAST(greatest(0, least(7, floor(fx) + b)) AS BIGINT) AS tx,
+    CASE WHEN a = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN b = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS w FROM at_, range(2) t(a), range(2) u(b))
+  SELECT image_nr, pix, round(low + sum(w * share) * (high - low) + 1e-6, 4) AS v FROM w JOIN shares USING (image_nr, ty, tx, bin) GROUP BY image_nr, pix, low, high
+  UNION ALL SELECT image_nr, pix, round(v + 1e-6, 4) FROM pixels JOIN span USING (image_nr) WHERE low = high""")
+def contrast_pixels(spark, sf_dir):
+    # shares are multiples of small binary fractions, so many values end in a 5 just after the last digit: they are moved off it
+    return kernels.equalise(D.pixels(spark, sf_dir), D.SIZE, D.SIZE).withColumn("v", F.round(F.col("v") + 1e-6, 4))
+
+
+@query("enhanced_frames")
+def enhanced_frames(spark, sf_dir):
+    """Frames on a full background, denoised and sharpened."""
+    return kernels.enhance(D.lit_background(spark, sf_dir), D.SIZE, D.SIZE, denoised=True, strength=0.1, edges=True)
 
 
 @query("watershed_labels")
