@@ -210,6 +210,12 @@ def subtract(pixels: DataFrame, background: DataFrame) -> DataFrame:
     return both.select("image_nr", "pix", (F.col("v") - F.coalesce("b", F.lit(0.0))).alias("v")).where("v > 0")
 
 
+def subtract_shared(pixels: DataFrame, background: DataFrame) -> DataFrame:
+    """Pixels of every frame less one background (pix, v) for all, never below zero."""
+    both = pixels.join(background.select("pix", F.col("v").alias("b")), "pix", "left")
+    return both.select("image_nr", "pix", (F.col("v") - F.coalesce("b", F.lit(0.0))).alias("v")).where("v > 0")
+
+
 def blur(pixels: DataFrame, width: int, height: int, sigma: float) -> DataFrame:
     return kernels.blur(pixels, width, height, sigma)
 

@@ -52,6 +52,12 @@ def hkls(spark: SparkSession) -> DataFrame:
     return reflections.generate(spark, H_MAX, "F")
 
 
+def within_limits(spark: SparkSession, sf_dir: str, hkls: DataFrame) -> DataFrame:
+    """The reflections of each crystal, a row of `part`, up to its own limit of h^2 + k^2 + l^2; numbers in the list stay."""
+    crystals = table(spark, sf_dir, "part").selectExpr("p_partkey as crystal", "p_size")
+    return crystals.join(F.broadcast(hkls), F.col("n2") <= F.col("p_size")).drop("p_size")  # a list has some thousand rows
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(f"l_suppkey % {frames(spark, sf_dir)} as image_nr", f"(l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7) % {SIZE * SIZE} as pix", "l_extendedprice as v")
     return rows.groupBy("image_nr", "pix").agg(F.max("v").alias("v"))

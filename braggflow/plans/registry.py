@@ -69,8 +69,8 @@ _RULES = {
     "hex": ("P", {"space_group": 194, "hexagonal_axes": True}, f"NOT ({_MOD('h + 2 * k', 3)}) OR {_MOD('l', 2)}"),
 }
 for _name, (_centring, _options, _rule) in _RULES.items():
-    query(f"hkl_generate_{_name}", _hkl_sql(6, _rule))(
-        lambda spark, sf_dir, centring=_centring, options=_options: reflections.generate(spark, 6, centring, **options)
+    query(f"hkl_generate_{_name}", f"SELECT p_partkey AS crystal, hkl_id, h, k, l, n2 FROM part JOIN ({_hkl_sql(6, _rule)}) ON n2 <= p_size")(
+        lambda spark, sf_dir, centring=_centring, options=_options: D.within_limits(spark, sf_dir, reflections.generate(spark, 6, centring, **options))
     )
 
 _PIXELS = (
@@ -646,16 +646,16 @@ def refine_candidates(spark, sf_dir):
     return found.select("image_nr", "grain_nr", "row_nr", "n_matches", "n_spots_calc", F.round("quality", 4).alias("quality"))
 
 
-@query("hkl_primitive", f"SELECT hkl_id, h, k, l, n2, CAST(h / g AS INTEGER) AS ph, CAST(k / g AS INTEGER) AS pk, CAST(l / g AS INTEGER) AS pl FROM (SELECT *, gcd(gcd(abs(h), abs(k)), abs(l)) AS g FROM ({_hkl_sql(D.H_MAX, _RULES['f'][2])}))")
+@query("hkl_primitive", f"SELECT p_partkey AS crystal, hkl_id, h, k, l, n2, CAST(h / g AS INTEGER) AS ph, CAST(k / g AS INTEGER) AS pk, CAST(l / g AS INTEGER) AS pl FROM (SELECT *, gcd(gcd(abs(h), abs(k)), abs(l)) AS g FROM ({_hkl_sql(D.H_MAX, _RULES['f'][2])})) JOIN part ON n2 <= p_size")
 def hkl_primitive(spark, sf_dir):
-    return reflections.primitive(D.hkls(spark))
+    return D.within_limits(spark, sf_dir, reflections.primitive(D.hkls(spark)))
 
 
 @query("orientation_grid")
 def orientation_grid(spark, sf_dir):
     from braggflow.operators import orientations
 
-    return orientations.uniform(spark, 5000)
+    return orientations.uniform(spark, 10 * D.table(spark, sf_dir, "customer").count())
 
 
 @query("frame_mapping_json", "SELECT event_id AS image_nr, concat('frame_', event_type, '.h5') AS file, CAST(user_id % 10 AS INTEGER) AS frame, value < 20 AS skipped, CAST(trunc(value) AS INTEGER) AS n_spots FROM events")
@@ -711,11 +711,11 @@ def index_pattern_lines(spark, sf_dir):
     return writers.index_patterns(solutions, spots)
 
 
-@query("legacy_names", "SELECT i + 1 AS image_nr, 'scan_' || lpad(CAST(7 + i AS VARCHAR), 3, '0') || '.h5' AS file FROM range(120) t(i)")
+@query("legacy_names", "SELECT i + 1 AS image_nr, 'scan_' || lpad(CAST(7 + i AS VARCHAR), greatest(3, length(CAST(7 + i AS VARCHAR))), '0') || '.h5' AS file FROM range((SELECT count(*) FROM supplier)) t(i)")
 def legacy_names(spark, sf_dir):
     from braggflow.sources import readers
 
-    return readers.legacy_names(spark, "scan_007.h5", 120)
+    return readers.legacy_names(spark, "scan_007.h5", D.frames(spark, sf_dir))
 
 
 @query("stream_frames", f"{_COARSE} SELECT image_nr, row_nr, n_spots, round(total, 4) AS total, round(score, 4) AS score FROM coarse")

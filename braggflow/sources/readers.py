@@ -17,17 +17,20 @@ SPOT_SCALARS = {"grain_nr": (0, "long"), "spot_nr": (1, "int"), "h": (2, "int"),
 WIDTHS = {"batch": {"solutions": 34, "spots": 11}, "stream": {"solutions": 35, "spots": 12}}
 
 
-def text_rows(spark: SparkSession, path: str) -> DataFrame:
+def text_rows(spark: SparkSession, path: str, *, data_only: bool = False) -> DataFrame:
     """(source_row, fields) of a text table: header and empty lines left out, fields parted by any white space.
 
-    source_row counts lines from 0 in the order of file names, file blocks and lines, headers and empty lines included. Only
-    the number of lines of each block is gathered to count on from; rows are numbered within their block.
+    source_row counts lines from 0 in the order of file names, file blocks and lines, headers and empty lines included, or data
+    rows only. Only the number of lines of each block is gathered to count on from; rows are numbered within their block.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    data = ~F.trim("value").startswith("%") & (F.trim("value") != "")
+    if data_only:
+        lines = lines.where(data).withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
     lines = lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
-    lines = lines.where(~F.trim("value").startswith("%") & (F.trim("value") != ""))
+    lines = lines.where(data)
     row = F.col("before") + F.col("at") - F.col("first")
     return lines.select(row.alias("source_row"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("fields"))
 
@@ -62,8 +65,8 @@ def hkl_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def orientation_text(spark: SparkSession, path: str) -> DataFrame:
-    """(row_nr, om) of nine-column rows, or of a solutions table."""
-    rows = text_rows(spark, path)
+    """(row_nr, om) of nine-column rows, or of a solutions table; rows are numbered from 0, headers and empty lines not counted."""
+    rows = text_rows(spark, path, data_only=True)
     om = F.when(F.size("fields") >= WIDTHS["batch"]["solutions"], F.slice("fields", SOLUTION_ARRAYS["om"][0] + 1, 9)).otherwise(F.slice("fields", 1, 9))
     return rows.select(F.col("source_row").alias("row_nr"), F.transform(om, lambda v: v.cast("double")).alias("om"))
 
@@ -111,6 +114,22 @@ def frame_images(spark: SparkSession, path: str, width: int, height: int, kind:
     return raw.mapInArrow(work, "file string, status string, pix long, v double")
 
 
+def background_image(spark: SparkSession, path: str, width: int, height: int, kind: str = "<f8") -> DataFrame:
+    """(pix, v) of a raw background for all frames; no rows, which is a background of zeros, where there is no file of the right size."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path) if path else None
+    if name is None or not name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(name):
+        return spark.range(0).select(F.col("id").alias("pix"), F.lit(0.0).alias("v"))
+    return frame_images(spark, path, width, height, kind).where("status = 'ok'").select("pix", "v")
+
+
+def chosen_frames(frames: DataFrame, *, limit: int | None = None, image_nr: int | None = None) -> DataFrame:
+    """Of frames with image_nr, those of the first `limit` files by name, or one frame; a limit of 0 or none takes all."""
+    if limit:
+        first = frames.select("file").distinct().orderBy("file").limit(limit)
+        frames = frames.join(F.broadcast(first) if limit <= 10_000 else first, "file", "left_semi")
+    return frames if image_nr is None else frames.where(F.col("image_nr") == image_nr)
+
+
 def numbered(frames: DataFrame) -> DataFrame:
     """Frames (file, frame, ...) with image_nr by file name and frame, from 1."""
     order = frames.select("file", "frame").distinct().withColumn("image_nr", F.row_number().over(Window.orderBy("file", "frame")))  # a row for each frame
