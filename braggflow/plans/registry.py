@@ -711,7 +711,7 @@ def index_pattern_lines(spark, sf_dir):
     return writers.index_patterns(solutions, spots)
 
 
-@query("legacy_names", "SELECT i + 1 AS image_nr, 'scan_' || lpad(CAST(7 + i AS VARCHAR), greatest(3, length(CAST(7 + i AS VARCHAR))), '0') || '.h5' AS file FROM range((SELECT count(*) FROM supplier)) t(i)")
+@query("legacy_names", "SELECT i + 1 AS image_nr, 'scan_' || lpad(CAST(7 + i AS VARCHAR), CAST(greatest(3, length(CAST(7 + i AS VARCHAR))) AS INTEGER), '0') || '.h5' AS file FROM range((SELECT count(*) FROM supplier)) t(i)")
 def legacy_names(spark, sf_dir):
     from braggflow.sources import readers
 
