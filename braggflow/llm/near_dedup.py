@@ -207,10 +207,9 @@ def difference_postings(sets: DataFrame, frames: DataFrame) -> DataFrame:
                     yield _rows([pa.array(np.concatenate(c)) for c in columns], names)
 
     centres = stored(sets.join(frames.select(F.col("centre").alias("cid")).distinct(), "cid", "left_semi"), "centres")
-    mid = small_side(centres.select(F.col("cid").alias("centre"), F.col("members").alias("mid")), weight=F.floor(F.octet_length("mid") / 100))  # up to 40 MB
     own = sets.select(F.col("cid").alias("id"), F.col("members").alias("own"))
     schema = "bucket long, id long, far boolean, d long, n long, reach long"
-    posted = stored(frames.join(own, "id").join(mid, "centre").select("centre", "id", "mid", "own").mapInArrow(work, schema), "differences")
+    posted = stored(small_side(frames).join(own, "id").join(_sent(centres), "centre").select("centre", "id", "mid", "own").mapInArrow(work, schema), "differences")
     # a far set needs a partner whose reach is d - most_apart(n, partner's n) at least
     most = posted.groupBy("bucket").agg(F.max("reach").alias("most_reach"), F.max("n").alias("most_n"), F.count_if("far").alias("k"), F.count("*").alias("m")).where("k > 0 and m > 1")
     apart = F.floor((100 - PERCENT) * (F.col("n") + F.least(F.floor(100 * F.col("n") / PERCENT), "most_n")) / (100 + PERCENT))
@@ -241,36 +240,54 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, *, id_col: s
     wanted = stored(classes.join(wanted, "cid").select("cid", "rep", "d1", "d2"), "wanted")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows give a set once for each task
         for batch in batches:
             for part in in_slices(batch, "text", 2 << 20):
                 found = [shingled(t).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-                d = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), "<i8").reshape(-1, 2)
-                yield _rows([part.column("id"), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(found, pa.binary())], ["id", "e1", "e2", "members"])
+                digests = [xxhash.xxh3_128_digest(f) for f in found]
+                keys = list(zip(part.column("id").to_pylist(), digests, strict=True))
+                new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+                d = np.frombuffer(b"".join(digests[i] for i in new), "<i8").reshape(-1, 2)
+                yield _rows([part.column("id").take(pa.array(new, pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([found[i] for i in new], pa.binary())], ["id", "e1", "e2", "members"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.join(small_side(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     whole = texts.mapInArrow(work, "id long, e1 long, e2 long, members binary")
-    whole = whole.join(wanted, (F.col("id") == F.col("rep")) & (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2"))).select("cid", "members")
-    out = stored(whole.dropDuplicates(["cid"]), "sets")
+    whole = whole.join(small_side(wanted), (F.col("id") == F.col("rep")) & (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2"))).select("cid", "members")
+    out = stored(whole, "sets")
     discard(wanted)
     return out
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have PERCENT of their union in common, stored."""
+    """Those of the pairs (a, b) whose full sets have PERCENT of their union in common, stored.
+
+    The end of a pair that has more pairs is its centre: few sets are centres, so these go to the others where they are small
+    enough, and no other set moves.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
+            for x, y in zip(batch.column("own").to_pylist(), batch.column("mid").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("set_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("set_b"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long"), "confirmed")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n"))
+    told = pairs.join(degree.select(F.col("cid").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("cid").alias("b"), F.col("n").alias("n_b")), "b")
+    centre = F.when(F.col("n_a") > F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    told = stored(told.select("a", "b", centre.alias("centre"), (F.col("a") + F.col("b") - centre).alias("cid")), "pairs")
+    mid = stored(sets.join(small_side(told.select(F.col("centre").alias("cid")).distinct()), "cid", "left_semi"), "centres")
+    out = stored(sets.withColumnRenamed("members", "own").join(small_side(told), "cid").join(_sent(mid), "centre").select("a", "b", "own", "mid").mapInArrow(work, "a long, b long"), "confirmed")
+    discard(told, mid)
+    return out
+
+
+def _sent(centres: DataFrame) -> DataFrame:
+    """(centre, mid) of stored sets (cid, members), broadcast up to 40 MB."""
+    return small_side(centres.select(F.col("cid").alias("centre"), F.col("members").alias("mid")), weight=F.floor(F.octet_length("mid") / 100))
 
 
 def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
