@@ -7,7 +7,7 @@ neighbours have an equivalent in its own cell or one of the 26 around it. Such a
 chords below that of its own home, which tells the few equivalents that need a place in the index: one for most rows, and
 more where the fundamental region ends and neighbours lie across.
 
-Choices that depend on the order of rows are settled in rounds for frames of more than WALK_ROWS undecided rows, all
+Choices that depend on the order of rows are settled in rounds for frames of more than a bound of undecided rows, all
 such frames at once, and by a walk in one task for what is left of a frame then, or for all of a small frame.
 """
 
@@ -28,8 +28,6 @@ from braggflow.sources.store import discard, is_empty, stored
 BITS = 21
 #: What is added to a cell's number for each of its neighbours and itself.
 AROUND = [(x << 2 * BITS) + (y << BITS) + z for x, y, z in itertools.product((-1, 0, 1), repeat=3)]
-#: Undecided rows of a frame that one task may walk over; frames with more are settled in rounds until no more are left.
-WALK_ROWS = 2000
 #: Rows that differ from the limit by rounding alone count as within it.
 ROUNDING = 1e-12
 
@@ -53,6 +51,15 @@ def numbered(vector: np.ndarray, width: float) -> np.ndarray:
     return (x << 2 * BITS) + (y << BITS) + z
 
 
+def places(q: np.ndarray, symmetry: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, equivalent, whether it is the row's home) of the equivalents that are indexed for cells of a width."""
+    images = equivalents(q, symmetry)
+    best = images[:, :, 0].argmax(axis=1)
+    top = images[np.arange(len(images)), best, 0]
+    row, which = np.nonzero(images[:, :, 0] >= top[:, None] - 2 * width)
+    return row, images[row, which], which == best[row]
+
+
 def index(rows: DataFrame, symmetry: Sequence[Sequence[float]], width: float, *, moved: Sequence[Sequence[float]] = ()) -> DataFrame:
     """(image_nr, at, cell, home, w, x, y, z): the places of rows (image_nr, at, q) in cells that hold what is within the distance `width`.
 
@@ -69,13 +76,9 @@ def index(rows: DataFrame, symmetry: Sequence[Sequence[float]], width: float, *,
             if len(turns):
                 q = equivalents(q, turns)[:, : len(turns)].reshape(-1, 4)
             of = np.arange(len(q)) // max(1, len(turns))
-            images = equivalents(q, group)
-            best = images[:, :, 0].argmax(axis=1)
-            top = images[np.arange(len(images)), best, 0]
-            row, which = np.nonzero(images[:, :, 0] >= top[:, None] - 2 * width)
-            found = images[row, which]
+            row, found, home = places(q, group, width)
             columns = [batch.column(k).take(pa.array(of[row])) for k in keys]
-            columns += [pa.array(numbered(found[:, 1:], width)), pa.array(which == best[row]), *(pa.array(found[:, i]) for i in range(4))]
+            columns += [pa.array(numbered(found[:, 1:], width)), pa.array(home), *(pa.array(found[:, i]) for i in range(4))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = dict(rows.dtypes)

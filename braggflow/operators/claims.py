@@ -17,6 +17,8 @@ from braggflow.sources.store import discard, stored
 
 #: A space group with cubic symmetry; all have the same rotations.
 CUBIC = 225
+#: Undecided rows of a frame that one task may walk over, each against all that are kept; frames with more are settled in rounds.
+WALK_ROWS = 2000
 
 
 def unique_claims(solutions: DataFrame, spots: DataFrame, labels: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def _settled(rows: DataFrame, max_angle_deg: float, sigmas: tuple[int, ...], tol
     still rescue go too. The first undecided row of a frame is always decided. What is left of a frame when it is small is walked over.
     """
     symmetry, keys = symmetry_quaternions(CUBIC), ["image_nr", "at"]
-    most, kinds = cells.WALK_ROWS if walk_rows is None else walk_rows, dict(rows.dtypes)
+    most, kinds = WALK_ROWS if walk_rows is None else walk_rows, dict(rows.dtypes)
     schema = f"image_nr {kinds['image_nr']}, at {kinds['at']}"
     walked = lambda df: df.groupBy("image_nr").applyInPandas(lambda frame: _walk(frame, max_angle_deg, sigmas, tolerance_deg), schema)
     undecided = rows.withColumn("rescued", F.lit(False))

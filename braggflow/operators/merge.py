@@ -22,6 +22,10 @@ from braggflow.operators import cells
 from braggflow.sources.store import discard, stored
 
 
+#: Undecided rows of a frame that one task may walk over, some 2 KB each; frames with more are settled in rounds until no more are left.
+WALK_ROWS = 20_000
+
+
 def capped(scored: DataFrame, most: int) -> DataFrame:
     """The candidates that are merged and their order `at`: by row number, or the best `most` by score where a frame has more."""
     frame = Window.partitionBy("image_nr")
@@ -31,23 +35,29 @@ def capped(scored: DataFrame, most: int) -> DataFrame:
 
 
 def leaders(q: np.ndarray, symmetry: np.ndarray, max_angle_deg: float) -> np.ndarray:
-    """The position of each row's leader, by a walk over the rows of one frame."""
+    """The position of each row's leader, by a walk over the rows of one frame; a leader meets what has a place in the cells around it."""
+    least, width = np.cos(np.radians(max_angle_deg) / 2) - cells.ROUNDING, cells.chord(max_angle_deg) + 1e-9
+    row, found, home = cells.places(q, symmetry, width)
+    numbers = cells.numbered(found[:, 1:], width)
+    order = np.argsort(numbers, kind="stable")
+    row, found, own = row[order], found[order], np.empty(len(q), "i8")
+    own[row[home[order]]] = np.flatnonzero(home[order])
+    cell, start = np.unique(numbers[order], return_index=True)
+    spans = dict(zip(cell.tolist(), zip(start.tolist(), np.append(start[1:], len(row)).tolist(), strict=True), strict=True))
     owner = np.full(len(q), -1)
-    least = np.cos(np.radians(max_angle_deg) / 2) - cells.ROUNDING
     for i in range(len(q)):
         if owner[i] >= 0:
             continue
-        owner[i] = i
-        rest = np.flatnonzero(owner[i + 1 :] < 0) + i + 1
-        if len(rest):
-            images = cells.equivalents(q[i : i + 1], symmetry)[0]
-            owner[rest[(q[rest] @ images.T).max(axis=1) >= least]] = i
+        centre = int(numbers[order[own[i]]])
+        near = np.concatenate([np.arange(*spans[c]) for c in (centre + n for n in cells.AROUND) if c in spans])
+        hit = row[near[found[near] @ found[own[i]] >= least]]
+        owner[hit[owner[hit] < 0]] = i
     return owner
 
 
 def leading(rows: DataFrame, *, space_group: int = 225, max_angle_deg: float = 5.0, walk_rows: int | None = None) -> DataFrame:
     """(image_nr, at, leader): the leader of each row, of distinct (image_nr, at) with a quaternion q. Stored."""
-    symmetry, keys, most = symmetry_quaternions(space_group), ["image_nr", "at"], cells.WALK_ROWS if walk_rows is None else walk_rows
+    symmetry, keys, most = symmetry_quaternions(space_group), ["image_nr", "at"], WALK_ROWS if walk_rows is None else walk_rows
     group, kinds = np.array(symmetry), dict(rows.dtypes)
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
