@@ -87,7 +87,7 @@ def angle_deg(a: Columns, b: Columns) -> Column:
     """Angle between two vectors in degrees; null if one is zero."""
     size = F.nullif(norm(a) * norm(b), F.lit(0.0))
     cosine = _sum([x * y for x, y in zip(a, b, strict=True)]) / size
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))  # least() skips nulls
 
 
 def quaternion_normalised(q: Columns) -> list[Column]:
