@@ -9,7 +9,7 @@ words: the whole sequence as one). Documents with at least 85 % of their union i
    1e-5. So it shares at least one of any 25 coordinate-value pairs in a fixed order (prefix). The
    order puts rare coordinate-value pairs first, by counts over all classes, so values that come from
    passages shared by many documents are skipped. Classes are posted under their prefix alone.
-3. Each posting list is merged by its centre instead of pair by pair (see graph.link); a pair's
+3. In a short posting list each pair counts. Longer ones are merged by their centres instead (see graph.link); a pair's
    collisions over all coordinates are counted, and pairs above the match threshold are confirmed on
    the full shingle sets of both texts.
 4. Posting lists that stay open hold documents that are alike but below the threshold. They are joined
@@ -50,6 +50,8 @@ COORDINATES, MATCHES = 64, 40
 PREFIX = COORDINATES - MATCHES + 1
 #: A value more frequent than this goes into the order of frequent values; at most so many go in.
 HOT_COUNT, HOT_VALUES = 16, 400_000
+#: Members of a posting list that are held against each other at once; longer lists are merged by their centres.
+SMALL = 32
 #: Centre rounds over signature postings.
 ROUNDS = 1
 _A = np.random.default_rng(101).integers(1, 1 << 63, COORDINATES, dtype="u8") | np.uint64(1)
@@ -306,7 +308,14 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str) ->
         sets = sets_of(docs, classes, wanted, id_col=id_col, text_col=text_col)
         return link(difference_postings(sets, frames), lambda pairs: confirmed(sets, matching(classes, pairs)), rounds=0, groups=groups)
 
-    return link(postings(classes), test, rounds=ROUNDS, finish=finish)
+    placed = stored(postings(classes), "postings")
+    sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+    part = lambda which: placed.join(small_side(sizes.where(which).select("bucket")), "bucket")
+    small = part(F.col("k") <= SMALL)
+    pairs = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b").distinct()
+    near = test(stored(pairs, "pairs"))
+    more = link(part(F.col("k") > SMALL), test, rounds=ROUNDS, finish=finish, groups=components(near))
+    return near.unionByName(more.select("a", "b"))
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

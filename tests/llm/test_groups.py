@@ -152,6 +152,7 @@ def test_near_dedup_equals_brute_force(spark):
 
 def test_near_dedup_without_order(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "HOT_VALUES", 3)
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
     docs = near_documents()[:110]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == near_groups(docs)
