@@ -29,18 +29,19 @@ words AS (SELECT *, regexp_extract_all(text, '{_VISIBLE}') AS ws FROM docs),
 windows AS (SELECT n, i, array_to_string(ws[i:i + {_W - 1}], ' ') AS gram FROM (SELECT n, ws, unnest(range(1, len(ws) - {_W - 2})) AS i FROM words WHERE len(ws) > {_W})),
 twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, gram) AS c FROM windows) WHERE c > 1),
 repeats AS (SELECT n, count(DISTINCT place) AS n_repeat_words FROM (SELECT n, unnest(range(i, i + {_W})) AS place FROM twice) GROUP BY n),
-lines AS (SELECT n, host, given, line, regexp_extract_all(line, '{_VISIBLE}') AS ws FROM (SELECT n, host, given, unnest(string_split(text, chr(10))) AS line FROM docs)),
-full_lines AS (SELECT n, host, given, line, {_LOWER("array_to_string(ws, ' ')")} AS norm, len(ws) AS w FROM lines WHERE len(ws) > 0),
+lines AS (SELECT n, nr, host, given, line, regexp_extract_all(line, '{_VISIBLE}') AS ws
+  FROM (SELECT n, host, given, generate_subscripts(ls, 1) - 1 AS nr, unnest(ls) AS line FROM (SELECT n, host, given, string_split(text, chr(10)) AS ls FROM docs))),
+full_lines AS (SELECT n, nr, host, given, line, {_LOWER("array_to_string(ws, ' ')")} AS norm, len(ws) AS w FROM lines WHERE len(ws) > 0),
 dups AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY n),
 hosts AS (SELECT coalesce(host, chr(0)) AS h, count(DISTINCT given) + max(CASE WHEN given IS NULL THEN 1 ELSE 0 END) AS host_docs FROM docs GROUP BY 1),
 often AS (SELECT coalesce(host, chr(0)) AS h, norm, count(DISTINCT given) AS c FROM full_lines GROUP BY 1, 2),
 over_ AS (SELECT h, norm FROM often JOIN hosts USING (h) WHERE c > {quality.MIN_DOCS} OR (c > {quality.SHARE_DOCS} AND c > CAST({quality.MAX_SHARE} AS DOUBLE) * host_docs)),
-gone AS (SELECT n, sum(w) AS gone FROM full_lines f JOIN over_ o ON coalesce(f.host, chr(0)) = o.h AND f.norm = o.norm GROUP BY n),
+gone AS (SELECT n, CAST(sum(w) AS BIGINT) AS gone, string_agg(CAST(nr AS VARCHAR), ',' ORDER BY nr) AS removed FROM full_lines f JOIN over_ o ON coalesce(f.host, chr(0)) = o.h AND f.norm = o.norm GROUP BY n),
 facts AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS gone
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS gone, coalesce(removed, '') AS removed_lines
   FROM words LEFT JOIN repeats USING (n) LEFT JOIN dups USING (n) LEFT JOIN gone USING (n))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_lines, gone AS removed_words,
   n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words AS base_failed,
   NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words) AND n_words - gone >= CAST({quality.MIN_LEFT} AS DOUBLE) * n_words AS kept
 FROM facts"""

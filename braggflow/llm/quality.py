@@ -126,16 +126,17 @@ def frequent_lines(measured: DataFrame, *, min_docs: int = MIN_DOCS, max_share:
 
 
 def verdicts(measured: DataFrame, *, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """measured with base_failed, removed (positions of lines over the limit), and kept."""
+    """measured with base_failed, removed (positions of lines over the limit), removed_words (words in them), and kept."""
     over = stored(frequent_lines(measured, min_docs=min_docs, max_share=max_share), "quality-lines")
     over = small_side(over.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")))
     lines = measured.select("row", "host", F.posexplode(F.arrays_zip(F.col("line_hashes").alias("h"), F.col("line_words").alias("w"))).alias("at", "l"))
     hits = lines.join(over, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("l.h") == F.col("f_line")))
     hits = hits.groupBy("row").agg(F.sum("l.w").alias("gone"), F.array_sort(F.collect_list("at")).alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("gone", F.lit(0))
+    left = F.col("n_words") - F.col("removed_words")
     return (
         measured.join(hits, "row", "left")
+        .withColumn("removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
         .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= F.lit(min_left) * F.col("n_words")))
@@ -143,9 +144,9 @@ def verdicts(measured: DataFrame, *, min_docs: int = MIN_DOCS, max_share: float
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """(id, measures, base_failed, kept, removed) of each document."""
+    """(id, measures, base_failed, kept, removed, removed_words) of each document."""
     found = verdicts(measure(docs, id_col=id_col, text_col=text_col, host_col=host_col), **limits)
-    return found.select(F.col("id").alias(id_col), *[c.split()[0] for c in MEASURES.split(", ")], "base_failed", "kept", "removed")
+    return found.select(F.col("id").alias(id_col), *[c.split()[0] for c in MEASURES.split(", ")], "base_failed", "kept", "removed", "removed_words")
 
 
 def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:

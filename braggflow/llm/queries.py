@@ -70,7 +70,8 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("removed")
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed_lines", F.array_join("removed", ",")).drop("removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
