@@ -730,3 +730,35 @@ def stream_frames(spark, sf_dir):
     stream.awaitTermination()
     found = spark.read.parquet(f"{shared}/out").drop("batch")
     return found.select("image_nr", "row_nr", "n_spots", F.round("total", 4).alias("total"), F.round("score", 4).alias("score"))
+
+
+@query("stored_orientations", f"WITH {_ORIENT} SELECT row_number() OVER (ORDER BY row_nr) - 1 AS row_nr, {', '.join(f'round(m{i}, 9) AS m{i}' for i in range(9))} FROM orient")
+def stored_orientations(spark, sf_dir):
+    """The orientations written as records, and read back in byte ranges."""
+    from braggflow.sources import connectors
+
+    connectors.register(spark)
+    where = new_path(spark, "orientations")
+    D.orientations(spark, sf_dir).orderBy("row_nr").select("om").write.format("laue_orientations").mode("append").save(where)
+    found = spark.read.format("laue_orientations").option("splitbytes", 1 << 16).load(where)
+    return found.select("row_nr", *[F.round(F.col("om")[i], 9).alias(f"m{i}") for i in range(9)])
+
+
+def _land_frames(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    """The pixels written as raw frames, a file each, and the stream that reads them."""
+    from braggflow.sources import connectors
+
+    connectors.register(spark)
+    shape = {"width": D.SIZE, "height": D.SIZE}
+    frames = D.pixels(spark, sf_dir).groupBy("image_nr").agg(F.collect_list("pix").alias("pix"), F.collect_list("v").alias("v"))
+    frames.write.format("laue_frames").options(**shape).mode("append").save(f"{where}/landing")
+    return spark.readStream.format("laue_frames").options(**shape, log=f"{where}/log", suffix=".raw").load(f"{where}/landing")
+
+
+@query("landed_frames", f"WITH {_PIXELS} SELECT dense_rank() OVER (ORDER BY image_nr) AS image_nr, 'frame_' || lpad(CAST(image_nr AS VARCHAR), 10, '0') || '.raw' AS file, 'ok' AS status, pix, v FROM pixels")
+def landed_frames(spark, sf_dir):
+    """Raw frames that landed, drained as a stream."""
+    where = new_path(spark, "landed")
+    stream = _land_frames(spark, sf_dir, where).writeStream.format("parquet").option("checkpointLocation", f"{where}/state")
+    stream.trigger(availableNow=True).start(f"{where}/out").awaitTermination()
+    return spark.read.parquet(f"{where}/out")

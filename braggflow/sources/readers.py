@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braggflow.sources import connectors
+
 #: Scalar columns of a solutions row and the slices of its arrays, by position after the frame number.
 SOLUTION_SCALARS = {"grain_nr": (0, "long"), "n_solutions": (1, "long"), "intensity": (2, "double"), "nmatches_x_intensity": (3, "double"), "quality": (4, "double"), "n_matches": (5, "long"), "n_spots_calc": (6, "long"), "coarse_quality": (31, "double"), "misorientation_deg": (32, "double"), "row_nr": (33, "long")}
 SOLUTION_ARRAYS = {"recip": (7, 9), "lattice": (16, 6), "om": (22, 9)}
@@ -72,25 +74,12 @@ def orientation_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def orientation_records(spark: SparkSession, path: str) -> DataFrame:
-    """(row_nr, om) of a headerless file of nine 64-bit floats a record, of any size.
+    """(row_nr, om) of headerless files of nine 64-bit floats a record, of any size, in byte ranges of whole records.
 
-    Hadoop's fixed-length input cuts the file into splits of whole records; a record's number follows from its byte offset,
-    so no task reads more than its split. A file whose size is no multiple of the record is refused.
+    A file whose size is no multiple of the record is refused.
     """
-    hadoop, record = "org.apache.hadoop", 72
-    found = spark.sparkContext.newAPIHadoopFile(
-        path, f"{hadoop}.mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}.io.LongWritable", f"{hadoop}.io.BytesWritable",
-        conf={"fixedlengthinputformat.record.length": str(record)},
-    )
-    raw = spark.createDataFrame(found.map(lambda r: (r[0] // record, bytes(r[1]))), "row_nr long, raw binary")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.frombuffer(b"".join(batch.column("raw").to_pylist()), "<f8")
-            om = pa.FixedSizeListArray.from_arrays(pa.array(values), 9).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row_nr"), om], ["row_nr", "om"])
-
-    return raw.mapInArrow(work, "row_nr long, om array<double>")
+    connectors.register(spark)
+    return spark.read.format("laue_orientations").load(path)
 
 
 def frame_images(spark: SparkSession, path: str, width: int, height: int, kind: str = "<f8") -> DataFrame:
