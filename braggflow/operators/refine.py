@@ -105,10 +105,86 @@ def simplex(objective, start: np.ndarray, width: np.ndarray, *, evaluations: int
     return np.clip(points[best], start - width, start + width), values[best]
 
 
-def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, detector: Detector, *, angle_deg: float = 3.0, lattice_tolerance: tuple[float, ...] = (0,) * 6, c_over_a: float = 0.0, max_spots: int | None = None) -> tuple[np.ndarray, Lattice, float]:
+def _quadratic(points: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, Hessian) at 0 of the quadratic through the points whose Hessian has the least Frobenius norm."""
+    m, n = points.shape
+    flat = np.hstack([np.ones((m, 1)), points])
+    system = np.block([[0.5 * (points @ points.T) ** 2, flat], [flat.T, np.zeros((n + 1, n + 1))]])
+    found = np.linalg.lstsq(system, np.concatenate([values, np.zeros(n + 1)]), rcond=1e-12)[0]
+    return found[m + 1 :], (points.T * found[:m]) @ points
+
+
+def _highest(gradient: np.ndarray, hessian: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A step within the box that raises the quadratic, one coordinate after another, each to its best place."""
+    step = np.zeros(len(gradient))
+    for _ in range(12):
+        before = step.copy()
+        for i in range(len(step)):
+            slope, bend = gradient[i] + hessian[i] @ step - hessian[i, i] * step[i], hessian[i, i]
+            ends = np.array([low[i], high[i]] + ([np.clip(-slope / bend, low[i], high[i])] if bend < 0 else []))
+            step[i] = ends[np.argmax(slope * ends + 0.5 * bend * ends * ends)]
+        if np.abs(step - before).max() < 1e-9:
+            break
+    return step
+
+
+def model_search(objective, start: np.ndarray, width: np.ndarray, *, evaluations: int = 66, tolerance: float = 1e-6, radius: float = 0.5) -> tuple[np.ndarray, float]:
+    """Largest value within start +- width by quadratic models in a trust region; the start is among the candidates.
+
+    Models go through 2 n + 1 points. A step that lowers the value shrinks the region, after points that lie outside
+    have been fetched back: each takes the place opposite to the nearest point.
+    """
+    n = len(start)
+    at = lambda z: objective(start + width * z)
+    points = np.vstack([np.zeros(n), radius * np.eye(n), -radius * np.eye(n)])
+    values = np.array([at(z) for z in points])
+    used = len(points)
+    while used < evaluations and radius > tolerance:
+        best = int(np.argmax(values))
+        centre = points[best].copy()
+        spread = points - centre
+        gradient, hessian = _quadratic(spread / radius, values)
+        low, high = np.maximum(-1 - centre, -radius), np.minimum(1 - centre, radius)
+        step = _highest(gradient, hessian, low / radius, high / radius)
+        gain = gradient @ step + 0.5 * step @ hessian @ step
+        far = int(np.argmax(np.abs(spread).max(axis=1)))
+        if gain <= 1e-9 * max(1.0, abs(values[best])) or np.abs(step).max() < 0.05:  # the model sees nothing: look elsewhere or closer
+            if np.abs(spread[far]).max() <= 2 * radius:
+                radius *= 0.5
+                continue
+            trial, gain = np.clip(centre - radius * spread[far] / np.abs(spread[far]).max(), -1, 1), None
+        else:
+            trial = centre + radius * step
+        value, used = at(trial), used + 1
+        better = value > values[best]
+        points[far if far != best else int(np.argmin(values))], values[far if far != best else int(np.argmin(values))] = trial, value
+        if gain is not None:
+            if better:
+                radius = min(1.0, radius * 1.5) if value - np.sort(values)[-2] > 0.7 * gain else radius
+            elif np.abs(spread[far]).max() <= 2 * radius:
+                radius *= 0.5
+    best = int(np.argmax(values))
+    return start + width * points[best], float(values[best])
+
+
+def search(objective, start: np.ndarray, width: np.ndarray, *, evaluations: int = 110) -> tuple[np.ndarray, float]:
+    """The model search over the whole width, then a simplex around what it found; never worse than the start."""
+    coarse = evaluations * 2 // 5
+    found, best = model_search(objective, start, width, evaluations=coarse, tolerance=1e-3)
+    near = np.minimum(0.04 * width, np.maximum(start + width - found, found - start + width))
+    inside = lambda v: objective(np.clip(v, start - width, start + width))
+    polished, value = simplex(inside, found, near, evaluations=evaluations - coarse)
+    return (np.clip(polished, start - width, start + width), value) if value > best else (found, best)
+
+
+METHODS = {"simplex": simplex, "model": search}
+
+
+def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, detector: Detector, *, angle_deg: float = 3.0, lattice_tolerance: tuple[float, ...] = (0,) * 6, c_over_a: float = 0.0, max_spots: int | None = None, method: str = "simplex") -> tuple[np.ndarray, Lattice, float]:
     """(orientation, lattice, objective). lattice_tolerance: relative width for a, b, c and the angles, 0 keeps a value.
 
     c_over_a frees the ratio c/a at constant volume instead, and then the lattice lengths are not free.
+    method: "simplex", or "model" for quadratic models first, which finds distant maxima more often.
     """
     base = np.array([lattice.a, lattice.b, lattice.c, lattice.alpha, lattice.beta, lattice.gamma])
     free = [] if c_over_a else [i for i, t in enumerate(lattice_tolerance) if t]
@@ -128,7 +204,7 @@ def fit(om: np.ndarray, lattice: Lattice, hkl: np.ndarray, image: np.ndarray, de
         hkl = hkl[:, reachable(om, fixed, hkl, detector, float(width[:3].sum()))]
     direction = directions(hkl)
     value = lambda v: overlap(matrix_of(v[:3]), fixed if fixed is not None else built(v).reciprocal(), hkl, direction, image, detector, max_spots)
-    found, best = simplex(value, start, width)
+    found, best = METHODS[method](value, start, width)
     return matrix_of(found[:3]), (built(found) if len(start) > 3 else lattice), best
 
 
