@@ -762,3 +762,27 @@ def landed_frames(spark, sf_dir):
     stream = _land_frames(spark, sf_dir, where).writeStream.format("parquet").option("checkpointLocation", f"{where}/state")
     stream.trigger(availableNow=True).start(f"{where}/out").awaitTermination()
     return spark.read.parquet(f"{where}/out")
+
+
+#: Options of the whole run, as a stream and as a batch.
+_RUN = {"min_spots": 4, "min_fit_spots": 2}
+
+
+@query("index_stream")
+def index_stream(spark, sf_dir):
+    """The orientations that the whole run keeps, of a drained stream of landed frames: threshold, small regions, match, fit, choice."""
+    from braggflow.streaming import frames
+
+    where = new_path(spark, "index-stream")
+    D.pixels(spark, sf_dir).repartition("image_nr").write.parquet(f"{where}/landing")
+    _grid_forward(spark, sf_dir).write.parquet(f"{where}/forward")  # simulated once, read by every batch
+    stream = frames.index_stream(
+        frames.landing(spark, f"{where}/landing"), D.grid(spark, sf_dir), D.hkls(spark), NICKEL, D.DETECTOR, spark.read.parquet(f"{where}/forward"), f"{where}/out", f"{where}/state",
+        threshold=lambda p: imaging.fixed(p, 1000.0), available_now=True, **_RUN,
+    )
+    stream.awaitTermination()
+    return _kept(spark.read.parquet(f"{where}/out/kept"))
+
+
+def _kept(kept: DataFrame) -> DataFrame:
+    return kept.select("image_nr", "row_nr", "n_solutions", "n_matches", "n_spots_calc", F.round("quality", 4).alias("quality"))
