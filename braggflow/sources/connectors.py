@@ -21,14 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 #: Bytes of an orientation, records of a batch, and default bytes of a split.
 RECORD, BATCH_RECORDS, SPLIT_BYTES = 72, 1 << 16, 128 << 20
-#: Frames that a task reads one after another.
+#: Frames that a task reads one after another, at least.
 FRAMES_PER_TASK = 8
+#: Tasks that small ranges or frames are dealt over at most: a task costs as much to start as megabytes to read.
+MOST_TASKS = 1024
 
 
 def register(spark: SparkSession) -> None:
@@ -80,7 +83,7 @@ class Span(InputPartition):
 
 
 class OrientationRecords(DataSource):
-    """Options: path, and splitbytes, the most bytes that a task reads."""
+    """Options: path, and splitbytes, the most bytes that a task reads unless that made more than MOST_TASKS tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -102,12 +105,13 @@ class _RecordReader(DataSourceReader):
         self.path, self.step = path, max(1, split_bytes // RECORD)
 
     def partitions(self) -> list[Span]:
-        spans, base = [], 0
-        for file in _files(self.path):
+        spans, base, files = [], 0, _files(self.path)
+        step = max(self.step, min(SPLIT_BYTES // RECORD, -(-sum(f.size for f in files) // (RECORD * MOST_TASKS))))
+        for file in files:
             n, rest = divmod(file.size, RECORD)
             if rest:
                 raise ValueError(f"{file.path} has {file.size} bytes, no whole number of records of {RECORD}")
-            spans += [Span(file.path, at * RECORD, base + at, min(self.step, n - at)) for at in range(0, n, self.step)]
+            spans += [Span(file.path, at * RECORD, base + at, min(step, n - at)) for at in range(0, n, step)]
             base += n
         return spans or [Span("", 0, 0, 0)]
 
@@ -133,9 +137,10 @@ class _RecordWriter(DataSourceArrowWriter):
         def raw() -> Iterator[bytes]:
             for batch in batches:
                 om = batch.column("om")
-                if om.null_count or any(len(m) != 9 or None in m for m in om.to_pylist()):
+                values = om.flatten()
+                if om.null_count or values.null_count or not pc.all(pc.equal(pc.list_value_length(om), 9), min_count=0).as_py():
                     raise ValueError("an orientation has nine numbers")
-                yield om.flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                yield values.to_numpy(zero_copy_only=False).astype("<f8").tobytes()
 
         _write_whole(self.path, f"part-{TaskContext.get().partitionId():08d}.bin", raw())
         return WriterCommitMessage()
@@ -184,14 +189,15 @@ class _FrameReading:
         self.path, self.shape, self.kind, self.suffix = path, (height, width), np.dtype(kind), suffix
 
     def tasks(self, listed: list[tuple[int, str]]) -> list[Frames]:
-        return [Frames(listed[i : i + FRAMES_PER_TASK]) for i in range(0, len(listed), FRAMES_PER_TASK)] or [Frames([])]
+        each = max(FRAMES_PER_TASK, -(-len(listed) // MOST_TASKS))
+        return [Frames(listed[i : i + each]) for i in range(0, len(listed), each)] or [Frames([])]
 
     def read(self, task: Frames) -> Iterator[pa.RecordBatch]:
         files = _place(self.path)[0]
         for number, file in task.listed:
             status, pix, v = self.frame(files, file)
             n = max(1, len(pix))
-            columns = [pa.array(np.full(n, number)), pa.array([file.rsplit("/", 1)[-1]] * n), pa.array([status] * n)]
+            columns = [pa.array(np.full(n, number)), pa.repeat(file.rsplit("/", 1)[-1], n), pa.repeat(status, n)]
             columns += [pa.array(pix), pa.array(v.astype("f8"))] if len(pix) else [pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["image_nr", "file", "status", "pix", "v"])
 
