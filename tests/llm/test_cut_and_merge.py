@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers
 
-from braggflow.llm import bpe
+from braggflow.llm import bpe, token_counts
 
 
 def test_basic_plane_is_cut_without_regex(monkeypatch):
@@ -35,3 +35,11 @@ def test_short_and_long_merges_are_the_same(monkeypatch):
     assert short == [bpe.merge(piece, ranks) for piece in pieces]
     monkeypatch.setattr(bpe, "SHORT_PIECE", 0)
     assert short == [bpe.merge(piece, ranks) for piece in pieces]
+
+
+def test_counts_cut_the_basic_plane_without_regex():
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    own = token_counts.Tokenizer(path, pattern, token_counts.unknown_to_library(path, pattern))
+    own.cut.match = own.cut.older = None
+    for text in ("Don't stop: it's 12½ 字字 ​\n\n  end ", "tab\tand　space  'll", "Ünï 🙂"[:3]):
+        assert sum(own.count(p) for run in own.pieces(text) for p in run) == own.count(text)
