@@ -31,7 +31,7 @@ def text_rows(spark: SparkSession, path: str, *, data_only: bool = False) -> Dat
         lines = lines.where(data).withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
-    lines = lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    lines = lines.join(F.broadcast(blocks.select("file", "block", "first", before.alias("before"))), ["file", "block"])  # or every line would be shuffled
     lines = lines.where(data)
     row = F.col("before") + F.col("at") - F.col("first")
     return lines.select(row.alias("source_row"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("fields"))

@@ -5,8 +5,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from braggflow.__main__ import main
+from braggflow.operators import claims, relations
 from braggflow.sources import provenance, readers, writers
 
 EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
@@ -77,3 +79,24 @@ def test_records_of_a_large_file_in_splits(spark, tmp_path):
     small.tofile(tmp_path / "small.bin")
     got = readers.orientation_records(spark, str(tmp_path / "small.bin")).orderBy("row_nr").collect()
     assert [r.row_nr for r in got] == list(range(5000)) and got[4321].om == small[9 * 4321 : 9 * 4322].tolist()
+
+
+def test_lines_are_not_shuffled_to_be_numbered(spark, stored):
+    """Blocks are few: even where nothing is broadcast by size, lines stay where they are read."""
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = readers.text_rows(spark, stored[2])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_labels_of_spots_as_a_column(spark):
+    """A place's own number does as a table of numbered places does; spots off the detector are free in both."""
+    solutions = spark.range(40).selectExpr("id % 3 as image_nr", "id as grain_nr", "cast(id % 7 as double) as quality", "id as source_row")
+    spots = spark.range(900).selectExpr("id % 40 % 3 as image_nr", "id % 40 as grain_nr", "id as spot_row", "cast(id * 7 % 11 - 2 as int) as x", "cast(id * 5 % 9 - 1 as int) as y")
+    inside = spots.where("x between 0 and 6 and y between 0 and 5")
+    by_table = claims.unique_claims(solutions, spots, relations.fallback_labels(inside))
+    by_column = claims.unique_claims(solutions, spots, F.expr("if(x between 0 and 6 and y between 0 and 5, y * 7 + x + 1, 0)"))
+    assert sorted(by_column.collect()) == sorted(by_table.collect()) and by_table.where("n_unique > n_unique_labels").count()
