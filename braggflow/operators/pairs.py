@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,43 @@ def _angle(between: list[np.ndarray], symmetry: list) -> np.ndarray:
     return np.degrees(2.0 * np.arccos(np.minimum(1.0, widest)))
 
 
+def _sorted(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Three or four arrays in ascending order at each place, by a network of minima and maxima: a sort of so few is mostly overhead."""
+    parts = list(parts)
+    for i, j in ((0, 1), (1, 2), (0, 1)) if len(parts) == 3 else ((0, 1), (2, 3), (0, 2), (1, 3), (1, 2)):
+        parts[i], parts[j] = np.minimum(parts[i], parts[j]), np.maximum(parts[i], parts[j])
+    return parts
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded half up by the shortest decimals, as Spark's round does one by one; only what lies next to a half takes that way here."""
+    scaled = x * 10.0**digits
+    whole = np.floor(scaled)
+    rest = scaled - whole
+    out = (whole + (rest >= 0.5)) / 10.0**digits
+    near = np.flatnonzero(np.abs(rest - 0.5) < 1e-9 * np.maximum(1.0, np.abs(scaled)))
+    unit = Decimal(1).scaleb(-digits)
+    out[near] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) for v in x[near].tolist()]
+    return out
+
+
 def _axis(between: list[np.ndarray]) -> list[np.ndarray]:
     """Sorted absolute parts of the cubic disorientation's axis, nan for equal orientations (see geometry.disorientation_axis)."""
-    d, c, b, a = np.sort(np.abs(between), axis=0)
+    d, c, b, a = _sorted([np.abs(x) for x in between])
     root = 1 / math.sqrt(2)
     scalars = [a, (a + b) * root, (a + b + c + d) / 2.0]
     vectors = [[b, c, d], [(a - b) * root, (c + d) * root, (c - d) * root], [(a - b + c - d) / 2.0, (a + b - c - d) / 2.0, (a - b - c + d) / 2.0]]
     best = np.argmax(scalars, axis=0)
-    vector = np.sort(np.abs([np.choose(best, [v[i] for v in vectors]) for i in range(3)]), axis=0)
+    vector = _sorted([np.abs(np.choose(best, [v[i] for v in vectors])) for i in range(3)])
     size = np.sqrt(vector[0] * vector[0] + vector[1] * vector[1] + vector[2] * vector[2])
-    return list(vector / np.where(size > 0, size, np.nan))
+    size[~(size > 0)] = np.nan
+    return [v / size for v in vector]
 
 
-def disorientations(rows: DataFrame, *, angle: bool = True, axis: bool = True, space_group: int = 225) -> DataFrame:
+def disorientations(rows: DataFrame, *, angle: bool = True, axis: bool = True, space_group: int = 225, digits: int | None = None) -> DataFrame:
     """(image_nr, a, b, angle_deg, x0, x1, x2) of all pairs a < b of a frame's rows (image_nr, at, q); what isn't asked for is null.
 
-    The axis is that of cubic crystals, sorted and absolute, and null for equal orientations.
+    The axis is that of cubic crystals, sorted and absolute, and null for equal orientations. digits: decimals that are left.
     """
     spark, symmetry, kinds = rows.sparkSession, symmetry_quaternions(space_group), dict(rows.dtypes)
     largest = rows.groupBy("image_nr").count().agg(F.count("*"), F.max("count")).first()
@@ -66,8 +88,9 @@ def disorientations(rows: DataFrame, *, angle: bool = True, axis: bool = True, s
         i, j = i[keep], j[keep]
         between = _between([q[i, n] for n in range(4)], [q[j, n] for n in range(4)])
         none = pa.nulls(len(i), pa.float64())
-        angles = pa.array(_angle(between, symmetry)) if angle else none
-        axes = [pa.array(x, from_pandas=True) for x in _axis(between)] if axis else [none] * 3
+        told = (lambda x: x) if digits is None else (lambda x: rounded(x, digits))
+        angles = pa.array(told(_angle(between, symmetry))) if angle else none
+        axes = [pa.array(told(x), from_pandas=True) for x in _axis(between)] if axis else [none] * 3
         frame = table.column("image_nr").combine_chunks().take(pa.array(np.zeros(len(i), "i8")))
         return pa.Table.from_arrays([frame, pa.array(at[i]), pa.array(at[j]), angles, *axes], names)
 
